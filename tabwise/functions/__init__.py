@@ -41,7 +41,8 @@ def safe_scale(std) -> Column:
 
 def squared_distance(a: list, b: list) -> Column:
     """Sum of squared differences between two equally long lists of columns/literals."""
-    terms = [(_c(x) - (y if isinstance(y, Column) else F.lit(float(y)))) ** 2 for x, y in zip(a, b)]
+    diffs = [_c(x) - (y if isinstance(y, Column) else F.lit(float(y))) for x, y in zip(a, b)]
+    terms = [d * d for d in diffs]
     return reduce(lambda p, q: p + q, terms)
 
 

@@ -188,3 +188,27 @@ def mean_std(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, fl
 
 def finite(v) -> bool:
     return v is not None and not (isinstance(v, float) and (math.isnan(v) or math.isinf(v)))
+
+
+def centered_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, means, population covariance) over complete rows, one pass. ``covar_pop`` is updated with centred
+    running moments, so large raw values do not cancel catastrophically as Σxx − n·x̄x̄ would."""
+    p = len(cols)
+    x = [F.col(_q(c)).cast("double") for c in cols]
+    cond = " AND ".join(f"{_q(c)} IS NOT NULL" for c in cols) if cols else "true"
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(p)]
+    aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
+    row = df.where(F.expr(cond)).agg(*aggs).first().asDict()
+    m = np.array([row[f"m{i}"] or 0.0 for i in range(p)], dtype=float)
+    cov = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    return int(row["n"]), m, cov
+
+
+def fold_of(c, folds: int):
+    """Fold number of a row from its key: integral keys use ``pmod(key, folds)`` (reproducible in any SQL
+    engine); other keys hash first."""
+    col = F.col(_q(c)) if isinstance(c, str) else c
+    return F.pmod(col, F.lit(folds)) if folds else F.lit(0)

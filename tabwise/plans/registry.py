@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 
 
 # importing the modules fills the registry
-from . import q_profile  # noqa: E402,F401
+from . import q_profile, q_ridge  # noqa: E402,F401
