@@ -126,9 +126,10 @@ def cluster_distance_stats(queries: DataFrame, members: DataFrame, block_rows: i
     combined with min / sum (bounded by queries × clusters)."""
     nq = max(1, math.ceil(queries.count() / block_rows))
     nt = max(1, math.ceil(members.count() / block_rows))
-    q = (queries.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(nq)))
+    # block ids are ints on both sides: the cogroup hash-partitions both inputs on them
+    q = (queries.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(nq)).cast("int"))
          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))))
-    t = (members.select(F.pmod(F.xxhash64("key"), F.lit(nt)).alias("m_tb"),
+    t = (members.select(F.pmod(F.xxhash64("key"), F.lit(nt)).cast("int").alias("m_tb"),
                         F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("m_qb"),
                         F.col("x").alias("m_x"), F.col("cluster").alias("m_cluster")))
     part = (q.select("qb", "tb", "key", "x").groupBy("qb", "tb")

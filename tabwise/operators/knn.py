@@ -76,9 +76,10 @@ def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int
     counts = queries.agg(F.count(F.lit(1))).first()[0], train.agg(F.count(F.lit(1))).first()[0]
     nq_blocks = max(1, math.ceil(counts[0] / block_rows))
     nt_blocks = max(1, math.ceil(counts[1] / block_rows))
-    q = (queries.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(nq_blocks)))
+    # block ids are ints on both sides: the cogroup hash-partitions both inputs on them
+    q = (queries.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(nq_blocks)).cast("int"))
          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt_blocks - 1)))))
-    t = (train.withColumn("tb", F.pmod(F.xxhash64("key"), F.lit(nt_blocks)))
+    t = (train.withColumn("tb", F.pmod(F.xxhash64("key"), F.lit(nt_blocks)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq_blocks - 1)))))
     if "label" not in q.columns:
         q = q.withColumn("label", F.lit(None).cast("double"))
