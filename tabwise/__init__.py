@@ -1,0 +1,29 @@
+"""tabwise — profile, clean, model and score tables as Spark jobs.
+
+Every operator takes DataFrames and returns DataFrames (or a small fitted model whose outputs are DataFrames).
+"""
+
+from .operators.advise import suggest, validate
+from .operators.catalog import (clear_results, hide_columns, latest_runs, log_run, patch, restore_config, search,
+                                split_by, visible)
+from .operators.dbscan import dbscan
+from .operators.evaluate import accuracy, classification_metrics, confusion, regression_metrics
+from .operators.iforest import isolation_forest
+from .operators.kmeans import kmeans, kmeans_from
+from .operators.knn import knn
+from .operators.pca import pca, pca_reduce
+from .operators.prep import fit_prep, fit_scaler
+from .operators.profile import missing_report, profile, summary
+from .operators.ridge import ridge
+from .operators.stats import exact_medians
+from .operators.target import choose_target
+from .operators.trees import best_split, forest, tree
+from .sources import add_key, read_any, read_csv, read_json, read_table, write_csv, write_table
+
+__all__ = [
+    "accuracy", "add_key", "best_split", "choose_target", "classification_metrics", "clear_results", "confusion",
+    "dbscan", "exact_medians", "fit_prep", "fit_scaler", "forest", "hide_columns", "isolation_forest", "kmeans",
+    "kmeans_from", "knn", "latest_runs", "log_run", "missing_report", "patch", "pca", "pca_reduce", "profile",
+    "read_any", "read_csv", "read_json", "read_table", "regression_metrics", "restore_config", "ridge", "search",
+    "split_by", "suggest", "summary", "tree", "validate", "visible", "write_csv", "write_table",
+]

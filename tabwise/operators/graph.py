@@ -30,12 +30,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
               .select("node", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label")))
         jump = l1.select(F.col("node").alias("label"), F.col("label").alias("label2"))
         l2 = (l1.join(jump, "label", "left")
-              .select("node", F.least(F.col("label"), F.coalesce(F.col("label2"), F.col("label"))).alias("label")))
-        l2 = cut_lineage(l2)
-        changed = (l2.join(labels.withColumnRenamed("label", "old"), "node")
-                   .where(F.col("label") != F.col("old")).limit(1).count())
-        labels = l2
-        if changed == 0:
+              .join(labels.withColumnRenamed("label", "old"), "node")
+              .select("node", F.least(F.col("label"), F.coalesce(F.col("label2"), F.col("label"))).alias("label"),
+                      "old"))
+        # one job per round: the new labels are written together with a per-row "changed" flag
+        l2 = cut_lineage(l2.select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
+        labels = l2.select("node", "label")
+        if l2.where("changed").limit(1).count() == 0:
             break
     return labels.withColumnRenamed("label", "comp")
 

@@ -91,6 +91,10 @@ class KMeansModel:
         """(key, cluster, distance to own centre) for every row."""
         return self._assign(self.data, True).select(self.key, "cluster", "distance")
 
+    def assign_rows(self, df: DataFrame) -> DataFrame:
+        """(key, cluster, distance) for new raw rows — a pure projection, so it also runs on streams."""
+        return self._assign(df, False).select(self.key, "cluster", "distance")
+
     @property
     def sizes(self) -> DataFrame:
         """(cluster, size)."""
