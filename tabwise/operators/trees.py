@@ -14,6 +14,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,8 +126,11 @@ def _classifier(kind: str, df: DataFrame, key: str, target: str, features: list[
     else:
         raw = F.col(target).cast("string")
     label = (F.array_position(F.array(*[F.lit(c) for c in classes]), raw) - 1).cast("double")
-    base = _assemble(data.withColumn("label", label), feats)
-    fold = fold_of(split_col or key, folds)
+    fold_col = fold_of(split_col or key, folds).alias("__fold")
+    # assembled once and kept (memory, then disk) for the held-out fit and every CV fit
+    base = _assemble(data.withColumn("label", label), feats).select(key, "label", "features", fold_col)
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    fold = F.col("__fold")
     train, test = base.where(fold != F.lit(test_fold)), base.where(fold == F.lit(test_fold))
     model = _fit(kind, train, depth, trees, seed, max_bins)
     pred = model.transform(test).select(key, "label", "prediction")
