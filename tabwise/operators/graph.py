@@ -1,44 +1,74 @@
 """Distributed graph helpers: connected components and a dense 0…n-1 numbering.
 
-``connected_components``: min-label propagation with pointer jumping. Each round is one propagate step
-(edge join + grouped ``min``, combined map-side so a hub node costs no extra shuffle volume) and one jump step
-(label ← label of label), which makes long chains converge in about log(diameter) rounds. Labels are written
-to the shared checkpoint folder each round, so lineage stays short and a lost executor only repeats one round.
+``connected_components``: graph contraction by union-find on bounded edge groups (see the function). Labels and
+the shrinking edge list are written to the shared checkpoint folder each round, so lineage stays short and a
+lost executor only repeats one round.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """nodes: (node long); edges: (src long, dst long), any direction. Returns (node, comp) where comp is the
-    least node id of the component."""
-    e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
-    first = e.groupBy("src").agg(F.min("dst").alias("m"))
-    labels = (nodes.select("node").distinct().join(first.withColumnRenamed("src", "node"), "node", "left")
-              .select("node", F.least(F.col("node"), F.coalesce(F.col("m"), F.col("node"))).alias("label")))
-    labels = cut_lineage(labels)
+def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of one group's edges (vectorised min-label propagation with full pointer jumping)."""
+    src = pdf["src"].to_numpy(dtype=np.int64)
+    dst = pdf["dst"].to_numpy(dtype=np.int64)
+    nodes, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d = inv[: len(src)], inv[len(src):]
+    lab = np.arange(len(nodes))
+    while True:
+        old = lab.copy()
+        low = np.minimum(lab[s], lab[d])
+        np.minimum.at(lab, s, low)
+        np.minimum.at(lab, d, low)
+        while True:  # pointer jumping until every label is a root
+            nxt = lab[lab]
+            if np.array_equal(nxt, lab):
+                break
+            lab = nxt
+        if np.array_equal(lab, old):
+            break
+    return pd.DataFrame({"node": nodes, "root": nodes[lab]})
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, group_edges: int = 1_000_000,
+                         max_rounds: int = 64) -> DataFrame:
+    """nodes: (node long); edges: (src long, dst long), any direction. Returns (node, comp), comp = least node id
+    of the component.
+
+    Each round contracts the graph: edges are split into groups of at most ``group_edges`` by a hash of the
+    whole edge (so a hub node's edges spread over many groups), each group runs a NumPy union-find, every node
+    takes the least root any group gave it (a combinable ``min``), and the edge list is relabelled and
+    deduplicated. When the remaining edges fit one group, the next round finishes. The label map and the
+    edge list are written to the checkpoint folder every round."""
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    cur = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
+    mapping = nodes.select(F.col("node").cast("long").alias("node")).distinct() \
+        .select("node", F.col("node").alias("label"))
     for _ in range(max_rounds):
-        prop = (e.join(labels.withColumnRenamed("node", "src"), "src")
-                .groupBy("dst").agg(F.min("label").alias("cand")).withColumnRenamed("dst", "node"))
-        l1 = (labels.join(prop, "node", "left")
-              .select("node", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label")))
-        jump = l1.select(F.col("node").alias("label"), F.col("label").alias("label2"))
-        l2 = (l1.join(jump, "label", "left")
-              .join(labels.withColumnRenamed("label", "old"), "node")
-              .select("node", F.least(F.col("label"), F.coalesce(F.col("label2"), F.col("label"))).alias("label"),
-                      "old"))
-        # one job per round: the new labels are written together with a per-row "changed" flag
-        l2 = cut_lineage(l2.select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
-        labels = l2.select("node", "label")
-        if l2.where("changed").limit(1).count() == 0:
+        m = cur.count()
+        if m == 0:
             break
-    return labels.withColumnRenamed("label", "comp")
+        groups = max(1, math.ceil(m / group_edges))
+        local = (cur.withColumn("__g", F.pmod(F.xxhash64("src", "dst"), F.lit(groups)).cast("int"))
+                 .groupBy("__g").applyInPandas(_union_find, "node long, root long"))
+        new = cut_lineage(local.groupBy("node").agg(F.min("root").alias("root")))
+        mapping = cut_lineage(mapping.join(new.withColumnRenamed("node", "label"), "label", "left")
+                              .select("node", F.coalesce("root", "label").alias("label")))
+        relabel = (cur.join(new.select(F.col("node").alias("src"), F.col("root").alias("rs")), "src")
+                   .join(new.select(F.col("node").alias("dst"), F.col("root").alias("rd")), "dst")
+                   .where(F.col("rs") != F.col("rd"))
+                   .select(F.least("rs", "rd").alias("src"), F.greatest("rs", "rd").alias("dst")).distinct())
+        cur = cut_lineage(relabel)
+    return mapping.withColumnRenamed("label", "comp")
 
 
 def dense_index(df: DataFrame, col: str, out: str = "index") -> DataFrame:

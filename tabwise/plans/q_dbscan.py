@@ -43,9 +43,9 @@ lab AS (SELECT cnt.p AS c_custkey, CAST(coalesce(corelab.cluster, border.bc, -1)
 """
 
 
-@register("dbscan_labels", _DB_BASE + "SELECT c_custkey, cluster, is_core, n_neighbours FROM lab")
+@register("dbscan_labels", _DB_BASE + "SELECT c_custkey, cluster, is_core FROM lab")
 def q_dbscan_labels(spark, sf_dir):
-    return _model(spark, sf_dir).labels.select("c_custkey", "cluster", "is_core", "n_neighbours")
+    return _model(spark, sf_dir).labels.select("c_custkey", "cluster", "is_core")
 
 
 @register("dbscan_summary", _DB_BASE + """

@@ -61,6 +61,20 @@ def test_dbscan_shapes_match_brute_force(spark):
     assert m.labels.where("is_core AND n_neighbours < 4").count() == 0
 
 
+def test_dbscan_hot_region_matches_brute_force(spark):
+    """A third of the rows sit on one point, plus a dense blob and scattered points: dense cells collapse."""
+    rng = np.random.default_rng(9)
+    X = np.vstack([np.zeros((100, 2)), rng.normal(loc=[0.3, 0.2], scale=0.15, size=(120, 2)),
+                   rng.uniform(-3, 3, size=(80, 2))])
+    m = dbscan(_points(spark, X), "k", ["a", "b"], eps=0.2, min_pts=6, prep=False)
+    Z = (X - X.mean(0)) / X.std(0)
+    want, core = brute_dbscan(Z, 0.2, 6)
+    got = {r["k"]: (r["cluster"], r["is_core"]) for r in m.labels.collect()}
+    assert [got[i][0] for i in range(len(X))] == list(want)
+    assert [got[i][1] for i in range(len(X))] == list(core)
+    assert m.labels.where("n_neighbours IS NULL").count() >= 100
+
+
 def test_dbscan_border_tie_goes_to_lower_cluster(spark):
     left = [(-1.0 - 0.05 * i, 0.0) for i in range(4)]
     right = [(1.0 + 0.05 * i, 0.0) for i in range(4)]
@@ -103,6 +117,13 @@ def test_connected_components_and_dense_index(spark):
     e = spark.createDataFrame(edges, "src long, dst long")
     got = {r["node"]: r["comp"] for r in connected_components(nodes, e).collect()}
     assert got == want
+    # tiny edge groups force several contraction rounds; a long chain must still collapse to its least node
+    chain = [(i, i + 1) for i in range(0, 199)] + [(250, 251)]
+    ce = spark.createDataFrame(chain, "src long, dst long")
+    multi = {r["node"]: r["comp"] for r in connected_components(nodes, ce, group_edges=16).collect()}
+    assert all(multi[i] == 0 for i in range(200)) and multi[251] == 250 and multi[299] == 299
+    again = {r["node"]: r["comp"] for r in connected_components(nodes, e, group_edges=16).collect()}
+    assert again == want
     idx = dense_index(spark.createDataFrame([(v,) for v in [5, 3, 9, 3, 1]], "v long"), "v", "i")
     assert sorted((r["v"], r["i"]) for r in idx.collect()) == [(1, 0), (3, 1), (5, 2), (9, 3)]
 
