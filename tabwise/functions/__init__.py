@@ -56,11 +56,19 @@ def argmin(values: list) -> Column:
     return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
 
 
-def ascii_tokens(text) -> Column:
-    """Split on anything but ASCII letters/digits, then lower-case; empty pieces removed.
+TOKEN_SPLIT = "[^A-Za-z0-9]+"
 
-    The whole text is tokenised (never a prefix). Splitting before lower-casing keeps the result identical
-    across engines whose Unicode case maps differ.
-    """
-    parts = F.split(_c(text), "[^A-Za-z0-9]+")
+
+def ascii_tokens(text) -> Column:
+    """Array form: split on anything but ASCII letters/digits, then lower-case; empty pieces removed.
+    (Higher-order lambdas run interpreted; for big texts prefer :func:`token_rows`.)"""
+    parts = F.split(_c(text), TOKEN_SPLIT)
     return F.filter(F.transform(parts, lambda t: F.lower(t)), lambda t: t != F.lit(""))
+
+
+def token_rows(df, key: str, text: str, key_alias: str = "k", token_alias: str = "t"):
+    """One row per token occurrence: (key, token). The whole text is tokenised (never a prefix); splitting on
+    non-ASCII-alphanumerics before lower-casing keeps tokens identical across engines whose Unicode case maps
+    differ. Split → explode → filter → lower stays inside whole-stage code generation."""
+    raw = df.select(F.col(key).alias(key_alias), F.explode(F.split(F.col(text), TOKEN_SPLIT)).alias("__raw"))
+    return raw.where(F.col("__raw") != F.lit("")).select(key_alias, F.lower(F.col("__raw")).alias(token_alias))

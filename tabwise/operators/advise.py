@@ -11,12 +11,14 @@ broadcast only when its token table is under ``broadcast_rows`` (checked), else
 
 from __future__ import annotations
 
+import math
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ascii_tokens, round_half_up
+from ..functions import round_half_up, token_rows
 from .prep import fit_prep
 from .profile import as_profile_input, is_numeric_type
 from .stats import value_counts
@@ -53,7 +55,7 @@ def choose_targets(statements: DataFrame, key: str, text: str, columns: list[str
     column); none → the last column. (key, target)."""
     spark = statements.sparkSession
     vocab = spark.createDataFrame(column_tokens(columns), "column string, position int, token string")
-    toks = statements.select(F.col(key).alias("__k"), F.explode(F.array_distinct(ascii_tokens(text))).alias("token"))
+    toks = token_rows(statements, key, text, "__k", "token").distinct()
     hits = (toks.join(F.broadcast(vocab), "token")
             .groupBy("__k", "column", "position").agg(F.count(F.lit(1)).alias("hits")))
     best = hits.groupBy("__k").agg(F.max(F.struct("hits", "position", "column")).alias("b"))
@@ -130,23 +132,28 @@ def validate(df: DataFrame | None, statements: DataFrame, key: str = "id", text:
 
 def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
                      broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(l, r, cosine) for every left/right pair sharing at least one token."""
-    rt = (right.select(F.col(rkey).alias("r"), F.explode(ascii_tokens(rtext)).alias("t"))
-          .groupBy("r", "t").agg(F.count(F.lit(1)).alias("tf")))
-    n_right = right.count()
+    """(l, r, cosine) for every left/right pair sharing at least one token.
+
+    The right (phrase) side is tokenised and weighted once and kept; the left side's token weights are
+    persisted because both the norms and the dot products read them."""
+    rt = token_rows(right, rkey, rtext, "r", "t").groupBy("r", "t").agg(F.count(F.lit(1)).alias("tf"))
+    rt = rt.persist(StorageLevel.MEMORY_AND_DISK)
+    n_right = right.select(rkey).distinct().count()
     idf = rt.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
         "t", (F.log((F.lit(1.0 + n_right)) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     rw = rt.join(idf, "t").select("r", "t", (F.col("tf") * F.col("idf")).alias("w"))
     rnorm = rw.groupBy("r").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
     rw = rw.join(rnorm, "r").select("r", "t", (F.col("w") / F.col("rn")).alias("wn"))
-    small = rw.count() <= broadcast_rows
+    rw = rw.persist(StorageLevel.MEMORY_AND_DISK)
+    idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
+    small = rw.count() <= broadcast_rows  # the size check that allows broadcasting the phrase side
     side_idf = F.broadcast(idf) if small else idf
     side_rw = F.broadcast(rw) if small else rw
-    default_idf = float(__import__("math").log(1.0 + n_right) + 1.0)
-    lt = (left.select(F.col(lkey).alias("l"), F.explode(ascii_tokens(ltext)).alias("t"))
-          .groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf")))
+    default_idf = float(math.log(1.0 + n_right) + 1.0)
+    lt = token_rows(left, lkey, ltext, "l", "t").groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf"))
     lw = lt.join(side_idf, "t", "left").select(
         "l", "t", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(default_idf))).alias("w"))
+    lw = lw.persist(StorageLevel.MEMORY_AND_DISK)
     lnorm = lw.groupBy("l").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
     dot = lw.join(side_rw, "t").groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("dot"))
     return dot.join(lnorm, "l").select("l", "r", (F.col("dot") / F.col("ln")).alias("cosine"))

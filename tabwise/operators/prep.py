@@ -89,7 +89,7 @@ def fit_prep(df: DataFrame, key: str | None = None, max_missing: float = 0.8, ma
     # pass 1: missing counts for all, distinct estimates for text
     row = data.agg(F.count(F.lit(1)).alias("n"),
                    *[F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(names)],
-                   *[F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"d{i}") for i, c in enumerate(text)]
+                   *[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}") for i, c in enumerate(text)]
                    ).first()
     n = row["n"]
     share = {c: ((n - row[f"k{i}"]) / n if n else 0.0) for i, c in enumerate(names)}
