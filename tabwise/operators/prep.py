@@ -38,8 +38,10 @@ class PrepModel:
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Cleaned table: key, then kept columns as doubles (categoricals as codes). Unseen categories in new
-        data get the median code (F10); blank numeric fields get the median (F11)."""
+        data get the median code (F10); blank numeric fields get the median (F11). A column the input does not
+        have at all (e.g. the target when scoring) counts as blank in every row."""
         data = as_profile_input(df)
+        present = set(data.columns)
         out = []
         if self.key:
             out.append(F.col(f"`{self.key}`"))
@@ -47,7 +49,7 @@ class PrepModel:
             if k != self.key:
                 out.append(F.col(f"`{k}`"))
         for c in self.columns:
-            x = F.col(f"`{c}`")
+            x = F.col(f"`{c}`") if c in present else F.lit(None).cast("string" if c in self.categories else "double")
             if c in self.categories:
                 values = self.categories[c]
                 filled = F.coalesce(x.cast("string"), F.lit(self.fills[c]))

@@ -57,13 +57,14 @@ class RidgeModel:
         return self.scaler.transform(data, keep=[self.key])
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """V1 (value): a table of inputs in, (key, prediction) out; blank fields take the fitted fill."""
-        z = self._scaled(df)
-        out = z.select(self.key, self._pred_expr().alias("prediction"))
-        if self.prep is not None:
-            filled = df.select(self.key, self.prep.filled_list(df, self.features).alias("missing_filled"))
-            out = out.join(filled, self.key)
-        return out
+        """V1 (value) + F11: a table of inputs in, (key, prediction, missing_filled) out. Blank fields take the
+        fitted fill value and are listed in ``missing_filled``. One projection, no join."""
+        if self.prep is None:
+            return self._scaled(df).select(self.key, self._pred_expr().alias("prediction"))
+        marked = df.select("*", self.prep.filled_list(df, self.features).alias("__filled"))
+        data = self.prep.transform(marked, keep=["__filled"])
+        z = self.scaler.transform(data, keep=[self.key, "__filled"])
+        return z.select(self.key, self._pred_expr().alias("prediction"), F.col("__filled").alias("missing_filled"))
 
     def contributions(self, df: DataFrame, n: int = 5) -> DataFrame:
         """O3: signed coefficient × z per feature, the ``n`` largest by magnitude per row (key, feature,
@@ -97,7 +98,7 @@ def ridge(df: DataFrame, key: str, target: str, features: list[str] | None = Non
     pm = None
     data = df
     if prep:
-        pm = fit_prep(df, key=key)
+        pm = fit_prep(df, key=key, columns=[c for c in df.columns if c not in (key, split_col)])
         keep = [split_col] if split_col and split_col not in (key, target) else []
         data = pm.transform(df, keep=keep)
     feats = features or [c for c in (pm.columns if pm else df.columns) if c not in (key, target, split_col)]

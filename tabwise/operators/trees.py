@@ -115,7 +115,7 @@ def _fit(kind: str, train: DataFrame, depth: int, trees: int, seed: int, max_bin
 def _classifier(kind: str, df: DataFrame, key: str, target: str, features: list[str] | None, depth: int,
                 trees: int, seed: int, folds: int, test_fold: int, cv: bool, max_bins: int, max_classes: int,
                 prep: bool, split_col: str | None) -> TreeModel:
-    pm = fit_prep(df, key=key) if prep else None
+    pm = fit_prep(df, key=key, columns=[c for c in df.columns if c not in (key, split_col)]) if prep else None
     keep = [split_col] if split_col and split_col != key else []
     data = pm.transform(df, keep=keep) if pm else df
     feats = features or [c for c in (pm.columns if pm else df.columns) if c not in (key, target, split_col)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.catalog import hide_columns, latest_runs, patch, search, split_by, visible
-from ..sources import read_table
+from ..sources import manifest, parse_json_inputs, read_table
 from .registry import register
 
 
@@ -70,3 +70,17 @@ def q_latest_run(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return latest_runs(o, project="o_custkey", order=["o_orderdate", "o_orderkey"]).select(
         "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register("parse_event_props", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE json_valid(props)""")
+def q_parse_event_props(spark, sf_dir):
+    """JSON input rows parsed into typed columns (invalid rows are set aside, not failed)."""
+    good, _bad = parse_json_inputs(read_table(spark, sf_dir, "events"), "props", "k int", keep=["event_id"])
+    return good
+
+
+@register("lineitem_manifest")
+def q_lineitem_manifest(spark, sf_dir):
+    """Files behind the lineitem table with size, rows and load time (rows-only: paths differ by engine)."""
+    return manifest(read_table(spark, sf_dir, "lineitem"))

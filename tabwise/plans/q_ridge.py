@@ -91,3 +91,32 @@ def q_ridge_contributions(spark, sf_dir):
     c = m.contributions(raw.where(F.pmod("l_orderkey", F.lit(5)) == 0), n=5)
     return c.select(*[F.col(f"row_key.{k}").alias(k) for k in KEY_COLS], "feature",
                     round_half_up("contribution", 6).alias("contribution"), F.col("rank").cast("int").alias("rank"))
+
+
+def _blank_inputs(spark, sf_dir):
+    """Held-out rows as new inputs, with blanks: quantity missing on line 1, discount missing on line 2."""
+    raw = lineitem_ridge_input(spark, sf_dir).where(F.pmod("l_orderkey", F.lit(5)) == 0)
+    ln = F.col("row_key.l_linenumber")
+    return raw.select("row_key", "l_orderkey", F.when(ln == 1, None).otherwise(F.col("qty")).alias("qty"),
+                      F.when(ln == 2, None).otherwise(F.col("disc")).alias("disc"))
+
+
+@register("ridge_predict_filled", _BASE + f"""
+, med AS (SELECT median(l_quantity) AS mq2, median(l_discount) AS md2 FROM lineitem),
+inp AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+               CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS q,
+               CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS d
+        FROM lineitem WHERE l_orderkey % 5 = 0),
+zz AS (SELECT inp.*, (coalesce(q, mq2) - mq) / CASE WHEN sq = 0 THEN 1 ELSE sq END AS zq,
+              (coalesce(d, md2) - md) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zd FROM inp, med, st)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+       {sql_round('(w.ay - w.aq * w.wq - w.ad * w.wd) + w.wq * zq + w.wd * zd', 6)} AS prediction,
+       concat_ws(',', CASE WHEN q IS NULL THEN 'qty' END, CASE WHEN d IS NULL THEN 'disc' END) AS missing_filled
+FROM zz, w""")
+def q_ridge_predict_filled(spark, sf_dir):
+    """V1 + F11: ridge fitted with the shared preprocessing (median fills), scoring inputs with blank fields."""
+    m = ridge(lineitem_ridge_input(spark, sf_dir), key="row_key", target="y", features=["qty", "disc"],
+              alpha=1.0, folds=5, test_fold=0, split_col="l_orderkey", prep=True)
+    p = m.predict(_blank_inputs(spark, sf_dir))
+    return p.select(*[F.col(f"row_key.{k}").alias(k) for k in KEY_COLS], round_half_up("prediction", 6)
+                    .alias("prediction"), F.array_join("missing_filled", ",").alias("missing_filled"))

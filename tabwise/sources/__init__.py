@@ -109,6 +109,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def parse_json_inputs(df: DataFrame, column: str, schema: str | T.StructType, keep: list[str] | None = None):
+    """parse one JSON object per row (``{"col": value}``) into typed columns. Returns (parsed, rejected):
+    rows whose text is not a JSON object come back in ``rejected`` with their original text instead of
+    failing the whole batch; fields missing from an object are NULL (later filled by the fitted model)."""
+    keep = keep or []
+    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    parsed = df.select(*keep, F.col(column), F.from_json(F.col(column), st).alias("__j"))
+    ok = F.col("__j").isNotNull() & F.col(column).rlike(r"^\s*\{")
+    good = parsed.where(ok).select(*keep, *[F.col(f"__j.`{f.name}`").alias(f.name) for f in st.fields])
+    bad = parsed.where(~ok | F.col(column).isNull()).select(*keep, F.col(column))
+    return good, bad
+
+
 def add_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     """Give a keyless table a unique long key. ``monotonically_increasing_id`` is unique and needs no
     shuffle; it is stable for a fixed input split, so write the keyed table out once (``write_table``)
