@@ -72,3 +72,14 @@ def token_rows(df, key: str, text: str, key_alias: str = "k", token_alias: str =
     differ. Split → explode → filter → lower stays inside whole-stage code generation."""
     raw = df.select(F.col(key).alias(key_alias), F.explode(F.split(F.col(text), TOKEN_SPLIT)).alias("__raw"))
     return raw.where(F.col("__raw") != F.lit("")).select(key_alias, F.lower(F.col("__raw")).alias(token_alias))
+
+
+def parse_feature_list(text: str | None) -> list[str] | None:
+    """A comma list of column names, trimmed, blanks dropped; empty → None (meaning all numeric)."""
+    names = [t.strip() for t in (text or "").split(",") if t.strip()]
+    return names or None
+
+
+def statement_fallback(arg, stored) -> Column:
+    """the given statement unless blank, else the stored one, else the empty string."""
+    return F.coalesce(F.nullif(F.trim(_c(arg)), F.lit("")), _c(stored), F.lit(""))

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +163,8 @@ def knn(df: DataFrame, key: str, target: str, features: list[str] | None = None,
                         F.col(target).cast("double").alias("label"))
     ks = list(range(k_range[0], k_range[1] + 1)) if not k else [k]
     k_max = max(ks)
-    nb = neighbours(train, train, k_max, block_rows, fold_mask=True)
+    # the ranked lists (n × k_max rows) feed the k choice, the k-score table and the CV predictions
+    nb = neighbours(train, train, k_max, block_rows, fold_mask=True).persist(StorageLevel.MEMORY_AND_DISK)
     votes = vote_table(nb, ks)
     truth = train.select(F.col("key").alias("q_key"), F.col("label"))
     scored = votes.join(truth, "q_key")

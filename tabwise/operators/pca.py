@@ -110,3 +110,14 @@ def pca_reduce(df: DataFrame, key: str, n_components: int, features: list[str] |
     side = spark.createDataFrame([(n_components, round(model.total_variance_pct(n_components), 2))],
                                  "n_components int, total_variance_pct double")
     return out, side
+
+
+def export_reduced(reduced: DataFrame, side: DataFrame, base_dir: str, project: str = "project") -> str:
+    """Write the reduced table as CSV (header, no index) to ``pca_<n>components_<project>`` with spaces in
+    the project name turned into ``_``, plus the one-row side table (component count, total variance to 2
+    decimals) next to it. Returns the output path."""
+    n = side.first()["n_components"]
+    path = f"{base_dir.rstrip('/')}/pca_{n}components_{project.replace(' ', '_')}"
+    reduced.write.mode("overwrite").option("header", True).csv(path)
+    side.write.mode("overwrite").option("header", True).csv(path + "_summary")
+    return path

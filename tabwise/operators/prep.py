@@ -33,6 +33,11 @@ class PrepModel:
         """Numeric columns of the cleaned table — encoded categoricals count as numeric."""
         return list(self.columns)
 
+    def column_lists(self, df: DataFrame) -> dict[str, list[str]]:
+        """Original columns, cleaned columns, numeric columns of the cleaned table (schema only, no job)."""
+        original = [c for c in df.columns if c != self.key]
+        return {"all_cols": original, "clean_cols": list(self.columns), "numeric_cols": list(self.columns)}
+
     def code_fill(self, c: str) -> int:
         return self.categories[c].index(self.fills[c]) if self.fills.get(c) in self.categories[c] else 0
 

@@ -22,7 +22,7 @@ def _q(name: str) -> str:
     return f"`{name}`"
 
 
-def exact_medians(df: DataFrame, cols: list[str], limit: int = 100_000, accuracy: int = 10_000,
+def exact_medians(df: DataFrame, cols: list[str], limit: int = 20_000, accuracy: int = 10_000,
                   approximate: bool = False) -> dict[str, float | None]:
     """Median per column (NULLs ignored; even counts interpolate the two middle values, like SQL ``median``).
 

@@ -115,3 +115,37 @@ def test_stream_scoring(spark, tmp_path):
     got = {r["k"]: r["cluster"] for r in spark.sql("SELECT * FROM scored_stream").collect()}
     want = {r["k"]: r["cluster"] for r in m.assign.collect()}
     assert got == want and os.path.isdir(src)
+
+
+def test_json_inputs_fills_and_export(spark, tmp_path):
+    from tabwise.functions import parse_feature_list, statement_fallback
+    from tabwise.operators.pca import export_reduced, pca_reduce
+    from tabwise.operators.prep import fit_prep
+    from tabwise.operators.ridge import ridge
+    from tabwise.sources import manifest, parse_json_inputs
+
+    raw = spark.createDataFrame([(1, '{"a": 1.5, "b": 2}'), (2, '{"a": null}'), (3, "not json"), (4, None)],
+                                "id long, payload string")
+    good, bad = parse_json_inputs(raw, "payload", "a double, b double", keep=["id"])
+    assert sorted(r["id"] for r in good.collect()) == [1, 2] and sorted(r["id"] for r in bad.collect()) == [3, 4]
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(200, 3))
+    rows = [(i, float(X[i, 0]), float(X[i, 1]), float(X[i, 2]), float(2 * X[i, 0] - X[i, 1] + 0.1 * X[i, 2]))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
+    m = ridge(df, "k", "y", ["a", "b", "c"], alpha=1.0, prep=True)
+    inputs = spark.createDataFrame([(900, None, 0.5, 0.1)], "k long, a double, b double, c double")
+    p = m.predict(inputs).first()
+    assert p["missing_filled"] == ["a"]
+    z = [(m.prep.fills["a"] - m.scaler.means["a"]) / m.scaler.stds["a"],
+         (0.5 - m.scaler.means["b"]) / m.scaler.stds["b"], (0.1 - m.scaler.means["c"]) / m.scaler.stds["c"]]
+    assert abs(p["prediction"] - (m.intercept + float(np.dot(m.coef, z)))) < 1e-9
+    out, side = pca_reduce(df.drop("y"), "k", 2, ["a", "b", "c"], prep=False)
+    path = export_reduced(out, side, str(tmp_path), "my project")
+    assert path.endswith("pca_2components_my_project") and spark.read.option("header", True).csv(path).count() == 200
+    assert manifest(spark.read.csv(path, header=True)).agg(F.sum("n_rows")).first()[0] == 200
+    assert parse_feature_list(" a, ,b ,") == ["a", "b"] and parse_feature_list("  ") is None
+    st = spark.createDataFrame([(" ", "stored"), ("given", "stored"), (None, None)], "arg string, stored string")
+    assert [r[0] for r in st.select(statement_fallback("arg", "stored")).collect()] == ["stored", "given", ""]
+    lists = fit_prep(df, key="k").column_lists(df)
+    assert lists["all_cols"] == ["a", "b", "c", "y"] and lists["numeric_cols"] == ["a", "b", "c", "y"]
