@@ -23,8 +23,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prep import PrepModel, Scaler
 from .kmeans import standardized
+from .prep import PrepModel, Scaler
+from .stats import fold_of
 
 NEIGHBOUR_SCHEMA = "q_key long, t_key long, distance double, t_label double"
 
@@ -69,7 +70,7 @@ def _search_block(k_max: int, fold_mask: bool):
     return run
 
 
-def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int = 2048,
+def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int = 16384,
                fold_mask: bool = False) -> DataFrame:
     """Exact k_max nearest neighbours. Both inputs: columns ``key`` (long), ``x`` (array<double>),
     ``fold`` (int; used when ``fold_mask``), and ``label`` (double) on the training side.
@@ -93,6 +94,12 @@ def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_max)
 
 
+def _integral(df: DataFrame, c: str) -> bool:
+    from pyspark.sql import types as T
+
+    return isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def vote_expr(labels_col, k: int):
     """Majority label among the first k entries of an array (ties → lowest label)."""
     s = F.slice(labels_col, 1, k)
@@ -152,14 +159,16 @@ class KNNModel:
 
 
 def knn(df: DataFrame, key: str, target: str, features: list[str] | None = None, k: int | None = None,
-        k_range: tuple[int, int] = (3, 20), folds: int = 5, prep: bool = True, block_rows: int = 2048) -> KNNModel:
+        k_range: tuple[int, int] = (3, 20), folds: int = 5, prep: bool = True, block_rows: int = 16384) -> KNNModel:
     """Exact kNN classifier on standardised features. ``k`` given → used as is; otherwise the k in
     ``k_range`` with the best cross-validated accuracy (ties → smaller k). Folds are ``pmod(key, folds)``."""
     pm, data, feats, scaler = standardized(df, key, [f for f in (features or []) if f != target] or None, prep)
     feats = [f for f in feats if f != target]
+    if not _integral(data, key):
+        raise ValueError(f"kNN needs an integral key; {key!r} is {dict(data.dtypes)[key]} (use sources.add_key)")
     train = data.select(F.col(key).cast("long").alias("key"),
                         F.array(*[scaler.expr(f) for f in feats]).alias("x"),
-                        F.pmod(F.col(key).cast("long"), F.lit(folds)).cast("int").alias("fold"),
+                        fold_of(key, folds, data).cast("int").alias("fold"),
                         F.col(target).cast("double").alias("label"))
     ks = list(range(k_range[0], k_range[1] + 1)) if not k else [k]
     k_max = max(ks)

@@ -108,7 +108,7 @@ def ridge(df: DataFrame, key: str, target: str, features: list[str] | None = Non
     scaler = fit_scaler(data, feats)
     keep = [key, target] + ([split_col] if split_col and split_col not in (key, target) else [])
     z = scaler.transform(data, keep=keep)
-    fold = fold_of(split_col or key, folds)
+    fold = fold_of(split_col or key, folds, z)
     train = z.where(fold != F.lit(test_fold)) if folds else z
     test = z.where(fold == F.lit(test_fold)) if folds else z
     n, means, cov = centered_moments(train, feats + [target])

@@ -208,8 +208,15 @@ def centered_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, n
     return int(row["n"]), m, cov
 
 
-def fold_of(c, folds: int):
+def fold_of(c, folds: int, df: DataFrame | None = None):
     """Fold number of a row from its key: integral keys use ``pmod(key, folds)`` (reproducible in any SQL
-    engine); other keys hash first."""
+    engine); other keys (text, structs, decimals) hash first with ``xxhash64``."""
+    from pyspark.sql import types as T
+
     col = F.col(_q(c)) if isinstance(c, str) else c
-    return F.pmod(col, F.lit(folds)) if folds else F.lit(0)
+    if not folds:
+        return F.lit(0)
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if df is not None and isinstance(c, str) and not isinstance(df.schema[c].dataType, integral):
+        return F.pmod(F.xxhash64(col), F.lit(folds))
+    return F.pmod(col, F.lit(folds))

@@ -126,7 +126,7 @@ def _classifier(kind: str, df: DataFrame, key: str, target: str, features: list[
     else:
         raw = F.col(target).cast("string")
     label = (F.array_position(F.array(*[F.lit(c) for c in classes]), raw) - 1).cast("double")
-    fold_col = fold_of(split_col or key, folds).alias("__fold")
+    fold_col = fold_of(split_col or key, folds, data).alias("__fold")
     # assembled once and kept (memory, then disk) for the held-out fit and every CV fit
     base = _assemble(data.withColumn("label", label), feats).select(key, "label", "features", fold_col)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
