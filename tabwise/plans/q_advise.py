@@ -133,3 +133,16 @@ FROM sc""")
 def q_suggest_techniques(spark, sf_dir):
     s = suggest(None, _statements(spark, sf_dir), key="doc_id", text="text")
     return s.select("doc_id", "technique", "score", "label", "applicable", F.col("rank").cast("int").alias("rank"))
+
+
+@register("validate_docs_nodata", f"""
+SELECT doc_id, technique,
+  CASE WHEN technique IN ('kmeans', 'dbscan') AND contains(lower(text), 'predict') THEN false ELSE true END AS applicable,
+  CASE WHEN technique IN ('kmeans', 'dbscan') AND contains(lower(text), 'predict')
+       THEN 'the statement asks to predict: use a supervised technique'
+       ELSE 'no data: judged on the statement only' END AS reason,
+  CAST(NULL AS VARCHAR) AS target
+FROM documents CROSS JOIN (VALUES {_TECH}) tech(technique) WHERE lang = 'en'""")
+def q_validate_docs_nodata(spark, sf_dir):
+    """C1 without a data file: validity from the statement alone."""
+    return validate(None, _statements(spark, sf_dir), key="doc_id", text="text")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import round_half_up, sql_round
 from ..operators.prep import fit_prep, fit_scaler
-from ..operators.profile import missing_report, profile
+from ..operators.profile import missing_report, profile, summary
 from ..sources import read_table
 from .registry import register
 
@@ -168,3 +168,16 @@ def q_prep_scale(spark, sf_dir):
     sc = fit_scaler(clean, m.columns)
     z = sc.transform(clean, keep=["c_custkey"])
     return z.select("c_custkey", *[round_half_up(c, 6).alias(c) for c in m.columns])
+
+
+SUMMARY_STATEMENT = "which market segment will a customer join"
+
+
+@register("summary_customer", """
+SELECT count(*) AS n_rows, 5 AS n_columns, 3 AS n_numeric,
+       CAST((count(DISTINCT c_name) > 50)::INTEGER + (count(DISTINCT c_mktsegment) > 50)::INTEGER AS INTEGER) AS n_text,
+       'c_mktsegment' AS target
+FROM customer""")
+def q_summary_customer(spark, sf_dir):
+    """Rows, columns, numeric and text columns, and the likely target for a statement."""
+    return summary(read_table(spark, sf_dir, "customer"), SUMMARY_STATEMENT)

@@ -72,3 +72,11 @@ FROM lineitem GROUP BY 1, 2""")
 def q_class_metrics(spark, sf_dir):
     df = lineitem_classes(spark, sf_dir).withColumn("rule", (F.col("l_quantity") > 30).cast("int"))
     return confusion(df, "big_discount", "rule")
+
+
+@register("tree_rules")
+def q_tree_rules(spark, sf_dir):
+    """M3: depth, leaves and the if/else rules of the fitted tree (rows-only: Spark bins thresholds)."""
+    m = tree(lineitem_classes(spark, sf_dir), "row_key", "big_discount", TREE_FEATURES, depth=6,
+             split_col="l_orderkey", prep=False, cv=False)
+    return spark.createDataFrame([(m.depth, m.leaves, m.rules)], "depth int, leaves int, rules string")
