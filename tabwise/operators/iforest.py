@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .prep import PrepModel, fit_prep
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size long, "
@@ -107,6 +108,8 @@ class IsolationForestModel:
         """(key, anomaly_score, is_anomaly) for every row of ``df``."""
         data = df if cleaned or self.prep is None else self.prep.transform(df)
         x = data.select(self.key, F.array(*[F.col(f"`{f}`").cast("double") for f in self.features]).alias("x"))
+        if not x.isStreaming:
+            x = spread(x)
         key_type = dict(x.dtypes)[self.key]
         out = x.mapInPandas(_scorer(self.spark_bc, len(self.features), self.key, self.psi),
                             f"`{self.key}` {key_type}, anomaly_score double")

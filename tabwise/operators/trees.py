@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .graph import dense_index
 from .prep import PrepModel, fit_prep
 from .stats import fold_of, value_counts
@@ -129,7 +130,7 @@ def _classifier(kind: str, df: DataFrame, key: str, target: str, features: list[
     fold_col = fold_of(split_col or key, folds, data).alias("__fold")
     # assembled once and kept (memory, then disk) for the held-out fit and every CV fit
     base = _assemble(data.withColumn("label", label), feats).select(key, "label", "features", fold_col)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = spread(base).persist(StorageLevel.MEMORY_AND_DISK)
     fold = F.col("__fold")
     train, test = base.where(fold != F.lit(test_fold)), base.where(fold == F.lit(test_fold))
     model = _fit(kind, train, depth, trees, seed, max_bins)

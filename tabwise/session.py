@@ -56,3 +56,11 @@ def cut_lineage(df):
     path = f"{base}/tabwise-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df):
+    """Give data that an iterative fit reads many times at least one partition per core. A no-op when the
+    input already has that many (the normal case on a cluster); small single-row-group files otherwise
+    leave every pass on one task."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
