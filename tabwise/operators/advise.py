@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import round_half_up, token_rows
+from ..session import spread
 from .prep import fit_prep
 from .profile import as_profile_input, is_numeric_type
 from .stats import value_counts
@@ -55,7 +56,7 @@ def choose_targets(statements: DataFrame, key: str, text: str, columns: list[str
     column); none → the last column. (key, target)."""
     spark = statements.sparkSession
     vocab = spark.createDataFrame(column_tokens(columns), "column string, position int, token string")
-    toks = token_rows(statements, key, text, "__k", "token").distinct()
+    toks = token_rows(spread(statements), key, text, "__k", "token").distinct()
     hits = (toks.join(F.broadcast(vocab), "token")
             .groupBy("__k", "column", "position").agg(F.count(F.lit(1)).alias("hits")))
     best = hits.groupBy("__k").agg(F.max(F.struct("hits", "position", "column")).alias("b"))
@@ -150,7 +151,7 @@ def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, r
     side_idf = F.broadcast(idf) if small else idf
     side_rw = F.broadcast(rw) if small else rw
     default_idf = float(math.log(1.0 + n_right) + 1.0)
-    lt = token_rows(left, lkey, ltext, "l", "t").groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf"))
+    lt = token_rows(spread(left), lkey, ltext, "l", "t").groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf"))
     lw = lt.join(side_idf, "t", "left").select(
         "l", "t", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(default_idf))).alias("w"))
     lw = lw.persist(StorageLevel.MEMORY_AND_DISK)

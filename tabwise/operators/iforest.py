@@ -153,8 +153,9 @@ def isolation_forest(df: DataFrame, key: str, features: list[str] | None = None,
                 / F.lit(float(1 << 52)))
 
     picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(frac))
-    cand = (data.select(k.alias("__key"), F.array(*[F.col(f"`{f}`").cast("double") for f in feats]).alias("x"),
-                        picks.alias("trees"))
+    cand = (spread(data).select(k.alias("__key"),
+                                F.array(*[F.col(f"`{f}`").cast("double") for f in feats]).alias("x"),
+                                picks.alias("trees"))
             .where(F.size("trees") > 0)
             .select("__key", "x", F.explode("trees").alias("tree"))
             .withColumn("h", F.xxhash64(F.col("__key"), F.col("tree"), F.lit(seed))))
