@@ -70,9 +70,13 @@ def data_facts(df: DataFrame | None, max_categories: int = 50):
         return None
     data = as_profile_input(df)
     numeric = {f.name: is_numeric_type(f.dataType) for f in data.schema.fields}
-    counts = value_counts(data, data.columns, max_categories)
-    distinct = {c: (len(v) if v is not None else max_categories + 1) for c, v in counts.items()}
     prep = fit_prep(df, max_categories=max_categories)
+    # text columns: the preprocessing already counted their values; numeric ones get one bounded count
+    counts = value_counts(data, [c for c in data.columns if c not in prep.categories], max_categories)
+    distinct = {}
+    for c in data.columns:
+        vals = prep.categories.get(c) if c in prep.categories else counts.get(c)
+        distinct[c] = len(vals) if vals is not None else max_categories + 1
     return {"columns": data.columns, "numeric": numeric, "distinct": distinct, "n_numeric_clean": len(prep.columns)}
 
 

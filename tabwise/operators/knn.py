@@ -75,7 +75,8 @@ def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int
     """Exact k_max nearest neighbours. Both inputs: columns ``key`` (long), ``x`` (array<double>),
     ``fold`` (int; used when ``fold_mask``), and ``label`` (double) on the training side.
     Returns (q_key, rank, t_key, distance, t_label)."""
-    counts = queries.agg(F.count(F.lit(1))).first()[0], train.agg(F.count(F.lit(1))).first()[0]
+    nt = train.agg(F.count(F.lit(1))).first()[0]
+    counts = (nt if queries is train else queries.agg(F.count(F.lit(1))).first()[0]), nt
     nq_blocks = max(1, math.ceil(counts[0] / block_rows))
     nt_blocks = max(1, math.ceil(counts[1] / block_rows))
     # block ids are ints on both sides: the cogroup hash-partitions both inputs on them

@@ -149,3 +149,16 @@ def test_json_inputs_fills_and_export(spark, tmp_path):
     assert [r[0] for r in st.select(statement_fallback("arg", "stored")).collect()] == ["stored", "given", ""]
     lists = fit_prep(df, key="k").column_lists(df)
     assert lists["all_cols"] == ["a", "b", "c", "y"] and lists["numeric_cols"] == ["a", "b", "c", "y"]
+
+
+def test_hot_key_groups(spark):
+    """A third of all rows on one key: grouped results stay exact (combined map-side, no per-key collect)."""
+    from tabwise.operators.stats import value_counts
+
+    n = 3000
+    rows = [("hot" if i % 3 == 0 else f"p{i % 40}", i, float(i)) for i in range(n)]
+    log = spark.createDataFrame(rows, "project string, ts long, result double").repartition(6)
+    latest = {r["project"]: r["ts"] for r in latest_runs(log, project="project", ts="ts").collect()}
+    assert latest["hot"] == max(i for i in range(n) if i % 3 == 0) and len(latest) == 41
+    vc = dict(value_counts(log, ["project"], 50)["project"])
+    assert vc["hot"] == 1000 and sum(vc.values()) == n
