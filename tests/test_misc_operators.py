@@ -162,3 +162,19 @@ def test_hot_key_groups(spark):
     assert latest["hot"] == max(i for i in range(n) if i % 3 == 0) and len(latest) == 41
     vc = dict(value_counts(log, ["project"], 50)["project"])
     assert vc["hot"] == 1000 and sum(vc.values()) == n
+
+
+def test_lineage_cut_uses_session_checkpoint_dir_and_spread(spark):
+    from tabwise.session import checkpoint_dir, cut_lineage, spread
+
+    base = checkpoint_dir(spark)
+    assert base and spark.sparkContext.getCheckpointDir()
+    df = spark.range(100).select((F.col("id") * 2).alias("x"))
+    cut = cut_lineage(df)
+    assert cut.agg(F.sum("x")).first()[0] == 9900
+    paths = cut.inputFiles()
+    assert paths and all(base.rstrip("/").split(":")[-1] in p for p in paths)
+    one = spark.range(50).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(50).repartition(spark.sparkContext.defaultParallelism + 1)
+    assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 1
