@@ -138,3 +138,17 @@ def test_normalise_missing_decimal(spark):
     df = spark.createDataFrame([(Decimal("1.00"), "NA")], "a decimal(10,2), b string")
     out = normalise_missing(df)
     assert dict(out.dtypes)["a"] == "double" and out.first()["b"] is None
+
+
+def test_approximate_medians_and_unseen_category(spark):
+    rng = np.random.default_rng(12)
+    vals = rng.normal(size=5000)
+    df = spark.createDataFrame([(i, float(v), ["a", "b", "c", "d"][i % 4]) for i, v in enumerate(vals)],
+                               "k long, x double, s string")
+    approx = exact_medians(df, ["x"], approximate=True)["x"]
+    assert abs(approx - float(np.median(vals))) < 0.01
+    m = fit_prep(df, key="k", exact=False)
+    new = spark.createDataFrame([(9000, None, "zzz"), (9001, 1.0, "c")], "k long, x double, s string")
+    out = {r["k"]: r for r in m.transform(new).collect()}
+    assert out[9000]["s"] == 1.0 and out[9000]["x"] == m.fills["x"]  # unseen → median code of 0..3
+    assert out[9001]["s"] == 2.0 and out[9001]["x"] == 1.0
