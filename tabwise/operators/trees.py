@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut_lineage, spread
 from .graph import dense_index
 from .prep import PrepModel, fit_prep
 from .stats import fold_of, value_counts
@@ -165,9 +165,10 @@ def forest(df: DataFrame, key: str, target: str, features: list[str] | None = No
 
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str]) -> DataFrame:
     """Running sums of ``cols`` in ascending ``order_col`` (values distinct), without a single-partition
-    window: range-partition, total each partition (one row per partition to the driver), then add the
+    window: range-partition and write the rows with their partition number once (totals and running sums then
+    come from the same split), total each partition (one row per partition to the driver), then add the
     partition's offset to a running sum inside the partition."""
-    parts = df.repartitionByRange(order_col).withColumn("__pid", F.spark_partition_id())
+    parts = cut_lineage(df.repartitionByRange(order_col).withColumn("__pid", F.spark_partition_id()))
     totals = sorted(parts.groupBy("__pid").agg(*[F.sum(c).alias(c) for c in cols]).collect(),
                     key=lambda r: r["__pid"])
     run = {c: 0 for c in cols}

@@ -36,7 +36,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the SparkContext.
 
     The cluster names the folder in ``spark.checkpoint.dir``; it is read from the session and used as is.
-    Only when nothing is set (local tests) a private folder is created.
+    Only when nothing is set and the master is local (tests) a private folder is created; elsewhere each
+    executor would write to its own disk, so an unset folder raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -124,6 +124,11 @@ def test_connected_components_and_dense_index(spark):
     assert all(multi[i] == 0 for i in range(200)) and multi[251] == 250 and multi[299] == 299
     again = {r["node"]: r["comp"] for r in connected_components(nodes, e, group_edges=16).collect()}
     assert again == want
+    # a chain in id order over 150 groups: as many groups as lost labels under a round cap
+    n2 = 1200
+    long_chain = spark.range(n2 - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    far = connected_components(spark.range(n2).select(F.col("id").alias("node")), long_chain, group_edges=8)
+    assert far.where("comp = 0").count() == n2
     idx = dense_index(spark.createDataFrame([(v,) for v in [5, 3, 9, 3, 1]], "v long"), "v", "i")
     assert sorted((r["v"], r["i"]) for r in idx.collect()) == [(1, 0), (3, 1), (5, 2), (9, 3)]
 
