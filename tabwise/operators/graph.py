@@ -8,7 +8,6 @@ lost executor only repeats one round.
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,32 +25,34 @@ def _priority(ids: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _union_find(salt: int, pdf: pd.DataFrame) -> pd.DataFrame:
+def _union_find(salt: int):
     """Components of one group's edges: the root of a node is the group's member with the least priority
     (vectorised min-label propagation with full pointer jumping over ranks)."""
-    src = pdf["src"].to_numpy(dtype=np.int64)
-    dst = pdf["dst"].to_numpy(dtype=np.int64)
-    nodes = np.unique(np.concatenate([src, dst]))
-    pri = _priority(nodes, salt)
-    order = np.lexsort((nodes, pri))
-    rank = np.empty(len(nodes), np.int64)
-    rank[order] = np.arange(len(nodes))
-    s, d = rank[np.searchsorted(nodes, src)], rank[np.searchsorted(nodes, dst)]
-    lab = np.arange(len(nodes))
-    while True:
-        old = lab.copy()
-        low = np.minimum(lab[s], lab[d])
-        np.minimum.at(lab, s, low)
-        np.minimum.at(lab, d, low)
-        while True:  # pointer jumping until every label is a root
-            nxt = lab[lab]
-            if np.array_equal(nxt, lab):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        src = pdf["src"].to_numpy(dtype=np.int64)
+        dst = pdf["dst"].to_numpy(dtype=np.int64)
+        nodes = np.unique(np.concatenate([src, dst]))
+        pri = _priority(nodes, salt)
+        order = np.lexsort((nodes, pri))
+        rank = np.empty(len(nodes), np.int64)
+        rank[order] = np.arange(len(nodes))
+        s, d = rank[np.searchsorted(nodes, src)], rank[np.searchsorted(nodes, dst)]
+        lab = np.arange(len(nodes))
+        while True:
+            old = lab.copy()
+            low = np.minimum(lab[s], lab[d])
+            np.minimum.at(lab, s, low)
+            np.minimum.at(lab, d, low)
+            while True:  # pointer jumping until every label is a root
+                nxt = lab[lab]
+                if np.array_equal(nxt, lab):
+                    break
+                lab = nxt
+            if np.array_equal(lab, old):
                 break
-            lab = nxt
-        if np.array_equal(lab, old):
-            break
-    roots = order[lab]  # by rank; back to ids
-    return pd.DataFrame({"node": nodes[order], "root": nodes[roots], "pri": pri[roots].view(np.int64)})
+        roots = order[lab]  # by rank; back to ids
+        return pd.DataFrame({"node": nodes[order], "root": nodes[roots], "pri": pri[roots].view(np.int64)})
+    return run
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, group_edges: int = 200_000) -> DataFrame:
@@ -77,7 +78,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, group_edges: int =
         left, salt = m, salt + 1
         groups = max(1, math.ceil(m / group_edges))
         local = (cur.withColumn("__g", F.pmod(F.xxhash64("src", "dst", F.lit(salt)), F.lit(groups)).cast("int"))
-                 .groupBy("__g").applyInPandas(partial(_union_find, salt), "node long, root long, pri long"))
+                 .groupBy("__g").applyInPandas(_union_find(salt), "node long, root long, pri long"))
         # unsigned order of the priority = signed order with the top bit flipped
         unsigned = F.col("pri").bitwiseXOR(F.lit(-(1 << 63)))
         new = cut_lineage(local.groupBy("node").agg(F.min(F.struct(unsigned.alias("p"), "root")).alias("m"))
