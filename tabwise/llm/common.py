@@ -76,3 +76,17 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
 def salted(col: str, n: int):
     """A salt 0…n-1 from a hash of a column."""
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+
+def slices(batch, column: str = "text", limit: int = 4 << 20):
+    """Slices of an Arrow batch with about ``limit`` characters of ``column`` each (one row at least), so that
+    what a task makes from a batch stays small however long the texts are."""
+    start = chars = 0
+    for i, v in enumerate(batch.column(column)):
+        n = len(v.as_buffer()) if v.is_valid else 0
+        if chars and chars + n > limit:
+            yield batch.slice(start, i - start)
+            start, chars = i, 0
+        chars += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
