@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, quality
+from . import bpe, decontam, minhash, pii, quality, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,12 +40,24 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every text, as counts, digest and span list."""
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 @register("op5_minhash")
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents``."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every text, as counts, digest and span list."""
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 @register("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, learnt from the labels that are not held out."""
