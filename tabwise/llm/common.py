@@ -90,3 +90,23 @@ def slices(batch, column: str = "text", limit: int = 4 << 20):
         chars += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+class Generations:
+    """A bounded cache of two generations: a full young one becomes the old one, and what is used again moves to
+    the young one, so frequent entries stay."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def fill(self, keys: set, learn) -> dict:
+        """The young generation, holding at least ``keys``; ``learn(missing)`` gives a dict of new entries."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        missing = keys.difference(self.young)
+        known = {k: self.old[k] for k in missing if k in self.old}
+        self.young.update(known)
+        missing = missing.difference(known)
+        if missing:
+            self.young.update(learn(missing))
+        return self.young

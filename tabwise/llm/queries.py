@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, minhash, pii, quality, secrets
+from . import bpe, decontam, html_extract, minhash, pii, quality, secrets, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op6_tokens")
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written to wavelet-matrix files in doc_id order and read back."""
+    read = token_files.corpus_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @register("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked credential parts of every text, as counts, digest and span list."""
