@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, minhash, pii, quality, secrets, token_files
+from . import bpe, decontam, embedding_dups, html_extract, minhash, pii, quality, secrets, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@register("op7_embeddings")
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of ``embeddings`` at cosine 0.9."""
+    return embedding_dups.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked credential parts of every text, as counts, digest and span list."""
