@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -53,6 +54,13 @@ def _difference(bad, good, raw) -> float:
     return (bad(raw) - good(raw)) / (len(raw) + SMOOTHING) if len(raw) else 0.0
 
 
+def _kept_sizes(bad: bytes, good: bytes):
+    cache, key = process_cache(), ("quality", hash(bad), hash(good))
+    if key not in cache:
+        cache[key] = (_sizes(bad), _sizes(good))
+    return cache[key]
+
+
 @dataclass
 class CompressionModel:
     """bad, good: dictionaries; the score is the logistic of ``slope * difference + offset``."""
@@ -69,10 +77,7 @@ class CompressionModel:
         schema = pa.schema([("doc_id", pa.int64()), ("difference", pa.float64())])
 
         def run(batches):
-            cache, key = process_cache(), ("quality", hash(bad), hash(good))
-            if key not in cache:
-                cache[key] = (_sizes(bad), _sizes(good))
-            b, g = cache[key]
+            b, g = _kept_sizes(bad, good)
             for batch in batches:
                 for part in slices(batch):
                     out = [_difference(b, g, memoryview(t.as_buffer()) if t.is_valid else b"") for t in part.column("text")]
@@ -80,13 +85,26 @@ class CompressionModel:
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, difference double")
 
+    def _probability(self, difference):
+        return 1 / (1 + F.exp(-(F.lit(self.slope) * difference + F.lit(self.offset))))
+
     def score(self, docs: DataFrame, threshold: float = 0.3) -> DataFrame:
         """doc_id, score (0 to 1, higher: good likelier), predicted (1 if score >= threshold). One row per input
         row; empty and null texts score as a difference of 0; an empty table gives no rows."""
-        z = F.lit(self.slope) * F.col("difference") + F.lit(self.offset)
-        return (self.difference(docs).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+        return (self.difference(docs).select("doc_id", self._probability(F.col("difference")).alias("score"))
                 .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
+    def keep(self, docs: DataFrame, threshold: float = 0.3) -> DataFrame:
+        """The rows of docs that score ``threshold`` or more, all columns as they are; nothing is shuffled."""
+        sizes = (self.bad, self.good)
+
+        @F.pandas_udf("double")
+        def difference(texts: pd.Series) -> pd.Series:
+            bad, good = _kept_sizes(*sizes)
+            return pd.Series([_difference(bad, good, t.encode()) if t else 0.0 for t in texts], dtype="float64")
+
+        return docs.where(self._probability(difference("text")) >= threshold)
+
 
 def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
     """Logistic regression on one feature with smoothed targets (Newton steps on the standardised feature)."""

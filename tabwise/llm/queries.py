@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embedding_dups, html_extract, minhash, pii, quality, secrets, token_files
+from . import bpe, decontam, embedding_dups, html_extract, license_scan, minhash, pii, quality, secrets, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@register("op8_licenses")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with licence notices, their licences and spans."""
+    return license_scan.licensed_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked credential parts of every text, as counts, digest and span list."""
