@@ -57,6 +57,9 @@ def _named(other: str, main: str, k: int) -> str:
 
 
 _BARE = (
+    '<article data-label="1"><h1>{S}</h1><p>{M}</p><form data-label="0"><label>{W}</label></form><p>{S}</p><form class="poll" data-label="0"><p>{S}</p><input>'
+    '<label>{W}</label><button>{W}</button></form><p>{M}</p></article>',
+    '<article data-label="1"><p>{S}</p><form data-label="0"><fieldset><legend>{W}</legend><label>{S}</label><textarea></textarea></fieldset></form></article>',
     '<article data-label="1"><h1>{W}</h1><p>{S}</p><ul><li>{W}</li><li>{W}</li></ul><p>{W}</p><ol><li>{S}</li><li>{W}</li></ol></article><aside>{S}</aside>',
     '<nav><ul><li><a href="/a">{W}</a></li></ul></nav><article data-label="1"><ul><li>{W}</li><li>{S}</li></ul><h2>{W}</h2><p>{W}</p></article>',
     '<article data-label="1"><h1>{W}</h1><p>{S}</p></article>',
