@@ -14,12 +14,11 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import round_half_up, token_rows
-from ..session import spread
+from ..session import cut_lineage, spread
 from .prep import fit_prep
 from .profile import as_profile_input, is_numeric_type
 from .stats import value_counts
@@ -56,9 +55,9 @@ def choose_targets(statements: DataFrame, key: str, text: str, columns: list[str
     column); none → the last column. (key, target)."""
     spark = statements.sparkSession
     vocab = spark.createDataFrame(column_tokens(columns), "column string, position int, token string")
-    toks = token_rows(spread(statements), key, text, "__k", "token").distinct()
-    hits = (toks.join(F.broadcast(vocab), "token")
-            .groupBy("__k", "column", "position").agg(F.count(F.lit(1)).alias("hits")))
+    # the vocabulary is bounded by the schema: it is joined first, so only its few tokens are made distinct
+    toks = token_rows(spread(statements), key, text, "__k", "token").join(F.broadcast(vocab), "token")
+    hits = (toks.distinct().groupBy("__k", "column", "position").agg(F.count(F.lit(1)).alias("hits")))
     best = hits.groupBy("__k").agg(F.max(F.struct("hits", "position", "column")).alias("b"))
     return (statements.select(F.col(key).alias("__k")).join(best, "__k", "left")
             .select(F.col("__k").alias(key), F.coalesce(F.col("b.column"), F.lit(columns[-1])).alias("target")))
@@ -84,10 +83,10 @@ def validate(df: DataFrame | None, statements: DataFrame, key: str = "id", text:
              block_terms: tuple[str, ...] = ("predict",), max_categories: int = 50) -> DataFrame:
     """(key, technique, applicable, reason, target) for every statement × technique."""
     facts = data_facts(df, max_categories)
-    s = statements.select(F.col(key), F.lower(F.col(text)).alias("__low"))
     blocked = F.lit(False)
     for term in block_terms:
-        blocked = blocked | F.col("__low").contains(term.lower())
+        blocked = blocked | F.lower(F.col(text)).contains(term.lower())
+    s = statements.select(F.col(key), blocked.alias("__blocked"))  # the text goes no further
     if facts is not None:
         targets = choose_targets(statements, key, text, facts["columns"])
         spark = statements.sparkSession
@@ -101,7 +100,7 @@ def validate(df: DataFrame | None, statements: DataFrame, key: str = "id", text:
                      F.lit(None).cast("int").alias("t_distinct"))
         n_num = None
     tech = F.explode(F.array(*[F.lit(t) for t in TECHNIQUES])).alias("technique")
-    s = s.select("*", blocked.alias("__blocked"), tech)
+    s = s.select("*", tech)
     t = F.col("technique")
     nodata = F.lit(facts is None)
     few = F.col("t_distinct") <= max_categories
@@ -139,18 +138,17 @@ def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, r
                      broadcast_rows: int = 2_000_000) -> DataFrame:
     """(l, r, cosine) for every left/right pair sharing at least one token.
 
-    The right (phrase) side is tokenised and weighted once and kept; the left side's token weights are
-    persisted because both the norms and the dot products read them."""
+    The right (phrase) side is tokenised and weighted once and written; the left side's token weights are
+    written because both the norms and the dot products read them."""
     rt = token_rows(right, rkey, rtext, "r", "t").groupBy("r", "t").agg(F.count(F.lit(1)).alias("tf"))
-    rt = rt.persist(StorageLevel.MEMORY_AND_DISK)
+    rt = cut_lineage(rt)
     n_right = right.select(rkey).distinct().count()
     idf = rt.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
         "t", (F.log((F.lit(1.0 + n_right)) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     rw = rt.join(idf, "t").select("r", "t", (F.col("tf") * F.col("idf")).alias("w"))
     rnorm = rw.groupBy("r").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
     rw = rw.join(rnorm, "r").select("r", "t", (F.col("w") / F.col("rn")).alias("wn"))
-    rw = rw.persist(StorageLevel.MEMORY_AND_DISK)
-    idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
+    rw, idf = cut_lineage(rw), cut_lineage(idf)
     small = rw.count() <= broadcast_rows  # the size check that allows broadcasting the phrase side
     side_idf = F.broadcast(idf) if small else idf
     side_rw = F.broadcast(rw) if small else rw
@@ -158,7 +156,7 @@ def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, r
     lt = token_rows(spread(left), lkey, ltext, "l", "t").groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf"))
     lw = lt.join(side_idf, "t", "left").select(
         "l", "t", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(default_idf))).alias("w"))
-    lw = lw.persist(StorageLevel.MEMORY_AND_DISK)
+    lw = cut_lineage(lw)
     lnorm = lw.groupBy("l").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
     dot = lw.join(side_rw, "t").groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("dot"))
     return dot.join(lnorm, "l").select("l", "r", (F.col("dot") / F.col("ln")).alias("cosine"))

@@ -81,24 +81,37 @@ def log_run(spark, path: str, project: str, technique: str, statement: str = "",
 
 
 def clear_results(spark, path: str, project: str) -> None:
-    """L3: mark the project's results cleared (an appended marker; history stays)."""
+    """L3: mark the project's results cleared (an appended marker; statement, technique and settings stay)."""
     log_run(spark, path, project, technique="", status="cleared")
 
 
-def latest_runs(log: DataFrame, project: str = "project", ts: str = "ts", order: list[str] | None = None
-                ) -> DataFrame:
-    """L1: the latest row per project, as an aggregate (``max_by`` ordered by the time, then ``order``'s
+def restart_project(spark, path: str, project: str) -> None:
+    """L3: a full restart: results and settings are gone from then on (an appended marker; history stays)."""
+    log_run(spark, path, project, technique="", status="restarted")
+
+
+def latest_runs(log: DataFrame, project: str = "project", ts: str = "ts", order: list[str] | None = None,
+                result: tuple[str, ...] = ("result",)) -> DataFrame:
+    """L1: the latest run per project, as an aggregate (``max_by`` ordered by the time, then ``order``'s
     tie-breakers), so a project with a third of all runs is combined map-side instead of sorted in one task.
-    Projects whose latest entry is a ``cleared`` marker (L3) come back without a result."""
+    In a log with a ``status``: after a ``cleared`` marker the latest run comes back with its ``result`` columns
+    NULL and its settings kept; after a ``restarted`` marker the project has no run until the next one."""
     order = order or [ts]
     rest = [c for c in log.columns if c not in [project] + order]
-    best = log.groupBy(project).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("__r"))
-    out = best.select(project, *[F.col(f"__r.{c}").alias(c) for c in order + rest])
-    if "status" in log.columns:
-        out = out.where(F.col("status") != F.lit("cleared"))
-    return out
+    row, at = F.struct(*order, *rest), F.struct(*order)
+    if "status" not in log.columns:
+        best = log.groupBy(project).agg(F.max_by(row, at).alias("__r"))
+        return best.select(project, *[F.col(f"__r.{c}").alias(c) for c in order + rest])
+    run = F.col("status") != F.lit("cleared")
+    best = log.groupBy(project).agg(F.max_by(F.when(run, row), F.when(run, at)).alias("__r"),
+                                    F.max_by("status", at).alias("__last"))
+    cleared = F.col("__last") == F.lit("cleared")
+    return (best.where(F.col("__r").isNotNull() & (F.col("__r.status") != F.lit("restarted")))
+            .select(project, *[F.when(~cleared, F.col(f"__r.{c}")).alias(c) if c in result else
+                               F.coalesce(F.when(cleared, F.col("__last")), F.col("__r.status")).alias(c) if c == "status"
+                               else F.col(f"__r.{c}").alias(c) for c in order + rest]))
 
 
 def restore_config(log: DataFrame, project: str) -> DataFrame:
-    """L2: settings of the project's latest run."""
-    return latest_runs(log.where(F.col("project") == project)).select("project", "technique", "config")
+    """L2: statement, technique and settings of the project's latest run, whether its results were cleared or not."""
+    return latest_runs(log.where(F.col("project") == project)).select("project", "statement", "technique", "config")

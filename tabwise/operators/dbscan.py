@@ -27,6 +27,7 @@ from ..session import cut_lineage
 from .graph import connected_components, dense_index
 from .kmeans import standardized
 from .prep import PrepModel, Scaler
+from .stats import is_integral
 
 
 def auto_min_pts(n: int) -> int:
@@ -76,9 +77,12 @@ class DBSCANModel:
 
     def score(self, df: DataFrame, block_rows: int = 16384) -> DataFrame:
         """V3 + G11: for each input row and each cluster, the min and average distance to the cluster's
-        members; ``assigned`` = cluster of the nearest member when within ε, else −1.
-        Output (key, cluster, min_distance, avg_distance, assigned)."""
+        members; ``assigned`` = cluster of the nearest member when within ε, else −1. Every input row comes back:
+        without any cluster it has one row with NULL cluster and distances, assigned −1.
+        Output (key, cluster, min_distance, avg_distance, assigned, missing_filled)."""
         data = self.prep.transform(df) if self.prep is not None else df
+        filled = (self.prep.filled_list(df, self.features) if self.prep is not None
+                  else F.expr("cast(array() as array<string>)"))
         q = data.select(F.col(self.key).cast("long").alias("key"),
                         F.array(*[self.scaler.expr(f) for f in self.features]).alias("x"))
         members = (self.data.join(self.labels.where(F.col("cluster") >= 0).select(self.key, "cluster"), self.key)
@@ -88,8 +92,15 @@ class DBSCANModel:
         best = (stats.groupBy("key").agg(F.min(F.struct("min_distance", "cluster")).alias("b"))
                 .select("key", F.when(F.col("b.min_distance") <= F.lit(self.eps), F.col("b.cluster"))
                         .otherwise(F.lit(-1)).alias("assigned")))
-        return (stats.join(best, "key").select(F.col("key").alias(self.key), "cluster", "min_distance",
-                                               "avg_distance", "assigned"))
+        inputs = df.select(F.col(self.key).cast("long").alias("key"), filled.alias("missing_filled"))
+        return (inputs.join(stats.join(best, "key"), "key", "left")
+                .select(F.col("key").alias(self.key), "cluster", "min_distance", "avg_distance",
+                        F.coalesce("assigned", F.lit(-1)).alias("assigned"), "missing_filled"))
+
+    def typical(self, scored: DataFrame) -> DataFrame:
+        """The scored rows that fell into a cluster, with that cluster's average feature values."""
+        own = scored.where((F.col("assigned") >= 0) & (F.col("cluster") == F.col("assigned"))).select(self.key, "assigned")
+        return own.join(self.averages.withColumnRenamed("cluster", "assigned"), "assigned")
 
 
 def _block_stats(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -189,6 +200,8 @@ def dbscan(df: DataFrame, key: str, features: list[str] | None = None, eps: floa
         return t
 
     pm, data, feats, scaler = standardized(df, key, features, prep)
+    if not is_integral(data, key):
+        raise ValueError(f"DBSCAN needs an integral key; {key!r} is {dict(data.dtypes)[key]} (use sources.add_key)")
     d = len(feats)
     xs = [f"x{j}" for j in range(d)]
     z = data.select(F.col(key).alias("k"), *[scaler.expr(f).alias(x) for f, x in zip(feats, xs)])

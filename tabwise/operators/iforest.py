@@ -138,8 +138,13 @@ class IsolationForestModel:
 
 
 def isolation_forest(df: DataFrame, key: str, features: list[str] | None = None, trees: int = 100,
-                     sample: int = 256, threshold: float = 0.5, seed: int = 42, prep: bool = True
-                     ) -> IsolationForestModel:
+                     sample: int = 256, threshold: float = 0.5, seed: int = 42, prep: bool = True,
+                     contamination: float | str = "auto") -> IsolationForestModel:
+    """U5. ``contamination="auto"`` flags scores above ``threshold``, the score of a point of average depth; a share
+    (0 to 0.5) flags that part of the rows: the threshold is the share's upper quantile of the training scores (a
+    sketch of 10,000 buckets, so tied scores stand on one side together)."""
+    if contamination != "auto" and not 0 < float(contamination) <= 0.5:
+        raise ValueError("contamination is 'auto' or a share above 0 and up to 0.5")
     pm = fit_prep(df, key=key) if prep else None
     data = pm.transform(df) if pm else df
     feats = features or (pm.columns if pm else [c for c in df.columns if c != key])
@@ -173,5 +178,9 @@ def isolation_forest(df: DataFrame, key: str, features: list[str] | None = None,
                        np.array([r["size"] for r in rs], dtype=float), np.array([r["depth"] for r in rs], dtype=float),
                        np.array([r["leaf"] for r in rs], dtype=bool)))
     bc = df.sparkSession.sparkContext.broadcast(packed)
-    return IsolationForestModel(key=key, features=feats, prep=pm, data=data, nodes=packed, psi=psi,
-                                threshold=threshold, spark_bc=bc)
+    model = IsolationForestModel(key=key, features=feats, prep=pm, data=data, nodes=packed, psi=psi,
+                                 threshold=threshold, spark_bc=bc)
+    if contamination != "auto":
+        q = model.scores.agg(F.percentile_approx("anomaly_score", 1 - float(contamination), 10_000)).first()[0]
+        model.threshold = float(q) if q is not None else threshold
+    return model

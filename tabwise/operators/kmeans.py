@@ -133,7 +133,7 @@ class KMeansModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """V2: for each input row, the assigned cluster and the distance to every centre
-        (key, cluster, distance, assigned). Blank fields take the fitted fill values."""
+        (key, cluster, distance, assigned, missing_filled). Blank fields take the fitted fill values."""
         z = self._z(df, False)
         zf = [f"__z_{f}" for f in self.features]
         dist = distances_expr(zf, self.centers)

@@ -4,8 +4,9 @@ Search: queries and training rows are cut into blocks of at most ``block_rows``
 values cannot pile up in one block). Each (query block, training block) pair meets in one cogrouped pandas call
 that computes the distance matrix in NumPy and emits only each query's ``k_max`` nearest candidates — never the
 pairs themselves. A second, bounded step keeps the global ``k_max`` per query (window with a group limit, so
-at most blocks × k_max rows per query are shuffled). Distances use the dot-product form to pick
-``k_max + 16`` candidates, which are then re-ranked by the exact difference form; ties → lower key.
+at most blocks × k_max rows per query are shuffled). Distances use the dot-product form to pick every candidate
+at or below the k-th distance plus the form's rounding error; these are re-ranked by the exact difference form,
+ties → lower key, so the answer does not depend on the order of the rows however many tie.
 
 Cross-validation (k chosen from ``k_range``) runs every fold in one search: a candidate from the query's own
 fold is masked out. All k in the range are then voted from the same ranked lists in one projection
@@ -19,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .kmeans import standardized
 from .prep import PrepModel, Scaler
-from .stats import fold_of
+from .stats import fold_of, is_integral
 
 NEIGHBOUR_SCHEMA = "q_key long, t_key long, distance double, t_label double"
 
@@ -41,17 +42,18 @@ def _search_block(k_max: int, fold_mask: bool):
         qf, tf = q["fold"].to_numpy(), t["t_fold"].to_numpy()
         tn = (tx * tx).sum(axis=1)
         out_q, out_t, out_d, out_l = [], [], [], []
-        keep = min(k_max + 16, len(tk))
+        keep = min(k_max, len(tk))
         for s in range(0, len(qk), 256):
             qs = qx[s:s + 256]
-            d2 = (qs * qs).sum(axis=1)[:, None] + tn[None, :] - 2.0 * qs @ tx.T
+            qn = (qs * qs).sum(axis=1)
+            d2 = qn[:, None] + tn[None, :] - 2.0 * qs @ tx.T
             if fold_mask:
                 d2[qf[s:s + 256][:, None] == tf[None, :]] = np.inf
-            idx = np.argpartition(d2, keep - 1, axis=1)[:, :keep] if keep < len(tk) else \
-                np.tile(np.arange(len(tk)), (len(qs), 1))
+            kth = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
+            # the two forms differ by a few roundings of the norms
+            near = d2 <= (kth + 64 * np.finfo(float).eps * (qn + tn.max()) * (1 + qs.shape[1]))[:, None]
             for r in range(len(qs)):
-                cand = idx[r]
-                cand = cand[np.isfinite(d2[r, cand])]
+                cand = np.flatnonzero(near[r] & np.isfinite(d2[r]))
                 if cand.size == 0:
                     continue
                 diff = tx[cand] - qs[r]
@@ -77,7 +79,9 @@ def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int
     Returns (q_key, rank, t_key, distance, t_label)."""
     nt = train.agg(F.count(F.lit(1))).first()[0]
     counts = (nt if queries is train else queries.agg(F.count(F.lit(1))).first()[0]), nt
-    nq_blocks = max(1, math.ceil(counts[0] / block_rows))
+    # queries are cut further until every core has a block, so that small inputs do not run in one task
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    nq_blocks = max(1, math.ceil(counts[0] / block_rows), min(cores, math.ceil(counts[0] / 256)))
     nt_blocks = max(1, math.ceil(counts[1] / block_rows))
     # block ids are ints on both sides: the cogroup hash-partitions both inputs on them
     q = (queries.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(nq_blocks)).cast("int"))
@@ -95,12 +99,6 @@ def neighbours(queries: DataFrame, train: DataFrame, k_max: int, block_rows: int
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_max)
 
 
-def _integral(df: DataFrame, c: str) -> bool:
-    from pyspark.sql import types as T
-
-    return isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-
-
 def vote_expr(labels_col, k: int):
     """Majority label among the first k entries of an array (ties → lowest label)."""
     s = F.slice(labels_col, 1, k)
@@ -144,19 +142,26 @@ class KNNModel:
         return spark.createDataFrame([("k", float(self.k))], "metric string, value double")
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """V1 (class): (key, prediction, confidence %) for a table of inputs, voted by the k nearest training
-        rows."""
+        """V1 (class): (key, prediction, confidence %, probabilities, target_col, missing_filled) for a table of
+        inputs, voted by the k nearest training rows. ``probabilities`` holds every class of the training table,
+        by label, with its share of the votes in percent; ``missing_filled`` the features that were blank."""
         data = self.prep.transform(df) if self.prep is not None else df
+        filled = (self.prep.filled_list(df, self.features) if self.prep is not None
+                  else F.expr("cast(array() as array<string>)"))
         q = data.select(F.col(self.key).cast("long").alias("key"),
                         F.array(*[self.scaler.expr(f) for f in self.features]).alias("x"),
                         F.lit(-1).alias("fold"))
         nb = neighbours(q, self.train, self.k, self.block_rows, fold_mask=False)
-        votes = vote_table(nb, [self.k])
-        conf = (nb.groupBy("q_key", "t_label").agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("q_key").agg(F.max("c").alias("c")))
-        return (votes.join(conf, "q_key")
-                .select(F.col("q_key").alias(self.key), "prediction",
-                        (F.col("c") / F.lit(self.k) * 100).alias("confidence")))
+        votes = vote_table(nb, [self.k]).select("q_key", "prediction")
+        lists = nb.groupBy("q_key").agg(F.collect_list("t_label").alias("near"))
+        classes = F.lit([r["label"] for r in self.train.select("label").distinct().orderBy("label").collect()])
+        share = F.transform(classes, lambda c: F.struct(
+            c.alias("label"), (F.size(F.filter("near", lambda x: x == c)) / F.size("near") * 100).alias("percent")))
+        inputs = df.select(F.col(self.key).cast("long").alias("q_key"), filled.alias("missing_filled"))
+        return (votes.join(lists, "q_key").join(inputs, "q_key").withColumn("probabilities", share)
+                .select(F.col("q_key").alias(self.key), F.lit(self.target).alias("target_col"), "prediction",
+                        F.array_max(F.transform("probabilities", lambda p: p["percent"])).alias("confidence"),
+                        "probabilities", "missing_filled"))
 
 
 def knn(df: DataFrame, key: str, target: str, features: list[str] | None = None, k: int | None = None,
@@ -165,7 +170,7 @@ def knn(df: DataFrame, key: str, target: str, features: list[str] | None = None,
     ``k_range`` with the best cross-validated accuracy (ties → smaller k). Folds are ``pmod(key, folds)``."""
     pm, data, feats, scaler = standardized(df, key, [f for f in (features or []) if f != target] or None, prep)
     feats = [f for f in feats if f != target]
-    if not _integral(data, key):
+    if not is_integral(data, key):
         raise ValueError(f"kNN needs an integral key; {key!r} is {dict(data.dtypes)[key]} (use sources.add_key)")
     train = data.select(F.col(key).cast("long").alias("key"),
                         F.array(*[scaler.expr(f) for f in feats]).alias("x"),
@@ -174,7 +179,7 @@ def knn(df: DataFrame, key: str, target: str, features: list[str] | None = None,
     ks = list(range(k_range[0], k_range[1] + 1)) if not k else [k]
     k_max = max(ks)
     # the ranked lists (n × k_max rows) feed the k choice, the k-score table and the CV predictions
-    nb = neighbours(train, train, k_max, block_rows, fold_mask=True).persist(StorageLevel.MEMORY_AND_DISK)
+    nb = cut_lineage(neighbours(train, train, k_max, block_rows, fold_mask=True))
     votes = vote_table(nb, ks)
     truth = train.select(F.col("key").alias("q_key"), F.col("label"))
     scored = votes.join(truth, "q_key")

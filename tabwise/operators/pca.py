@@ -101,10 +101,10 @@ def pca_reduce(df: DataFrame, key: str, n_components: int, features: list[str] |
     model = pca(df, key, features, prep)
     p = len(model.features)
     if p < 3:
-        raise ValueError("PCA needs at least 3 numeric columns.")
+        raise ValueError(f"too few numeric columns for a reduction: {p}, three are the least")
     limit = min(p, model.n_rows)
     if n_components < 1 or n_components > limit:
-        raise ValueError(f"n_components must be between 1 and {limit}.")
+        raise ValueError(f"asked for {n_components} components, possible are 1 to {limit}")
     out = model.transform(df, n_components, keep=keep)
     spark = df.sparkSession
     side = spark.createDataFrame([(n_components, round(model.total_variance_pct(n_components), 2))],

@@ -70,7 +70,14 @@ class PrepModel:
     def filled_list(self, df: DataFrame, cols: list[str] | None = None):
         """array of the column names that were blank in each input row (and got the fill value)."""
         cols = cols or self.columns
-        return F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in cols]))
+        kinds = dict(df.dtypes)
+
+        def blank(c):  # what ``transform`` fills: NULL, NaN, and a column that is not there
+            if c not in kinds:
+                return F.lit(True)
+            x = F.col(f"`{c}`")
+            return x.isNull() | F.isnan(x) if kinds[c] in ("float", "double") else x.isNull()
+        return F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in cols]))
 
     def fills_table(self, spark: SparkSession) -> DataFrame:
         rows = []

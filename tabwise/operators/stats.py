@@ -27,7 +27,8 @@ def exact_medians(df: DataFrame, cols: list[str], limit: int = 20_000, accuracy:
     """Median per column (NULLs ignored; even counts interpolate the two middle values, like SQL ``median``).
 
     ``approximate=True`` returns ``percentile_approx`` results in a single pass (for very large tables
-    where an exact fill value is not worth extra passes).
+    where an exact fill value is not worth extra passes). Else at most about ``limit`` distinct values, over all
+    columns together, reach the driver.
     """
     if not cols:
         return {}
@@ -56,10 +57,12 @@ def exact_medians(df: DataFrame, cols: list[str], limit: int = 20_000, accuracy:
         return cond
 
     margin = 2.0 / accuracy
-    for _ in range(12):
-        pending = [c for c in targets if state[c]["distinct"] > limit]
+    share = max(50, limit // len(cols))  # the limit is for all columns together
+    while True:
+        pending = [c for c in targets if state[c]["distinct"] > share]
         if not pending:
             break
+        before = [(state[c]["inside"], state[c]["distinct"]) for c in pending], margin
         # narrow: approximate quantiles of the in-bracket values around the target ranks
         aggs = []
         for c in pending:
@@ -87,15 +90,18 @@ def exact_medians(df: DataFrame, cols: list[str], limit: int = 20_000, accuracy:
                 state[c].update(lo=lo, hi=hi, below=below, inside=inside, distinct=distinct)
             else:  # sketch guarantee missed (should not happen): widen the margin and retry
                 margin *= 4
+        if before == ([(state[c]["inside"], state[c]["distinct"]) for c in pending], margin):
+            raise RuntimeError(f"median brackets stopped narrowing for {pending}")
 
     result: dict[str, float | None] = {c: None for c in cols}
     live = [c for c in targets]
     if not live:
         return result
-    # final: distinct in-bracket values with counts, at most ``limit`` per column
-    stacked = df.select(F.explode(F.array(*[
+    # final: distinct in-bracket values with counts, about ``limit`` over all columns; values outside the brackets
+    # are dropped from the row's array before it is exploded
+    stacked = df.select(F.explode(F.filter(F.array(*[
         F.when(in_bracket(c), F.struct(F.lit(i).alias("ci"), x[c].alias("v"))) for i, c in enumerate(live)
-    ])).alias("p")).where(F.col("p").isNotNull()).select("p.ci", "p.v")
+    ]), lambda p: p.isNotNull())).alias("p")).select("p.ci", "p.v")
     rows = stacked.groupBy("ci", "v").count().collect()
     by_col: dict[int, list] = {}
     for r in rows:
@@ -208,6 +214,10 @@ def centered_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, n
     return int(row["n"]), m, cov
 
 
+def is_integral(df: DataFrame, c: str) -> bool:
+    return dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint")
+
+
 def fold_of(c, folds: int, df: DataFrame | None = None):
     """Fold number of a row from its key: integral keys use ``pmod(key, folds)`` (reproducible in any SQL
     engine); other keys (text, structs, decimals) hash first with ``xxhash64``."""

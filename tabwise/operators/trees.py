@@ -11,6 +11,7 @@ prefix sums — the deterministic check of the split criterion.
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from .graph import dense_index
 from .prep import PrepModel, fit_prep
 from .stats import fold_of, value_counts
@@ -59,10 +60,18 @@ class TreeModel:
 
     @property
     def rules(self) -> str:
-        text = self.model.toDebugString
-        for i, f in enumerate(self.features):
-            text = text.replace(f"feature {i} ", f"{f} ")
-        return text
+        """M3: the splits as text, with column names, category values and class names."""
+        kinds = self.prep.categories if self.prep is not None else {}
+
+        def split(m):
+            f, sign, cut = self.features[int(m[1])], m[2], float(m[3])
+            if f not in kinds:
+                return f"{f} {sign} {m[3]}"
+            side = [v for code, v in enumerate(kinds[f]) if (code <= cut) == (sign == "<=")]
+            return f"{f} in {{{', '.join(map(str, side))}}}"
+
+        text = re.sub(r"feature (\d+) (<=|>) (-?[0-9.E+-]+)", split, self.model.toDebugString)
+        return re.sub(r"Predict: (\d+)\.0", lambda m: f"Predict: {self.classes[int(m[1])]}", text)
 
     @property
     def importances(self) -> DataFrame:
@@ -74,8 +83,8 @@ class TreeModel:
         return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """V1 (class): one row per input with the predicted class and confidence %, and one row per
-        (input, class) with its probability % (``probabilities``)."""
+        """V1 (class): one row per input: key, target_col, prediction, confidence %, probabilities (every class
+        with its share in %), missing_filled (the features that were blank)."""
         from pyspark.ml.functions import vector_to_array
 
         data = self.prep.transform(df) if self.prep is not None else df
@@ -83,10 +92,14 @@ class TreeModel:
         out = self.model.transform(vec)
         probs = vector_to_array("probability")
         classes = F.array(*[F.lit(c) for c in self.classes])
-        return out.select(self.key, F.element_at(classes, F.col("prediction").cast("int") + 1).alias("prediction"),
-                          (F.array_max(probs) * 100).alias("confidence"),
-                          F.arrays_zip(classes.alias("class"), F.transform(probs, lambda p: p * 100)
-                                       .alias("probability")).alias("probabilities"))
+        filled = (self.prep.filled_list(df, self.features) if self.prep is not None
+                  else F.expr("cast(array() as array<string>)"))
+        scored = out.select(self.key, F.lit(self.target).alias("target_col"),
+                            F.element_at(classes, F.col("prediction").cast("int") + 1).alias("prediction"),
+                            (F.array_max(probs) * 100).alias("confidence"),
+                            F.arrays_zip(classes.alias("class"), F.transform(probs, lambda p: p * 100)
+                                         .alias("probability")).alias("probabilities"))
+        return scored.join(df.select(self.key, filled.alias("missing_filled")), self.key)
 
 
 def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -130,7 +143,10 @@ def _classifier(kind: str, df: DataFrame, key: str, target: str, features: list[
     fold_col = fold_of(split_col or key, folds, data).alias("__fold")
     # assembled once and kept (memory, then disk) for the held-out fit and every CV fit
     base = _assemble(data.withColumn("label", label), feats).select(key, "label", "features", fold_col)
-    base = spread(base).persist(StorageLevel.MEMORY_AND_DISK)
+    # Spark ML draws its bags per partition: the layout follows from the keys and the row count alone, so the model
+    # is the same on any number of cores
+    parts = max(16, -(-data.count() // 250_000))
+    base = base.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
     fold = F.col("__fold")
     train, test = base.where(fold != F.lit(test_fold)), base.where(fold == F.lit(test_fold))
     model = _fit(kind, train, depth, trees, seed, max_bins)
@@ -143,6 +159,8 @@ def _classifier(kind: str, df: DataFrame, key: str, target: str, features: list[
             return float(p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] or 0.0)
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
             scores = list(pool.map(one, range(folds)))
+    pred = cut_lineage(pred)
+    base.unpersist()
     return TreeModel(kind=kind, key=key, target=target, features=feats, classes=classes, model=model, prep=pm,
                      test_pred=pred, cv_scores=scores)
 

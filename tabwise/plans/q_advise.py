@@ -1,4 +1,4 @@
-"""Advice queries (C1, A2, T1, J5, O4): English documents as problem statements, customer as the data,
+"""Advice queries (C1, A2, T1, J5, O4): documents as problem statements, customer as the data,
 benchmark items as reference passages. Whole texts, whole tables."""
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ CUSTOMER_NUMERIC = {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_
 
 
 def _statements(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
-    return d.where(F.col("lang") == "en").select("doc_id", "text")
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _tokens_sql(table: str, key: str, where: str = "") -> str:
@@ -42,7 +41,7 @@ _PROPS = "\n    UNION ALL ".join(
 _TECH = _values([(t,) for t in TECHNIQUES])
 
 _VALIDATE_SQL = f"""
-WITH s AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
+WITH s AS (SELECT doc_id, text FROM documents),
 toks AS (SELECT DISTINCT k AS doc_id, t AS token FROM ({_tokens_sql('s', 'doc_id')})),
 vocab("column", position, token) AS (VALUES {_VOCAB}),
 hits AS (SELECT toks.doc_id, vocab."column", vocab.position, count(*) AS hits
@@ -117,7 +116,7 @@ def q_text_match_benchmark(spark, sf_dir):
 _PHRASES = _values(list(TECHNIQUE_PHRASES.items()))
 
 
-@register("suggest_techniques", "WITH s AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),\n"
+@register("suggest_techniques", "WITH s AS (SELECT doc_id, text FROM documents),\n"
           f"ph(technique, text) AS (VALUES {_PHRASES}),"
           + _tfidf_sql(_tokens_sql("s", "doc_id"), _tokens_sql("ph", "technique"), "(SELECT count(*) FROM ph)")
           + f""",
@@ -142,7 +141,7 @@ SELECT doc_id, technique,
        THEN 'the statement asks to predict: use a supervised technique'
        ELSE 'no data: judged on the statement only' END AS reason,
   CAST(NULL AS VARCHAR) AS target
-FROM documents CROSS JOIN (VALUES {_TECH}) tech(technique) WHERE lang = 'en'""")
+FROM documents CROSS JOIN (VALUES {_TECH}) tech(technique)""")
 def q_validate_docs_nodata(spark, sf_dir):
     """C1 without a data file: validity from the statement alone."""
     return validate(None, _statements(spark, sf_dir), key="doc_id", text="text")

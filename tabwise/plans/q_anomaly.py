@@ -12,7 +12,7 @@ def _events(spark, sf_dir):
 
 
 def _model(spark, sf_dir):
-    return isolation_forest(_events(spark, sf_dir), "event_id", trees=100, sample=256, threshold=0.5, seed=42)
+    return isolation_forest(_events(spark, sf_dir), "event_id", trees=100, sample=256, seed=42, contamination=0.05)
 
 
 @register("iforest_scores")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.catalog import hide_columns, latest_runs, patch, search, split_by, visible
-from ..sources import manifest, parse_json_inputs, read_table
+from ..sources import infer_types, manifest, normalise_missing, parse_json_inputs, read_table
 from .registry import register
 
 
@@ -80,7 +80,49 @@ def q_parse_event_props(spark, sf_dir):
     return good
 
 
-@register("lineitem_manifest")
+@register("lineitem_manifest", "SELECT count(*) AS n_rows FROM lineitem")
 def q_lineitem_manifest(spark, sf_dir):
-    """Files behind the lineitem table with size, rows and load time (rows-only: paths differ by engine)."""
-    return manifest(read_table(spark, sf_dir, "lineitem"))
+    """Rows of all files behind the lineitem table (paths, sizes and load times differ by engine)."""
+    return manifest(read_table(spark, sf_dir, "lineitem")).agg(F.sum("n_rows").alias("n_rows"))
+
+
+@register("clean_made_tokens", """
+SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS balance,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey + 0 END::BIGINT AS nation,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS active,
+       CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 13 = 0 THEN NULL ELSE 0 END::INTEGER AS flag
+FROM customer""")
+def q_clean_made_tokens(spark, sf_dir):
+    """S5 over customer rows turned to text with missing tokens put in: cleaned and typed again; yes/no stays text."""
+    k, text = F.col("c_custkey"), lambda c: F.col(c).cast("string")
+    raw = read_table(spark, sf_dir, "customer").select(
+        text("c_custkey").alias("key"),
+        F.when(k % 7 == 0, "NA").when(k % 11 == 0, " n/a ").otherwise(text("c_acctbal")).alias("balance"),
+        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" "), text("c_nationkey"))).alias("nation"),
+        F.when(k % 2 == 0, "Yes").otherwise("No").alias("active"),
+        F.when(k % 3 == 0, "true").when(k % 13 == 0, "NaN").otherwise("FALSE").alias("flag"))
+    return infer_types(normalise_missing(raw))
+
+
+_LOG_SQL = """
+WITH log AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'cleared' WHEN 'signup' THEN 'restarted'
+                    ELSE 'ok' END AS status, event_type AS technique, value AS result FROM events),
+lastrow AS (SELECT user_id, status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+            FROM log) WHERE r = 1),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+        FROM log WHERE status <> 'cleared') WHERE r = 1 AND status <> 'restarted')
+SELECT run.user_id, run.event_id, run.technique,
+       CASE WHEN lastrow.status = 'cleared' THEN 'cleared' ELSE run.status END AS status,
+       CASE WHEN lastrow.status = 'cleared' THEN NULL ELSE run.result END AS result
+FROM run JOIN lastrow USING (user_id)"""
+
+
+@register("run_log_state", _LOG_SQL)
+def q_run_log_state(spark, sf_dir):
+    """L1-L3 with events as a run log: errors clear the results, signups restart the project."""
+    log = read_table(spark, sf_dir, "events").select(
+        "user_id", "ts", "event_id", F.when(F.col("event_type") == "error", "cleared")
+        .when(F.col("event_type") == "signup", "restarted").otherwise("ok").alias("status"),
+        F.col("event_type").alias("technique"), F.col("value").alias("result"))
+    return latest_runs(log, project="user_id", order=["ts", "event_id"]).select("user_id", "event_id", "technique",
+                                                                                 "status", "result")

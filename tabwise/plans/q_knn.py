@@ -62,3 +62,30 @@ def q_knn_neighbours(spark, sf_dir):
     nb = neighbours(m.train, m.train, 20, m.block_rows, fold_mask=True)
     return nb.select(F.col("q_key").alias("vec_id"), F.col("rank").cast("int").alias("rank"),
                      F.col("t_key").alias("neighbour"), round_half_up("distance", 6).alias("distance"))
+
+
+@register("knn_score", f"""
+WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS d
+           FROM embeddings),
+st AS (SELECT d, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY d),
+z AS (SELECT e.vec_id, e.d, (e.v - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END AS z,
+             (-e.v - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END AS nz FROM e JOIN st USING (d)),
+pairs AS (SELECT a.vec_id AS q, b.vec_id AS t, sqrt(sum((a.nz - b.z) * (a.nz - b.z))) AS dist
+          FROM z a JOIN z b ON a.d = b.d GROUP BY a.vec_id, b.vec_id),
+nb AS (SELECT q, t FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS rn FROM pairs) WHERE rn <= 5),
+votes AS (SELECT nb.q, em.label, count(*) AS c FROM nb JOIN embeddings em ON em.vec_id = nb.t GROUP BY 1, 2),
+best AS (SELECT q, label AS prediction, c AS top FROM (
+           SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, label) AS r FROM votes) WHERE r = 1),
+classes AS (SELECT DISTINCT label FROM embeddings)
+SELECT best.q AS vec_id, CAST(best.prediction AS BIGINT) AS prediction, {sql_round('best.top * 20.0', 6)} AS confidence,
+       CAST(classes.label AS BIGINT) AS label, {sql_round('coalesce(votes.c, 0) * 20.0', 6)} AS percent
+FROM best CROSS JOIN classes LEFT JOIN votes ON votes.q = best.q AND votes.label = classes.label""")
+def q_knn_score(spark, sf_dir):
+    """V1: new rows (every vector with its sign turned) scored by the five nearest training rows."""
+    df, feats = _embedding_table(spark, sf_dir)
+    m = knn(df, "vec_id", "label", feats, k=5, prep=False)
+    new = df.select("vec_id", *[(-F.col(f)).alias(f) for f in feats])
+    p = m.predict(new).select("vec_id", "prediction", "confidence", F.explode("probabilities").alias("p"))
+    return p.select("vec_id", F.col("prediction").cast("long").alias("prediction"),
+                    round_half_up("confidence", 6).alias("confidence"), F.col("p.label").cast("long").alias("label"),
+                    round_half_up("p.percent", 6).alias("percent"))

@@ -32,13 +32,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """JSON lines, or one JSON array per file (``multiline=True``)."""
+    """JSON lines, or one JSON array per file (``multiline=True``). Missing tokens become NULL and text columns
+    are typed again, so ``1, "NA", 3`` is a numeric column."""
     reader = spark.read
     if multiline is None:
         multiline = _looks_like_array(spark, path)
     if multiline:
         reader = reader.option("multiLine", True)
-    return normalise_missing(reader.json(path))
+    return infer_types(normalise_missing(reader.json(path)))
 
 
 def _looks_like_array(spark: SparkSession, path: str) -> bool:
@@ -75,7 +76,8 @@ def normalise_missing(df: DataFrame, tokens: list[str] = MISSING_TOKENS) -> Data
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Give each text column the narrowest of long / double / boolean that all its non-NULL values cast to.
+    """Give each text column the narrowest of long / double / boolean that all its non-NULL values cast to. Only
+    ``true`` and ``false`` are booleans: yes/no, y/n and t/f columns stay text.
 
     One aggregate pass computes, for every column, whether any value fails each cast.
     """
@@ -86,7 +88,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     for name in text_cols:
         c = F.trim(F.col(f"`{name}`"))
         for kind in ("bigint", "double", "boolean"):
-            bad = c.isNotNull() & F.expr(f"try_cast(trim(`{name}`) AS {kind})").isNull()
+            bad = (~F.lower(c).isin("true", "false") if kind == "boolean"
+                   else c.isNotNull() & F.expr(f"try_cast(trim(`{name}`) AS {kind})").isNull())
             checks.append(F.max(bad.cast("int")).alias(f"{name}\u0001{kind}"))
     flags = df.agg(*checks).first().asDict()
     cols = []
