@@ -16,24 +16,18 @@ def spark():
     s.stop()
 
 
-def sample_customers(seed: int = 7, n: int = 60):
-    """A generated look-alike of the reference's sample table: 60 rows × 11 columns, same column classes."""
+def sample_orchard(seed: int = 7, n: int = 60):
+    """A made table of trees: one text column, two categories, seven numbers and a Yes/No last column."""
     rng = np.random.default_rng(seed)
-    depts = ["Engineering", "HR", "Management", "Marketing", "Sales"]
-    cities = ["Bangalore", "Chennai", "Delhi", "Hyderabad", "Kolkata", "Mumbai", "Pune"]
+    soils, slopes = ["chalk", "clay", "loam", "peat"], ["east", "flat", "north", "south", "west"]
     rows = []
     for i in range(n):
-        age = int(rng.integers(22, 57))
-        exp = int(min(max(age - 22 - rng.integers(0, 5), 0), 30))
-        salary = int(34000 + exp * 3000 + rng.integers(0, 8000))
-        purchases = int(rng.integers(2, 28))
-        spend = int(rng.integers(115, 3001))
-        tickets = int(rng.integers(0, 10))
-        sat = round(float(np.clip(9.8 - tickets * 0.5 + rng.normal(0, 0.5), 3.8, 9.8)), 1)
-        churned = "Yes" if tickets > 5 or sat < 5.5 else "No"
-        rows.append((f"Person {i:03d}", age, salary, exp, depts[i % 5], cities[i % 7], purchases, spend, tickets,
-                     sat, churned))
-    schema = ("name string, age int, salary int, years_experience int, department string, city string, "
-              "purchases_per_month int, avg_spend int, support_tickets int, satisfaction_score double, "
-              "churned string")
+        rings = int(rng.integers(2, 41))
+        height = round(1.5 + 0.2 * rings + float(rng.normal(0, 0.4)), 2)
+        pests = int(rng.integers(0, 9))
+        vigour = round(float(np.clip(9 - 0.7 * pests + rng.normal(0, 0.6), 0, 10)), 1)
+        rows.append((f"tree-{i:04d}", rings, height, soils[i % 4], slopes[int(rng.integers(0, 5))], int(rng.integers(50, 900)),
+                     int(rng.integers(1, 30)), float(rng.integers(10, 90)) / 4, pests, vigour, "Yes" if vigour > 5 else "No"))
+    schema = ("tag string, rings int, height double, soil string, slope string, leaves int, visits int, water double, "
+              "pests int, vigour double, fruiting string")
     return rows, schema

@@ -4,10 +4,10 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import sample_customers
+from conftest import sample_orchard
 from tabwise.operators.advise import choose_targets, suggest, top_matches, validate
-from tabwise.operators.catalog import (clear_results, hide_columns, latest_runs, log_run, patch, restore_config,
-                                       search, split_by, visible)
+from tabwise.operators.catalog import (clear_results, hide_columns, latest_runs, log_run, patch, restart_project,
+                                       restore_config, search, split_by, visible)
 from tabwise.operators.evaluate import confusion, regression_metrics
 from tabwise.operators.iforest import c_factor, isolation_forest
 from tabwise.operators.kmeans import kmeans_from
@@ -33,6 +33,8 @@ def test_isolation_forest_ranks_planted_outliers(spark):
     assert sorted(top5) == list(range(500, 505))
     s = m.summary.first()
     assert s["n_rows"] == 505 and 5 <= s["n_anomalies"] < 100
+    share = isolation_forest(df, "k", ["a", "b", "c"], trees=100, sample=256, seed=42, prep=False, contamination=0.02)
+    assert abs(share.summary.first()["n_anomalies"] - 10) <= 1
     # repeatable: same seed, same scores
     again = isolation_forest(df.repartition(3), "k", ["a", "b", "c"], trees=100, sample=256, seed=42, prep=False)
     a = {r["k"]: r["anomaly_score"] for r in m.scores.collect()}
@@ -48,15 +50,15 @@ def test_target_choice():
 
 
 def test_validate_and_suggest(spark):
-    rows, schema = sample_customers()
+    rows, schema = sample_orchard()
     data = spark.createDataFrame(rows, schema)
-    st = spark.createDataFrame([(1, "Predict which customers churned"),
-                                (2, "Group customers into segments by salary"),
+    st = spark.createDataFrame([(1, "Predict which trees are fruiting"),
+                                (2, "Group customers into segments by height"),
                                 (3, "Detect unusual fraud anomalies in spending")], "id long, statement string")
     v = {(r["id"], r["technique"]): r for r in validate(data, st).collect()}
     assert v[(1, "kmeans")]["applicable"] is False and "predict" in v[(1, "kmeans")]["reason"]
-    assert v[(1, "classification")]["applicable"] is True and v[(1, "classification")]["target"] == "churned"
-    assert v[(2, "kmeans")]["applicable"] is True and v[(2, "regression")]["target"] == "salary"
+    assert v[(1, "classification")]["applicable"] is True and v[(1, "classification")]["target"] == "fruiting"
+    assert v[(2, "kmeans")]["applicable"] is True and v[(2, "regression")]["target"] == "height"
     assert v[(2, "regression")]["applicable"] is True
     nodata = {(r["id"], r["technique"]): r["applicable"] for r in validate(None, st).collect()}
     assert nodata[(1, "dbscan")] is False and nodata[(1, "pca")] is True
@@ -65,7 +67,7 @@ def test_validate_and_suggest(spark):
     assert first[3] == "anomaly" and first[2] == "kmeans"
     assert s.groupBy("id").count().agg(F.min("count")).first()[0] == 8
     t = choose_targets(st, "id", "statement", data.columns)
-    assert {r["id"]: r["target"] for r in t.collect()}[2] == "salary"
+    assert {r["id"]: r["target"] for r in t.collect()}[2] == "height"
     m = top_matches(st, "id", "statement", st, "id", "statement", n=1).collect()
     assert all(r["l"] == r["r"] and abs(r["cosine"] - 1.0) < 1e-9 for r in m)
 
@@ -90,7 +92,13 @@ def test_catalog_operators(spark, tmp_path):
     assert latest == {"p1": "dbscan", "p2": "pca"}
     assert restore_config(spark.read.parquet(log), "p1").first()["config"] == {"eps": "0.5"}
     clear_results(spark, log, "p2")
-    assert {r["project"] for r in latest_runs(spark.read.parquet(log)).collect()} == {"p1"}
+    state = {r["project"]: r for r in latest_runs(spark.read.parquet(log)).collect()}
+    assert state["p2"]["result"] is None and state["p2"]["technique"] == "pca" and state["p1"]["result"] == "r2"
+    clear_results(spark, log, "p1")
+    assert restore_config(spark.read.parquet(log), "p1").first()["config"] == {"eps": "0.5"}  # settings stay
+    restart_project(spark, log, "p1")
+    assert {r["project"] for r in latest_runs(spark.read.parquet(log)).collect()} == {"p2"}
+    assert restore_config(spark.read.parquet(log), "p1").count() == 0
 
 
 def test_metrics(spark):

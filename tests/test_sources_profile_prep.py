@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import sample_customers
+from conftest import sample_orchard
 from tabwise.operators.prep import fit_prep, fit_scaler
 from tabwise.operators.profile import missing_report, profile, summary
 from tabwise.operators.stats import exact_medians, mode_of, value_counts
@@ -43,18 +43,27 @@ def test_add_key_unique(spark):
     assert df.select("row_key").distinct().count() == 1000
 
 
-def test_profile_sample_table(spark):
-    rows, schema = sample_customers()
-    df = spark.createDataFrame(rows, schema)
+def test_profile_sample_table(spark, tmp_path):
+    rows, schema = sample_orchard()
+    lines = [",".join(c.split()[0] for c in schema.split(", "))] + [",".join(map(str, r)) for r in rows]
+    (tmp_path / "orchard.csv").write_text("\n".join(lines))
+    df = read_csv(spark, str(tmp_path / "orchard.csv"))
     prof = {r["column"]: r for r in profile(df).collect()}
-    assert prof["name"]["type"] == "text" and prof["name"]["values"] == []
-    assert prof["department"]["type"] == "categorical"
-    assert prof["department"]["values"] == ["Engineering", "HR", "Management", "Marketing", "Sales"]
-    ages = [r[1] for r in rows]
-    assert prof["age"]["min"] == min(ages) and prof["age"]["max"] == max(ages)
-    assert abs(prof["age"]["mean"] - round(float(np.mean(ages)), 3)) < 1e-9
-    s = summary(df, "predict churned customers").first()
-    assert s["n_rows"] == 60 and s["n_columns"] == 11 and s["n_text"] == 1 and s["target"] == "churned"
+    assert prof["tag"]["type"] == "text" and prof["tag"]["values"] == []
+    assert prof["fruiting"]["type"] == "categorical" and prof["fruiting"]["values"] == ["No", "Yes"]
+    assert prof["soil"]["values"] == ["chalk", "clay", "loam", "peat"]
+    rings = [r[1] for r in rows]
+    assert prof["rings"]["min"] == min(rings) and prof["rings"]["max"] == max(rings)
+    assert abs(prof["rings"]["mean"] - round(float(np.mean(rings)), 3)) < 1e-9
+    s = summary(df, "predict fruiting trees").first()
+    assert s["n_rows"] == 60 and s["n_columns"] == 11 and s["n_text"] == 1 and s["target"] == "fruiting"
+
+
+def test_json_is_typed_after_the_clean_up(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": "1", "y": "yes"}\n{"x": "NA", "y": "no"}\n{"x": "3", "y": null}\n')
+    df = read_json(spark, str(tmp_path / "a.json"))
+    assert dict(df.dtypes) == {"x": "bigint", "y": "string"}
+    assert sorted((r["x"] or 0, r["y"] or "") for r in df.collect()) == [(0, "no"), (1, "yes"), (3, "")]
 
 
 def test_profile_all_null_and_booleans(spark):
@@ -116,12 +125,12 @@ def test_exact_medians_match_numpy(spark, limit):
 
 
 def test_prep_keeps_rows_and_fills_everything(spark):
-    rows, schema = sample_customers()
+    rows, schema = sample_orchard()
     rows = [tuple(None if (i + j) % 9 == 0 and j > 0 else v for j, v in enumerate(r)) for i, r in enumerate(rows)]
     df = add_key(spark.createDataFrame(rows, schema))
     m = fit_prep(df, key="row_key")
     clean = m.transform(df)
-    assert clean.count() == 60 and "name" not in clean.columns
+    assert clean.count() == 60 and "tag" not in clean.columns
     nulls = clean.select([F.sum(F.col(c).isNull().cast("int")).alias(c) for c in m.columns]).first()
     assert all(v == 0 for v in nulls)
 
