@@ -109,7 +109,7 @@ def test_decontamination_matches_brute_force(spark):
 def test_decontamination_query_on_driver_tables(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = {d: t for d, t in texts(spark).items() if len(t) < 4000}
-    got = {r.doc_id: set(r.item_ids) for r in QUERIES["op1_decontaminate"](spark, SF).collect()}
+    got = {r.doc_id: {int(i) for i in r.item_ids.split(",")} for r in QUERIES["op1_decontaminate"](spark, SF).collect()}
     assert {d: s for d, s in got.items() if d in docs} == brute.contaminated(docs, items)
 
 
