@@ -46,10 +46,6 @@ def squared_distance(a: list, b: list) -> Column:
     return reduce(lambda p, q: p + q, terms)
 
 
-def euclidean(a: list, b: list) -> Column:
-    return F.sqrt(squared_distance(a, b))
-
-
 def argmin(values: list) -> Column:
     """0-based index of the smallest column in ``values``; ties go to the lower index."""
     arr = F.array(*values)
@@ -59,13 +55,6 @@ def argmin(values: list) -> Column:
 TOKEN_SPLIT = "[^A-Za-z0-9]+"
 
 
-def ascii_tokens(text) -> Column:
-    """Array form: split on anything but ASCII letters/digits, then lower-case; empty pieces removed.
-    (Higher-order lambdas run interpreted; for big texts prefer :func:`token_rows`.)"""
-    parts = F.split(_c(text), TOKEN_SPLIT)
-    return F.filter(F.transform(parts, lambda t: F.lower(t)), lambda t: t != F.lit(""))
-
-
 def token_rows(df, key: str, text: str, key_alias: str = "k", token_alias: str = "t"):
     """One row per token occurrence: (key, token). The whole text is tokenised (never a prefix); splitting on
     non-ASCII-alphanumerics before lower-casing keeps tokens identical across engines whose Unicode case maps

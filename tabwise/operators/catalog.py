@@ -27,7 +27,7 @@ def visible(df: DataFrame, role: str, starred: str = "starred") -> DataFrame:
     The predicate reaches the Parquet scan as a pushed filter."""
     if role == "admin":
         return df
-    return df.where(F.coalesce(F.col(starred), F.lit(False)))
+    return df.where(F.col(starred))  # WHERE drops a NULL flag by itself, and the plain column is pushed down
 
 
 def search(df: DataFrame, term: str | None, column: str = "name") -> DataFrame:

@@ -41,10 +41,3 @@ def classification_metrics(df: DataFrame, label: str, prediction: str = "predict
     tot = conf.agg(F.sum("count").alias("n"),
                    F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)).alias("hit"))
     return tot.select(F.lit("accuracy").alias("metric"), (F.col("hit") / F.col("n")).alias("value"))
-
-
-def anomaly_summary(df: DataFrame, flag: str = "is_anomaly") -> DataFrame:
-    """Anomaly count and percentage."""
-    f = _c(flag).cast("int")
-    return df.agg(F.sum(f).cast("long").alias("n_anomalies"), (F.avg(f) * 100).alias("anomaly_pct"),
-                  F.count(F.lit(1)).alias("n_rows"))

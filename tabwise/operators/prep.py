@@ -38,9 +38,6 @@ class PrepModel:
         original = [c for c in df.columns if c != self.key]
         return {"all_cols": original, "clean_cols": list(self.columns), "numeric_cols": list(self.columns)}
 
-    def code_fill(self, c: str) -> int:
-        return self.categories[c].index(self.fills[c]) if self.fills.get(c) in self.categories[c] else 0
-
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Cleaned table: key, then kept columns as doubles (categoricals as codes). Unseen categories in new
         data get the median code (F10); blank numeric fields get the median (F11). A column the input does not
@@ -154,9 +151,3 @@ class Scaler:
 def fit_scaler(df: DataFrame, cols: list[str]) -> Scaler:
     ms = mean_std(df, cols)
     return Scaler({c: ms[c][0] for c in cols}, {c: ms[c][1] for c in cols})
-
-
-def standardize_cols(df: DataFrame, cols: list[str]):
-    """Expression form of F4 with window-free stats, for a single pass after one aggregate."""
-    sc = fit_scaler(df, cols)
-    return [((F.col(f"`{c}`") - F.lit(sc.means[c])) / safe_scale(F.lit(sc.stds[c]))).alias(c) for c in cols]

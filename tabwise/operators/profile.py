@@ -96,12 +96,8 @@ def missing_report(df: DataFrame, max_missing: float = 0.8) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def row_count(df: DataFrame) -> int:
-    """G3/G20."""
-    return df.count()
-
-
 def is_empty(df: DataFrame) -> bool:
+    """Stops at the first row found."""
     return df.isEmpty()
 
 

@@ -5,14 +5,10 @@
   aggregate, and only a bracket of at most ``limit`` distinct values per column ever reaches the driver.
 * ``value_counts``: per-column distinct values with counts for low-cardinality columns (G2/G8), guarded by an
   HyperLogLog estimate so high-cardinality text is never grouped.
-* ``moments``: count, sums and the cross-product (Gram) matrix in one pass — the normal equations for ridge and
-  the covariance for PCA (what Spark ML's weighted least squares and RowMatrix compute internally).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,24 +159,6 @@ def mode_of(counts: list[tuple]) -> str | None:
     return sorted(counts, key=lambda t: (-t[1], t[0].encode("utf-8")))[0][0]
 
 
-def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, Σx, ΣxxT) over rows where every column is non-NULL, in one partial-aggregate pass (p² sums)."""
-    p = len(cols)
-    x = [F.col(_q(c)).cast("double") for c in cols]
-    complete = df.where(F.lit(True) if not cols else F.expr(" AND ".join(f"{_q(c)} IS NOT NULL" for c in cols)))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(x[i]).alias(f"s{i}") for i in range(p)]
-    aggs += [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = complete.agg(*aggs).first().asDict()
-    n = int(row["n"])
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)], dtype=float)
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"c{i}_{j}"] or 0.0
-    return n, s, g
-
-
 def mean_std(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, float | None]]:
     """Mean and population standard deviation per column, one pass."""
     if not cols:
@@ -193,10 +171,6 @@ def mean_std(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, fl
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
 
-def finite(v) -> bool:
-    return v is not None and not (isinstance(v, float) and (math.isnan(v) or math.isinf(v)))
-
-
 def centered_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, population covariance) over complete rows, one pass. ``covar_pop`` is updated with centred
     running moments, so large raw values do not cancel catastrophically as Σxx − n·x̄x̄ would."""

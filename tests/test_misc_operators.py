@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from conftest import sample_orchard
 from tabwise.operators.advise import choose_targets, suggest, top_matches, validate
-from tabwise.operators.catalog import (clear_results, hide_columns, latest_runs, log_run, patch, restart_project,
-                                       restore_config, search, split_by, visible)
+from tabwise.operators.catalog import (clear_results, column_order, hide_columns, latest_runs, log_run, patch, restart_project,
+                                       restore_config, search, split_by, visible, with_string_id)
 from tabwise.operators.evaluate import confusion, regression_metrics
 from tabwise.operators.iforest import c_factor, isolation_forest
 from tabwise.operators.kmeans import kmeans_from
+from tabwise.operators.profile import is_empty
 from tabwise.operators.target import choose_target
+from tabwise.sources import read_csv, write_csv, write_table
 from tabwise.streaming import read_stream, score_stream
 
 
@@ -186,3 +188,20 @@ def test_lineage_cut_uses_session_checkpoint_dir_and_spread(spark):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(50).repartition(spark.sparkContext.defaultParallelism + 1)
     assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 1
+
+
+def test_small_catalog_helpers(spark, tmp_path):
+    df = spark.createDataFrame([(1, True), (2, None), (3, False)], "_id long, starred boolean")
+    out = with_string_id(df)
+    assert dict(out.dtypes)["id"] == "string" and "_id" not in out.columns
+    assert column_order(["b", "a"], ["c", "a"]) == ["b", "a", "c"]
+    assert is_empty(df.where("false")) and not is_empty(df)
+    path = str(tmp_path / "t")
+    write_table(df, path)
+    write_table(df.where("_id = 1"), path)  # S7: replaced, not appended
+    assert spark.read.parquet(path).count() == 1
+    write_csv(df, str(tmp_path / "c"))  # S9: comes back as it went
+    assert sorted((r["_id"], r["starred"]) for r in read_csv(spark, str(tmp_path / "c")).collect()) == [(1, 1), (2, None), (3, 0)]
+    write_table(df, path)
+    plan = visible(spark.read.parquet(path), "guest_user")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(starred), EqualTo(starred,true)]" in plan or "EqualTo(starred,true)" in plan
