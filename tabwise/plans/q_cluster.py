@@ -169,14 +169,55 @@ def q_pca_variance(spark, sf_dir):
                     round_half_up("cumulative_pct", 4).alias("cumulative_pct"))
 
 
-@register("pca_top_features")
+PCA4 = [*PCA3, "tax"]
+
+
+def _power_sql(squarings: int = 40) -> str:
+    """Eigenvectors of the 4×4 correlation matrix by power iteration (the matrix is squared and scaled again and
+    again) and deflation; the largest |loading| of each is positive. CTEs b (the table), m0…m3 (matrix, deflated),
+    e1…e4 (eigenvector x0…x3 with value l)."""
+    n = range(4)
+    cells = [f"c{i}{j}" for i in n for j in n]
+    parts = ["b AS (SELECT *, l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net_price, l_quantity AS qty, "
+             "l_tax AS tax FROM lineitem)",
+             "m0 AS (SELECT " + ", ".join(("CAST(1 AS DOUBLE)" if i == j else f"corr({PCA4[i]}, {PCA4[j]})") + f" AS c{i}{j}"
+                                          for i in n for j in n) + " FROM b)"]
+    for k in n:
+        square = ", ".join("(" + " + ".join(f"c{i}{h} * c{h}{j}" for h in n) + f") AS d{i}{j}" for i in n for j in n)
+        parts.append(f"p{k}(step, {', '.join(cells)}) AS (SELECT 0, {', '.join(cells)} FROM m{k} UNION ALL SELECT step + 1, "
+                     + ", ".join(f"d{i}{j} / (d00 + d11 + d22 + d33)" for i in n for j in n)
+                     + f" FROM (SELECT step, {square} FROM p{k} WHERE step < {squarings}))")
+        top = "greatest(c00, c11, c22, c33)"  # the limit is v·vᵀ: the column of the largest loading, made positive
+        col = ", ".join("CASE " + " ".join(f"WHEN c{j}{j} = {top} THEN c{i}{j} / sqrt(c{j}{j})" for j in n) + f" END AS x{i}" for i in n)
+        norm = "sqrt(" + " + ".join(f"x{i} * x{i}" for i in n) + ")"
+        unit = f"(SELECT {', '.join(f'x{i} / {norm} AS x{i}' for i in n)} FROM (SELECT {col} FROM p{k} WHERE step = {squarings}))"
+        value = " + ".join(f"x{i} * x{j} * c{i}{j}" for i in n for j in n)
+        parts.append(f"e{k + 1} AS (SELECT {value} AS l, x0, x1, x2, x3 FROM {unit}, m{k})")
+        if k < 3:
+            parts.append(f"m{k + 1} AS (SELECT " + ", ".join(f"c{i}{j} - l * x{i} * x{j} AS c{i}{j}" for i in n for j in n)
+                         + f" FROM m{k}, e{k + 1})")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+@register("pca_top_features", _power_sql() + ",\nl AS (" + " UNION ALL ".join(
+    f"SELECT {k + 1} AS component, '{f}' AS feature, x{j} AS loading FROM e{k + 1}" for k in range(4) for j, f in enumerate(PCA4))
+    + f""")
+SELECT component, feature, {sql_round('loading', 4)} AS loading, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature) AS rank FROM l) WHERE rank <= 2""")
 def q_pca_top_features(spark, sf_dir):
-    m = pca(_lineitem_pca_input(spark, sf_dir), "row_key", PCA3 + ["tax"], prep=False)
-    return m.top_features(2)
+    m = pca(_lineitem_pca_input(spark, sf_dir), "row_key", PCA4, prep=False)
+    return m.top_features(2).select("component", "feature", round_half_up("loading", 4).alias("loading"), "rank")
 
 
-@register("pca_reduce")
+_Z4 = [f"((b.{f} - a.m{j}) / a.s{j})" for j, f in enumerate(PCA4)]
+
+
+@register("pca_reduce", _power_sql() + ",\na AS (SELECT " + ", ".join(
+    f"avg({f}) AS m{j}, stddev_pop({f}) AS s{j}" for j, f in enumerate(PCA4)) + """ FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, """ + ", ".join(
+    sql_round("(" + " + ".join(f"{z} * e{k}.x{j}" for j, z in enumerate(_Z4)) + ")", 4) + f' AS "PC{k}"' for k in (1, 2))
+    + " FROM b, a, e1, e2")
 def q_pca_reduce(spark, sf_dir):
-    out, _side = pca_reduce(_lineitem_pca_input(spark, sf_dir), "row_key", 2, PCA3 + ["tax"], prep=False)
+    out, _side = pca_reduce(_lineitem_pca_input(spark, sf_dir), "row_key", 2, PCA4, prep=False)
     return out.select(*[F.col(f"row_key.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")],
-                      "PC1", "PC2")
+                      round_half_up("PC1", 4).alias("PC1"), round_half_up("PC2", 4).alias("PC2"))
