@@ -129,6 +129,22 @@ def q_kmeans_silhouette(spark, sf_dir):
     return spark.createDataFrame([(m.k, m.silhouette)], "k int, silhouette_sq_euclidean double")
 
 
+@register("lloyd_quality", _lloyd_sql(3) + f""",
+p AS (SELECT z.c_custkey, z.f0, z.f1, a3.cl, a3.d2 FROM z JOIN a3 USING (c_custkey)),
+g AS (SELECT cl, count(*) AS n, avg(f0) AS m0, avg(f1) AS m1, avg(f0 * f0 + f1 * f1) AS q FROM p GROUP BY cl),
+d AS (SELECT p.c_custkey, p.cl, g.cl AS other, g.n,
+             f0 * f0 + f1 * f1 - 2 * (f0 * m0 + f1 * m1) + q AS mean_sq FROM p, g),
+ab AS (SELECT c_custkey, max(CASE WHEN cl = other AND n > 1 THEN mean_sq * n / (n - 1) END) AS a,
+              min(CASE WHEN cl <> other THEN mean_sq END) AS b FROM d GROUP BY c_custkey)
+SELECT {sql_round('(SELECT sum(d2) FROM p)', 4)} AS inertia,
+       {sql_round('avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END)', 6)} AS silhouette_sq_euclidean FROM ab""")
+def q_lloyd_quality(spark, sf_dir):
+    """G16/G17 on the fixed-start path: inertia and silhouette after three Lloyd steps."""
+    m = _customer_kmeans(spark, sf_dir, 3)
+    df = spark.createDataFrame([(m.inertia, m.silhouette)], "i double, s double")
+    return df.select(round_half_up("i", 4).alias("inertia"), round_half_up("s", 6).alias("silhouette_sq_euclidean"))
+
+
 # ---------------------------------------------------------------------------------------------------------
 PCA3 = ["price", "net_price", "qty"]
 
