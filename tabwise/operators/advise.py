@@ -37,6 +37,18 @@ TECHNIQUE_PHRASES = {
     "anomaly": "detect unusual anomalies outliers fraud suspicious abnormal rare spending patterns",
 }
 
+# Fixed values (our own wording): what a suggestion shows beside its score.
+TECHNIQUE_CARDS = {
+    "classification": ("supervised", "a column holds few classes and new rows need one of them"),
+    "regression": ("supervised", "a number has to be estimated from the other columns"),
+    "decision_tree": ("supervised", "classes should be told apart by rules a person can read"),
+    "knn": ("supervised", "rows that look alike share a class"),
+    "kmeans": ("unsupervised", "rows should fall into a known number of round groups"),
+    "dbscan": ("unsupervised", "groups have any shape and stray rows should stand out"),
+    "pca": ("unsupervised", "many numeric columns say much the same"),
+    "anomaly": ("unsupervised", "a few rows differ from all others"),
+}
+
 # Fixed values (ours): score cut-offs for the confidence label.
 HIGH_CUTOFF, MEDIUM_CUTOFF = 0.30, 0.15
 
@@ -177,7 +189,7 @@ def technique_phrases(spark) -> DataFrame:
 
 def suggest(df: DataFrame | None, statements: DataFrame, key: str = "id", text: str = "statement",
             phrases: DataFrame | None = None, block_terms: tuple[str, ...] = ("predict",)) -> DataFrame:
-    """A2: every technique ranked per statement: (key, technique, score, label, rank, reasons).
+    """A2: every technique ranked per statement: (key, technique, category, use_when, score, label, rank, reasons).
     score = cosine(statement, technique phrase) + 0.2 when the data make the technique applicable (only
     when data are given); inapplicable techniques keep their similarity but carry the reason."""
     spark = statements.sparkSession
@@ -196,6 +208,7 @@ def suggest(df: DataFrame | None, statements: DataFrame, key: str = "id", text:
     w = Window.partitionBy(key).orderBy(F.desc("score"), "technique")
     reasons = F.array_compact(F.array(
         F.concat(F.lit("statement similarity "), F.format_number(F.col("similarity"), 3)), F.col("reason")))
-    return (scored.select(key, "technique", score.alias("score"), label.alias("label"), reasons.alias("reasons"),
-                          "applicable")
+    card = [F.coalesce(*[F.when(F.col("technique") == t, F.lit(c[i])) for t, c in TECHNIQUE_CARDS.items()]) for i in (0, 1)]
+    return (scored.select(key, "technique", card[0].alias("category"), card[1].alias("use_when"), score.alias("score"),
+                          label.alias("label"), reasons.alias("reasons"), "applicable")
             .withColumn("rank", F.row_number().over(w)))

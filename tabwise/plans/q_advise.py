@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import round_half_up, sql_round
-from ..operators.advise import TECHNIQUE_PHRASES, TECHNIQUES, column_tokens, suggest, top_matches, validate
+from ..operators.advise import TECHNIQUE_CARDS, TECHNIQUE_PHRASES, TECHNIQUES, column_tokens, suggest, top_matches, validate
 from ..sources import read_table
 from .registry import register
 
@@ -145,3 +145,32 @@ FROM documents CROSS JOIN (VALUES {_TECH}) tech(technique)""")
 def q_validate_docs_nodata(spark, sf_dir):
     """C1 without a data file: validity from the statement alone."""
     return validate(None, _statements(spark, sf_dir), key="doc_id", text="text")
+
+
+# problem statements made of the suppliers' rows
+_ASKS = ["group customers into segments of similar behaviour", "predict churn class yes or no for mktsegment",
+         "detect unusual fraud and rare spending patterns", "estimate the numeric value of acctbal"]
+_ST_SQL = ("SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_ASKS))
+           + " END || ' ' || s_name AS text FROM supplier")
+
+
+@register("suggest_with_data", f"WITH v AS ({_VALIDATE_SQL.replace('SELECT doc_id, text FROM documents', _ST_SQL)}),\n"
+          f"s AS ({_ST_SQL}), ph(technique, text) AS (VALUES {_PHRASES}),"
+          + _tfidf_sql(_tokens_sql("s", "doc_id"), _tokens_sql("ph", "technique"), "(SELECT count(*) FROM ph)")
+          + f""",
+card(technique, category, use_when) AS (VALUES {_values([(t, *c) for t, c in TECHNIQUE_CARDS.items()])}),
+sc AS (SELECT v.doc_id, v.technique, v.applicable, v.reason,
+              {sql_round("coalesce(sim.cosine, 0.0) + CASE WHEN v.applicable THEN 0.2 ELSE 0.0 END", 6)} AS score
+       FROM v LEFT JOIN sim ON sim.l = v.doc_id AND sim.r = v.technique)
+SELECT doc_id AS s_suppkey, technique, category, use_when, score,
+       CASE WHEN score >= 0.3 THEN 'High' WHEN score >= 0.15 THEN 'Medium' ELSE 'Low' END AS label, applicable, reason,
+       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, technique) AS INTEGER) AS rank
+FROM sc JOIN card USING (technique)""")
+def q_suggest_with_data(spark, sf_dir):
+    """A2 with the customer table as data: statements made of the suppliers' rows, bonus for applicable techniques."""
+    k = F.col("s_suppkey")
+    ask = F.coalesce(*[F.when(k % 4 == i, F.lit(t)) for i, t in enumerate(_ASKS)])
+    st = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", ask, F.col("s_name")).alias("text"))
+    s = suggest(read_table(spark, sf_dir, "customer"), st, key="s_suppkey", text="text")
+    return s.select("s_suppkey", "technique", "category", "use_when", "score", "label", "applicable",
+                    F.element_at("reasons", -1).alias("reason"), F.col("rank").cast("int").alias("rank"))
