@@ -206,13 +206,16 @@ def dbscan(df: DataFrame, key: str, features: list[str] | None = None, eps: floa
     xs = [f"x{j}" for j in range(d)]
     z = data.select(F.col(key).alias("k"), *[scaler.expr(f).alias(x) for f, x in zip(feats, xs)])
     mp = min_pts or auto_min_pts(data.count())
-    gx = choose_grid(z, xs, eps)
+    # sparse points meet through up to three features (27 neighbouring cells), so a value pair that many of them
+    # share is split by the third; cells meet through the first two (their neighbourhoods are wider)
+    gs = choose_grid(z, xs, eps, max_dims=3)
+    gx, ns = gs[:2], len(gs)
     ng = len(gx)
     eps2 = F.lit(eps * eps)
     side = eps / math.sqrt(d)
     cell = F.struct(*[F.floor(F.col(x) / F.lit(side)).alias(f"c{j}") for j, x in enumerate(xs)])
     pts = z.select("k", *xs, cell.alias("cell"), *[F.floor(F.col(g) / F.lit(eps)).alias(f"g{i}")
-                                                    for i, g in enumerate(gx)])
+                                                    for i, g in enumerate(gs)])
     lo, hi = [f"lo{j}" for j in range(d)], [f"hi{j}" for j in range(d)]
     cells = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("rep"),
                                     *[F.min(x).alias(a) for x, a in zip(xs, lo)],
@@ -228,10 +231,10 @@ def dbscan(df: DataFrame, key: str, features: list[str] | None = None, eps: floa
 
     # (i) sparse × sparse through the coarse grid
     a_cols = [F.col("k").alias("p")] + [F.col(x).alias(f"a_{x}") for x in xs]
-    left = S.select(*a_cols, *[F.col(f"g{i}") for i in range(ng)])
+    left = S.select(*a_cols, *[F.col(f"g{i}") for i in range(ns)])
     right = _shift(S.select(F.col("k").alias("q"), *[F.col(x).alias(f"b_{x}") for x in xs],
-                            *[F.col(f"g{i}") for i in range(ng)]), ng, 1, ["q"] + [f"b_{x}" for x in xs])
-    ss = (left.join(right, [f"g{i}" for i in range(ng)])
+                            *[F.col(f"g{i}") for i in range(ns)]), ns, 1, ["q"] + [f"b_{x}" for x in xs])
+    ss = (left.join(right, [f"g{i}" for i in range(ns)])
           .where(_d2([f"a_{x}" for x in xs], [f"b_{x}" for x in xs]) <= eps2).select("p", "q"))
     ss = keep(ss)
 

@@ -75,6 +75,22 @@ def test_dbscan_hot_region_matches_brute_force(spark):
     assert m.labels.where("n_neighbours IS NULL").count() >= 100
 
 
+def test_dbscan_five_features_with_a_hot_value(spark):
+    """A third of the rows on one point, a third sharing two coordinates, five features."""
+    rng = np.random.default_rng(21)
+    X = rng.normal(size=(360, 5)) * 2
+    X[:120] = [1.0, 0.5, 0.0, -1.0, 2.0]
+    X[120:240, :2] = [0.25, 0.25]
+    X[120:180, 2:] = rng.normal(size=(60, 3)) * 0.2
+    names = [f"f{j}" for j in range(5)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(X)], "k long, " + ", ".join(f"{n} double" for n in names))
+    Z = (X - X.mean(0)) / X.std(0)
+    want, _ = brute_dbscan(Z, 0.3, 5)
+    m = dbscan(df, "k", names, eps=0.3, min_pts=5, prep=False)
+    got = {r["k"]: r["cluster"] for r in m.labels.collect()}
+    assert [got[i] for i in range(360)] == list(want) and len(set(want)) > 2
+
+
 def test_dbscan_border_tie_goes_to_lower_cluster(spark):
     left = [(-1.0 - 0.05 * i, 0.0) for i in range(4)]
     right = [(1.0 + 0.05 * i, 0.0) for i in range(4)]
