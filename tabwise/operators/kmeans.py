@@ -138,7 +138,10 @@ class KMeansModel:
         zf = [f"__z_{f}" for f in self.features]
         dist = distances_expr(zf, self.centers)
         cl, _ = assign_expr(zf, self.centers)
-        return (z.select(self.key, cl.alias("assigned"), F.posexplode(dist).alias("cluster", "distance")))
+        out = z.select(self.key, cl.alias("assigned"), F.posexplode(dist).alias("cluster", "distance"))
+        filled = (self.prep.filled_list(df, self.features) if self.prep is not None
+                  else F.expr("cast(array() as array<string>)"))
+        return out.join(df.select(self.key, filled.alias("missing_filled")), self.key)
 
 
 def standardized(df: DataFrame, key: str, features: list[str] | None, prep: bool):

@@ -108,3 +108,31 @@ def test_trees_importances_probabilities_and_split(spark):
         if best is None or g < best[0] - 1e-15:
             best = (g, thr)
     assert abs(b["gini"] - best[0]) < 1e-12 and abs(b["threshold"] - best[1]) < 1e-12
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(400, 3))
+    rows = [(i, *map(float, X[i]), int(X[i, 0] + X[i, 1] > 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y int")
+    got = [[(r["feature"], r["importance"]) for r in forest(d, "k", "y", ["a", "b", "c"], trees=8, depth=4, cv=False, prep=False)
+            .importances.orderBy("feature").collect()] for d in (df, df.repartition(5), df.orderBy(F.desc("k")).coalesce(1))]
+    assert got[0] == got[1] == got[2]
+
+
+def test_rules_and_scoring_speak_of_classes_and_categories(spark):
+    rows = [(i, ["red", "green", "blue"][i % 3], float(i % 7), "warm" if i % 3 == 0 else "cold") for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, colour string, size double, kind string")
+    t = tree(df, "k", "kind", depth=3, cv=False)
+    assert "colour in {red}" in t.rules and "Predict: warm" in t.rules and "feature" not in t.rules.split("\n", 1)[1]
+    new = spark.createDataFrame([(1000, "red", None), (1001, None, 2.0)], "k long, colour string, size double")
+    out = {r["k"]: r for r in t.predict(new).collect()}
+    assert out[1000]["prediction"] == "warm" and out[1000]["missing_filled"] == ["size"] and out[1001]["missing_filled"] == ["colour"]
+    assert out[1000]["target_col"] == "kind"
+
+
+def test_kmeans_scoring_lists_filled_columns(spark):
+    df = spark.createDataFrame([(i, float(i % 2) * 10, float(i % 2) * 10 + i / 100) for i in range(40)], "k long, a double, b double")
+    m = kmeans_from(df, "k", ["a", "b"], [[-1.0, -1.0], [1.0, 1.0]], 2, prep=True)
+    got = m.score(spark.createDataFrame([(1, 0.0, None), (2, 10.0, 10.0)], "k long, a double, b double")).collect()
+    assert {r["k"]: r["missing_filled"] for r in got} == {1: ["b"], 2: []}
