@@ -172,7 +172,7 @@ class WordEncoder:
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
                                                                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.cut = regex.compile(split["pattern"]["Regex"]).findall
+            self.cut = regex.compile(split["pattern"]["Regex"] + "|\n").findall
             vocabulary = self.whole.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
@@ -194,26 +194,25 @@ class WordEncoder:
         return out
 
     def _learn_words(self, new: set) -> dict:
-        out, rest, cut = {}, [], {}
-        for w in new:
-            text = w.decode()
-            if self.plain is not None and max(text) < "ɐ":
-                cut[w] = self.cut(text.lower())
-            else:
-                rest.append((w, text))
-        if cut:
-            get = self.pieces.fill({p for ps in cut.values() for p in ps}, self._learn_pieces).__getitem__
-            for w, ps in cut.items():
-                out[w] = b"".join(map(get, ps))
+        """Words of characters below U+0250, whose lower case does not depend on neighbours, are cut all at once; the
+        end of a word is marked by four bytes that no two ids below 2^24 can hold together."""
+        simple = [w for w in new if w.isascii() or max(w) < 0xC9] if self.plain is not None else []
+        out = {}
+        if simple:
+            pieces = self.cut(b"\n".join(simple).decode().lower())
+            known = self.pieces.fill(set(pieces).difference("\n"), self._learn_pieces)
+            known["\n"] = b"\xff\xff\xff\xff"
+            out = dict(zip(simple, b"".join(map(known.__getitem__, pieces)).split(b"\xff\xff\xff\xff"), strict=True))
+        rest = list(new.difference(out))
         if rest:
-            for (w, _), e in zip(rest, self.whole.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
-                out[w] = np.array(e.ids, "<u4").tobytes()
+            found = self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found))
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null and empty."""
         split = [t.encode().split() if t else [] for t in texts]
-        get = self.words.fill({w for s in split for w in s}, self._learn_words).__getitem__
+        get = self.words.fill(set().union(*split), self._learn_words).__getitem__
         return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
 
 
@@ -293,37 +292,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
     return cut_lineage(dealt.mapInArrow(run, "file string, part int, number int, documents long, tokens long"))
 
 
-def read_tokens(files: DataFrame, folder: str) -> DataFrame:
+def read_tokens(files: DataFrame, folder: str, files_per_task: int = 8) -> DataFrame:
     """The documents of the listed files, read back: doc_id, start (tokens before it in the whole corpus),
-    n_tokens, ids (bytes, little-endian unsigned 32-bit)."""
-    spark = files.sparkSession
-    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()),
-                        ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    n_tokens, ids (bytes, little-endian unsigned 32-bit). Each task opens the files it is given by name; only names
+    and offsets are shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                head, ids, counts, wm = unpack(content.as_buffer())
-                raw = wm.decode().astype("<u4").tobytes()
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                fs, path = _store(folder)
+                with fs.open_input_stream(f"{path}/{name}") as f:
+                    _, ids, counts, wm = unpack(f.read())
+                raw = wm.decode().astype("<u4", copy=False).tobytes()
                 ends = np.cumsum(counts)
                 for a in range(0, len(ids), 2000):
                     b = min(len(ids), a + 2000)
                     spans = list(zip((ends[a:b] - counts[a:b]).tolist(), ends[a:b].tolist()))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([head["part"]] * (b - a), pa.int32()), pa.array([head["number"]] * (b - a), pa.int32()),
-                        pa.array(ids[a:b], pa.int64()), pa.array([s for s, _ in spans], pa.int64()), pa.array(counts[a:b], pa.int64()),
-                        pa.array([raw[4 * s:4 * e] for s, e in spans], pa.binary())], schema=schema)
+                        pa.array(ids[a:b], pa.int64()), pa.array([base + s for s, _ in spans], pa.int64()),
+                        pa.array(counts[a:b], pa.int64()), pa.array([raw[4 * s:4 * e] for s, e in spans], pa.binary())], schema=schema)
 
-    # one row per partition meets in one task; files of a partition are summed beside each other
+    # one row per written partition meets in one task; files of a partition are summed beside each other
     parts = files.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("part").orderBy("number")
     starts = (files.withColumn("ahead", F.sum("tokens").over(inside) - F.col("tokens")).join(before, "part")
-              .select("part", "number", (F.col("before") + F.col("ahead")).alias("base")))
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select("content")
-    rows = content.mapInArrow(run, "part int, number int, doc_id long, at long, n_tokens long, ids binary")
-    return (rows.join(F.broadcast(starts), ["part", "number"])
-            .select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids"))
+              .select("file", (F.col("before") + F.col("ahead")).alias("base")))
+    tasks = max(1, math.ceil(files.count() / files_per_task))
+    return starts.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def corpus_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, **args) -> DataFrame:
