@@ -10,7 +10,7 @@ Equal vectors are compared once. A pair of tiles returns link counts and a spann
 links themselves, so a group of m near copies gives m rows per pair of tiles, never m².
 
 Scale: the work is that of all pairs of tiles that the bounds cannot part (quadratic when nothing parts them, as
-any exact method on such data), in equal tasks of ``tile_rows`` squared; a row is shipped once per pair of its tile.
+any exact method on such data), in equal tasks of a tile squared (``TILE_VALUES`` numbers a tile); a row is shipped once per pair of its tile.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import cut_lineage
 
-THRESHOLD, TILE_ROWS, SAMPLE_VALUES, LEAD = 0.9, 4096, 2_000_000, 8
-SLACK = 1e-9
+THRESHOLD, TILE_VALUES, SAMPLE_VALUES, LEAD = 0.9, 1 << 19, 2_000_000, 8
+SLACK, ROUGH = 1e-9, 1e-4  # rounding of double sums, and of single-precision ones
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -48,15 +48,17 @@ def links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, bloc
     ra, rb = a @ axes, b @ axes
     d = a.shape[1]
     steps = sorted({max(1, d // 4), max(1, d // 2)} - {d})
+
     def suffix(r, k):
         return np.sqrt(np.maximum(0.0, (r[:, k:] ** 2).sum(axis=1)))
+
+    def first(r, k):  # the suffix norm as one more dimension: the product is partial sum plus bound
+        return np.column_stack([r[:, :k], suffix(r, k)]).astype(np.float32)
+    k = steps[0] if steps else d
+    fa, fb = first(ra, k), np.ascontiguousarray(first(rb, k).T)
     for lo in range(0, len(a), block):
         x = ra[lo:lo + block]
-        k = steps[0] if steps else d
-        part = x[:, :k] @ rb[:, :k].T
-        if k < d:
-            part += np.outer(suffix(x, k), suffix(rb, k))
-        i, j = np.nonzero(part >= threshold - SLACK)
+        i, j = np.nonzero(fa[lo:lo + block] @ fb >= threshold - ROUGH)
         for at in range(0, len(i), 1 << 18):
             p, q = i[at:at + (1 << 18)], j[at:at + (1 << 18)]
             for nxt in steps[1:]:
@@ -140,8 +142,9 @@ def principal_axes(vectors: DataFrame, d: int, sample_values: int) -> np.ndarray
     return np.ascontiguousarray(e[:, np.argsort(-w)])
 
 
-def _one_length(vectors: DataFrame, d: int, n: int, threshold: float, tile_rows: int, sample_values: int) -> DataFrame:
+def _one_length(vectors: DataFrame, d: int, n: int, threshold: float, tile_rows: int | None, sample_values: int) -> DataFrame:
     axes, lead = principal_axes(vectors, d, sample_values), min(LEAD, d)
+    tile_rows = tile_rows or max(256, TILE_VALUES // d)
     kind = vectors.schema["embedding"].dataType.simpleString()
     out = f"vec_id long, copies long, embedding {kind}, lead array<double>, rest double, tile int"
     tiles, cuts = math.ceil(n / tile_rows), None
@@ -170,7 +173,7 @@ def _one_length(vectors: DataFrame, d: int, n: int, threshold: float, tile_rows:
                        .applyInArrow(_compare(axes, d, threshold), "vec_id long, links long, root long"))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int | None = None,
                            sample_values: int = SAMPLE_VALUES) -> DataFrame:
     """vectors (vec_id, embedding array<float or double>, …) → one row per distinct vec_id: vec_id, n_links (other
     vectors with cosine >= threshold), component_id (least vec_id reachable by links, itself included), kept.

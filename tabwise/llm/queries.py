@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, embedding_dups, html_extract, license_scan, minhash, pii, quality, secrets, token_files
 from .common import table
+from .span_sql import PII_SQL, SECRETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,7 +84,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@register("op3_pii")
+@register("op3_pii", PII_SQL)
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every text, as counts, digest and span list."""
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
@@ -120,7 +121,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licensed_documents(table(spark, sf_dir, "documents"))
 
 
-@register("op9_secrets")
+@register("op9_secrets", SECRETS_SQL)
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked credential parts of every text, as counts, digest and span list."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))

@@ -26,7 +26,7 @@ ASSIGN = _WORD + _ASSIGN + r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 IDENTIFIER = r"(?i:user(?:_?name)?|login|account|client_?id|access_?key_?id)" + _ASSIGN + r"[A-Za-z0-9@+/_.-]{3,}+"
-KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Z\s]*+[A-Z])(?=[^a-z\s]*+[a-z])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])"
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{16,}+"
 SHORT_KEY = r"(?i:pwd|passphrase|private_?key|credential|signature)" + _ASSIGN + r"[A-Za-z0-9+/_.=-]{4,}+"
 ENDPOINT = r"(?i:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)(?i:[+:][a-z]+)?://[^\s\"'<>]++"
 

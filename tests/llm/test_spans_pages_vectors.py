@@ -165,3 +165,24 @@ def test_rows_are_small_beside_links(spark):
     df = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     rows = embedding_dups.near_duplicate_vectors(df).agg(F.min("n_links"), F.max("component_id")).first()
     assert tuple(rows) == (1999, 0)
+
+
+def test_span_sql_equals_the_operators(spark, tmp_path):
+    """The registered SQL on edge rows, with disclosing terms and linked parts among them."""
+    import duckdb
+
+    from tabwise.llm.span_sql import PII_SQL, SECRETS_SQL
+    short = [t for t in [*EDGES, *SECRETS] if t is None or len(t) < 500 and "0" * 20 not in t]
+    docs = [*enumerate([*short, *noise("ab1 .@-+_%é", 150, 1), *noise("0123 .-()+", 150, 2), *noise("tokenTOKEN=:\"' ab", 150, 4)])]
+    docs += [(5000 + i, f"please write to Zorblat, mail boss@corp.example about {i}, user=alice then {'Ab1' * 7} https://h.x/y pwd=abcd") for i in range(6)]
+    docs += [(6000 + i, f"please write to the office about order {i}, then mail u{i}@x.org") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.toPandas().to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d.parquet')")
+    for sql, got in ((PII_SQL, pii.digest(pii.find_personal_data(df))), (SECRETS_SQL, secrets.digest(secrets.find_secrets(df)))):
+        result = con.execute(sql)
+        names = [c[0] for c in result.description]
+        want = sorted(tuple(r[names.index(c)] for c in got.columns) for r in result.fetchall())
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == want and any("term:" in r[-1] or "key:" in r[-1] for r in rows)
