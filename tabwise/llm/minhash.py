@@ -13,8 +13,8 @@ star-shaped candidate edges, links confirmed on full shingle sets, connected com
    another centre there, and for the buckets that are still mixed an exact prefix-filter join (rarest shingles
    first, positional bound) finds every remaining link between members of different components.
 
-Scale: nothing but counts reaches the driver; the band exchange holds one small row per document and band; a
-bucket is at most 1/bands of the rows; texts are shuffled once, to keep those that share a bucket with another
+Scale: nothing but counts reaches the driver; the band exchange holds one small row per document and band; buckets
+are only ever aggregated and joined, never gathered; texts are shuffled once, to keep those that share a bucket with another
 class; the pair checks are joins (hot centres are salted).
 """
 
@@ -177,26 +177,26 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
     member = cut_lineage(sig.drop("bands").join(classes, ["n_shingles", "set_a", "set_b"], "left")
                          .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     reps = member.where("n_shingles > 0 and doc_id = class_id").select("doc_id")
-    # buckets with two members or more, and the texts of their members
+    # buckets with two members or more, and the texts of their members. Whatever is taken over a bucket is a
+    # combinable aggregate, written and joined back, so that a hot bucket's rows can be dealt to many tasks
     rowsof = sig.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
-    buckets = cut_lineage(rowsof.withColumn("n", size).where("n > 1").select("doc_id", "bucket"))
+    shared = cut_lineage(rowsof.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    buckets = cut_lineage(rowsof.join(shared, "bucket").select("doc_id", "bucket"))
     texts = cut_lineage(texts.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"))
     nodes = texts.select(F.col("doc_id").alias("node"))
 
     def star(mine: DataFrame, salt: int) -> DataFrame:
         """Around the least member of each bucket at first, around a pseudo-random one later."""
         order = F.struct((F.xxhash64("doc_id", F.lit(salt)) if salt else F.lit(0)).cast("long").alias("o"), "doc_id", "comp")
-        return (mine.withColumn("c", F.min(order).over(Window.partitionBy("bucket")))
-                .where(F.col("c.comp") != F.col("comp"))
+        centre = cut_lineage(mine.groupBy("bucket").agg(F.min(order).alias("c")))
+        return (mine.join(centre, "bucket").where(F.col("c.comp") != F.col("comp"))
                 .select(F.least("c.doc_id", "doc_id").alias("src"), F.greatest("c.doc_id", "doc_id").alias("dst"))
                 .distinct())
 
     links, tested, label = None, None, texts.select("doc_id", F.col("doc_id").alias("comp"))
     for step in range(stars + 1):
-        mine = buckets.join(label, "doc_id")
         if step < stars:
-            pairs = star(mine, step)
+            pairs = star(cut_lineage(buckets.join(label, "doc_id")), step)
         else:
             pairs = cross_candidates(texts, label.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"),
                                      threshold, width)
@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
         links = new if links is None else links.unionByName(new)
         label = cut_lineage(connected_components(nodes, links).select(F.col("node").alias("doc_id"), "comp"))
         if step < stars:  # buckets whose members all share a component have nothing left to find
-            w = Window.partitionBy("bucket")
-            buckets = cut_lineage(buckets.join(label, "doc_id").withColumn("lo", F.min("comp").over(w))
-                                  .withColumn("hi", F.max("comp").over(w)).where("lo < hi").select("doc_id", "bucket"))
+            mixed = cut_lineage(buckets.join(label, "doc_id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                                .where("lo < hi").select("bucket"))
+            buckets = cut_lineage(buckets.join(mixed, "bucket"))
     return (member.join(label.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
             .withColumn("component_id", F.coalesce("comp", "class_id"))
             .select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"),
