@@ -21,9 +21,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import process_cache, slices
+from .common import kept, slices
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -125,10 +125,7 @@ class Codec:
 
 
 def _codec(shared, pattern: str) -> Codec:
-    cache, key = process_cache(), ("bpe", hash(shared.value), pattern)
-    if key not in cache:
-        cache[key] = Codec(shared.value, pattern)
-    return cache[key]
+    return kept(("bpe", hash(shared.value), pattern), lambda: Codec(shared.value, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", decode: bool = False) -> DataFrame:

@@ -16,10 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def process_cache() -> dict:
-    """A dict that outlives a task. Functions of this package are pickled by value, so their module globals are
-    new in every task; Python workers are reused, and what hangs on ``sys`` stays."""
-    return sys.__dict__.setdefault("_tabwise_llm_cache", {})
+def kept(key: tuple, make):
+    """``make()``, kept for the worker process under ``key``. Functions of this package are pickled by value, so their
+    module globals are new in every task; Python workers are reused, and what hangs on ``sys`` stays. Only the latest
+    key is kept, so that idle workers do not hold the models of earlier jobs."""
+    cache = sys.__dict__.setdefault("_tabwise_llm_cache", {})
+    if key not in cache:
+        cache.clear()
+        cache[key] = make()
+    return cache[key]
 
 
 def word_list(text: str | None) -> list[bytes]:

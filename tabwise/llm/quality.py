@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import process_cache, slices
+from .common import kept, slices
 
 DICTIONARY_BYTES, CHUNK, PIECE, LEVEL, SMOOTHING = 64 << 10, 512, 1024, 3, 100
 
@@ -55,10 +55,7 @@ def _difference(bad, good, raw) -> float:
 
 
 def _kept_sizes(bad: bytes, good: bytes):
-    cache, key = process_cache(), ("quality", hash(bad), hash(good))
-    if key not in cache:
-        cache[key] = (_sizes(bad), _sizes(good))
-    return cache[key]
+    return kept(("quality", hash(bad), hash(good)), lambda: (_sizes(bad), _sizes(good)))
 
 
 @dataclass

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
-from .common import Generations, process_cache, slices
+from .common import Generations, kept, slices
 
 MAGIC, VERSION, BLOCK = b"WMTOKENS", 1, 512
 FILE_TOKENS, SHARD_CHARS = 1 << 20, 12_000_000
@@ -217,10 +217,7 @@ class WordEncoder:
 
 
 def _encoder(config: str) -> WordEncoder:
-    cache, key = process_cache(), ("tokens", hash(config))
-    if key not in cache:
-        cache[key] = WordEncoder(config)
-    return cache[key]
+    return kept(("tokens", hash(config)), lambda: WordEncoder(config))
 
 
 def _store(folder: str):
