@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +28,8 @@ def _priority(ids: np.ndarray, salt: int) -> np.ndarray:
 def _union_find(salt: int):
     """Components of one group's edges: the root of a node is the group's member with the least priority
     (vectorised min-label propagation with full pointer jumping over ranks)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        src = pdf["src"].to_numpy(dtype=np.int64)
-        dst = pdf["dst"].to_numpy(dtype=np.int64)
+    def run(edges: pa.Table) -> pa.Table:
+        src, dst = edges.column("src").to_numpy(), edges.column("dst").to_numpy()
         nodes = np.unique(np.concatenate([src, dst]))
         pri = _priority(nodes, salt)
         order = np.lexsort((nodes, pri))
@@ -51,7 +50,7 @@ def _union_find(salt: int):
             if np.array_equal(lab, old):
                 break
         roots = order[lab]  # by rank; back to ids
-        return pd.DataFrame({"node": nodes[order], "root": nodes[roots], "pri": pri[roots].view(np.int64)})
+        return pa.table({"node": nodes[order], "root": nodes[roots], "pri": pri[roots].view(np.int64)})
     return run
 
 
@@ -78,7 +77,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, group_edges: int =
         left, salt = m, salt + 1
         groups = max(1, math.ceil(m / group_edges))
         local = (cur.withColumn("__g", F.pmod(F.xxhash64("src", "dst", F.lit(salt)), F.lit(groups)).cast("int"))
-                 .groupBy("__g").applyInPandas(_union_find(salt), "node long, root long, pri long"))
+                 .groupBy("__g").applyInArrow(_union_find(salt), "node long, root long, pri long"))
         # unsigned order of the priority = signed order with the top bit flipped
         unsigned = F.col("pri").bitwiseXOR(F.lit(-(1 << 63)))
         new = cut_lineage(local.groupBy("node").agg(F.min(F.struct(unsigned.alias("p"), "root")).alias("m"))
