@@ -94,7 +94,8 @@ def disclosing_terms(near: DataFrame, docs: DataFrame, min_joint: int, generalis
             .groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_joint))
     pair = cut_lineage(pair)
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pair.select("term").distinct(), "term", "left_semi")
+    # counted before the join (an inner join stays above the count), so the join makes one row a term
+    term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pair.select("term").distinct(), "term")
     bits = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     return (pair.join(entity, ["kind", "entity"]).join(term, "term").where(F.col("n_e") < total)

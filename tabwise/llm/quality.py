@@ -14,7 +14,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -95,10 +94,10 @@ class CompressionModel:
         """The rows of docs that score ``threshold`` or more, all columns as they are; nothing is shuffled."""
         sizes = (self.bad, self.good)
 
-        @F.pandas_udf("double")
-        def difference(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def difference(texts: pa.Array) -> pa.Array:
             bad, good = _kept_sizes(*sizes)
-            return pd.Series([_difference(bad, good, t.encode()) if t else 0.0 for t in texts], dtype="float64")
+            return pa.array([_difference(bad, good, memoryview(t.as_buffer()) if t.is_valid else b"") for t in texts], pa.float64())
 
         return docs.where(self._probability(difference("text")) >= threshold)
 
