@@ -29,7 +29,7 @@ from ..session import checkpoint_dir, cut_lineage
 from .common import Generations, kept, slices
 
 MAGIC, VERSION, BLOCK = b"WMTOKENS", 1, 512
-FILE_TOKENS, SHARD_CHARS = 1 << 20, 12_000_000
+FILE_TOKENS, SHARD_ROWS = 1 << 20, 4096
 
 
 class WaveletMatrix:
@@ -37,33 +37,34 @@ class WaveletMatrix:
 
     def __init__(self, planes: list[np.ndarray], n: int):
         self.n, self.bits = n, planes
-        self.zeros = [n - int(p.sum()) for p in planes]
+        self.zeros = [n - int(np.count_nonzero(p)) for p in planes]
         self.ranks: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, symbols: np.ndarray, width: int) -> WaveletMatrix:
         now, planes = symbols, []
         for l in range(width):
-            b = (now >> (width - 1 - l)) & 1 == 1
+            b = (now & now.dtype.type(1 << (width - 1 - l))) != 0
             planes.append(b)
             now = np.concatenate([now[~b], now[b]])
         return cls(planes, len(symbols))
 
     def decode(self) -> np.ndarray:
         """All symbols in order: the planes from the last to the first, undoing each partition."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for l in range(len(self.bits) - 1, -1, -1):
             b, z = self.bits[l], self.zeros[l]
-            up = np.empty(self.n, np.uint32)
+            up = np.empty(self.n, kind)
             up[~b] = out[:z]
-            up[b] = out[z:] | np.uint32(1 << (len(self.bits) - 1 - l))
+            up[b] = out[z:] | kind(1 << (len(self.bits) - 1 - l))
             out = up
         return out
 
     def _ones(self, l: int, i: int) -> int:
         """1s of plane l before position i: the count of the block, and the rest of it."""
         if self.ranks is None:
-            self.ranks = [block_counts(b) for b in self.bits]
+            self.ranks = [block_counts(np.packbits(b)) for b in self.bits]
         return int(self.ranks[l][i // BLOCK]) + int(self.bits[l][i // BLOCK * BLOCK:i].sum())
 
     def access(self, i: int) -> int:
@@ -108,9 +109,12 @@ class WaveletMatrix:
         return pos
 
 
-def block_counts(bits: np.ndarray) -> np.ndarray:
-    """1s before each block of BLOCK bits."""
-    sums = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK), dtype=np.uint32) if len(bits) else np.empty(0, np.uint32)
+def block_counts(packed: np.ndarray) -> np.ndarray:
+    """1s before each block of BLOCK bits, from packed bits."""
+    size = BLOCK // 8
+    whole = np.zeros(-(-len(packed) // size) * size, np.uint8)
+    whole[:len(packed)] = packed
+    sums = np.bitwise_count(whole.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
     return np.concatenate([[0], np.cumsum(sums)]).astype(np.uint32)
 
 
@@ -123,7 +127,8 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, tokens: np.ndarray, part
     nulls = [i for i, d in enumerate(doc_ids) if d is None]
     frames = [press(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), press(np.asarray(counts, "<u8").tobytes())]
     for b in wm.bits:
-        frames += [press(np.packbits(b).tobytes()), press(block_counts(b).astype("<u4").tobytes())]
+        packed = np.packbits(b)
+        frames += [press(packed.tobytes()), press(block_counts(packed).astype("<u4").tobytes())]
     head = json.dumps({"version": VERSION, "part": part, "number": number, "tokens": len(tokens), "documents": len(doc_ids),
                        "width": width, "null_ids": nulls, "frames": [len(f) for f in frames]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *frames])
@@ -241,7 +246,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
         fs.delete_file(part)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_chars: int = SHARD_CHARS,
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_rows: int = SHARD_ROWS,
                  file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode docs (doc_id, text, …) and write them to files in ascending doc_id order, ``end_id`` after each
     document. Gives (and has run) the list of files: file, part, number, documents, tokens.
@@ -250,8 +255,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
     ``end_id``; other columns are ignored; an empty table gives no file."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = rows.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
-    shards = max(1, math.ceil(total / shard_chars))
+    shards = max(1, math.ceil(docs.count() / shard_rows))
     dealt = (rows.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
              .withColumn("part", F.spark_partition_id()))
     with open(tokenizer, encoding="utf-8") as f:
