@@ -26,6 +26,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]++"
 REACH, MIN_JOINT, GENERALISE_AT, REMOVE_AT = 48, 3, 0.9, 1.0
+PRIOR = 0.5  # weight, in documents, of independence in the smoothed estimate
 
 
 def _digits(v: Column) -> Column:
@@ -131,10 +132,62 @@ def find_personal_data(docs: DataFrame, reach: int = REACH, min_joint: int = MIN
                     F.coalesce("terms", F.expr(empty.format(",share:double"))).alias("terms")))
 
 
-def sanitise(docs: DataFrame, remove_at: float = REMOVE_AT, **args) -> DataFrame:
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def find_document_wide(docs: DataFrame, generalise_at: float = GENERALISE_AT, prior: float = PRIOR) -> DataFrame:
+    """Like ``find_personal_data`` with whole documents as contexts and no least number of documents: n_et counts
+    the documents with entity and term anywhere, P(t|e) = (n_et + prior·n_t/N) / (n_e + prior) is drawn towards
+    independence by ``prior`` documents, and every occurrence of a disclosing term in a document that holds the
+    entity is a span. So entities of one or two documents have terms too; as their share stays below 1 they are
+    generalised, not removed.
+
+    Terms with N·(n_e/N)^generalise_at documents or more cannot reach the share and never meet an entity."""
+    k1, k2 = row_keys()
+    rows = cut_lineage(docs.select("doc_id", "text", k1, k2)
+                       .select("doc_id", "k1", "k2", "text", F.when(possible(F.col("text")), base_spans(F.col("text"))).alias("base"))
+                       .select("doc_id", "k1", "k2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
+    held = rows.where("text is not null").dropDuplicates(["k1", "k2"])
+    entity = cut_lineage(held.select("k1", "k2", F.explode("base").alias("b"))
+                         .select("k1", "k2", F.col("b.kind").alias("kind"), F.lower("b.value").alias("entity")).distinct())
+    n_e = entity.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n_rows, total = rows.count(), rows.select("k1", "k2").distinct().count()
+    most = n_e.agg(F.max("n_e")).first()[0] or 0
+    n = F.lit(float(max(total, 1)))
+    once = docs if n_rows == total else docs.select("text", k1, k2).dropDuplicates(["k1", "k2"])
+    n_t = (once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+           .where(F.col("n_t") <= n * F.pow(F.lit(float(most)) / n, F.lit(generalise_at)) + 1e-6))
+    words = held.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term")).join(n_t, "term")
+    met = cut_lineage(entity.join(n_e.where(F.col("n_e") < total), ["kind", "entity"]).join(words, ["k1", "k2"])
+                      .where(F.col("n_t") <= n * F.pow(F.col("n_e") / n, F.lit(generalise_at)) + 1e-6))
+    p = (F.col("n_et") + prior * F.col("n_t") / n) / (F.col("n_e") + prior)
+    flagged = (met.groupBy("kind", "entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
+               .withColumn("share", F.log2(p * n / F.col("n_t")) / F.log2(n / F.col("n_e")))
+               .where(F.col("share") >= generalise_at - 1e-9).select("kind", "entity", "term", "share"))
+    shares = (met.join(flagged, ["kind", "entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
+              .groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")))
+    # the forms of the terms in the text make up the expression that finds them
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))),
+                     lambda w: F.map_contains_key(F.col("shares"), F.lower(w)))
+    marked = (held.join(shares, ["k1", "k2"])
+              .withColumn("regex", F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])")))
+              .select("k1", "k2", "base", "shares", find(F.col("text"), F.col("regex")).alias("found")))
+    spans = F.transform(F.filter("found", lambda t: ~F.exists("base", lambda b: overlaps(t, b))), lambda t: F.struct(
+        F.lit(len(KINDS)).alias("no"), F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"),
+        F.lower(t["value"]).alias("value"), F.element_at("shares", F.lower(t["value"])).alias("share")))
+    empty = "cast(array() as array<struct<no:int,kind:string,start:int,end:int,value:string{}>>)"
+    return (rows.drop("text").join(marked.select("k1", "k2", spans.alias("terms")), ["k1", "k2"], "left")
+            .select("doc_id", "k1", "k2", F.coalesce("base", F.expr(empty.format(""))).alias("base"),
+                    F.coalesce("terms", F.expr(empty.format(",share:double"))).alias("terms")))
+
+
+def sanitise(docs: DataFrame, remove_at: float = REMOVE_AT, finder=find_personal_data, **args) -> DataFrame:
     """docs with personal data replaced in ``text``: base spans by their kind in brackets, disclosing terms by
-    [TERM] or [NUMBER], or by nothing from ``remove_at`` on. All other columns and rows stay as they are."""
-    found = (find_personal_data(docs, **args).where((F.size("base") > 0)).dropDuplicates(["k1", "k2"])
+    [TERM] or [NUMBER], or by nothing from ``remove_at`` on. All other columns and rows stay as they are.
+    ``finder`` is ``find_personal_data`` or ``find_document_wide``."""
+    found = (finder(docs, **args).where((F.size("base") > 0)).dropDuplicates(["k1", "k2"])
              .select("k1", "k2", F.array_sort(F.concat(
                  F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))),
                  F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(

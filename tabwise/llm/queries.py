@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, embedding_dups, html_extract, license_scan, minhash, pii, quality, secrets, token_files
 from .common import table
-from .span_sql import PII_SQL, SECRETS_SQL
+from .span_sql import DOCUMENT_PII_SQL, PII_SQL, SECRETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+@register("op3_pii_document", DOCUMENT_PII_SQL)
+def op3_pii_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like op3_pii, with terms of whole documents and an estimate that holds for rare entities."""
+    return pii.digest(pii.find_document_wide(table(spark, sf_dir, "documents")))
+
+
 @register("op4_html")
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""

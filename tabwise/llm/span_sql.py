@@ -72,6 +72,25 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)},
        concat_ws(',', b.spans, t.spans) AS spans
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+_HEAD, _TAIL = PII_SQL[:PII_SQL.index("\nside AS (")], PII_SQL[PII_SQL.index("\nb AS (SELECT"):]
+# base spans and lists as above; terms of whole documents, smoothed
+DOCUMENT_PII_SQL = f"""{_HEAD}
+cutw AS (SELECT doc_id, string_split_regex(text, '{_TERM}') AS p, regexp_extract_all(text, '{_TERM}') AS m FROM d
+         WHERE doc_id IN (SELECT doc_id FROM base)),
+word AS (SELECT doc_id, lower(v) AS term, e - length(v) AS s, e FROM (
+           SELECT doc_id, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (
+             SELECT doc_id, unnest(m) AS v, unnest(p[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM cutw))),
+free AS (SELECT * FROM word WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = word.doc_id AND word.s < b.e AND b.s < word.e)),
+total AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, coalesce(text, '') FROM d)),
+ent AS (SELECT DISTINCT doc_id, kind, lower(v) AS entity FROM base),
+ne AS (SELECT kind, entity, count(*) AS n_e FROM ent GROUP BY 1, 2),
+dt AS (SELECT DISTINCT doc_id, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_TERM}')) AS w FROM d)),
+nt AS (SELECT term, count(*) AS n_t FROM dt GROUP BY term),
+net AS (SELECT kind, entity, term, count(*) AS n_et FROM ent JOIN dt USING (doc_id) GROUP BY 1, 2, 3),
+flag AS (SELECT kind, entity, term FROM net JOIN ne USING (kind, entity) JOIN nt USING (term), total
+         WHERE n_e < n AND log2((n_et + {pii.PRIOR} * n_t / n) / (n_e + {pii.PRIOR}) * n / n_t) / log2(CAST(n AS DOUBLE) / n_e) >= {pii.GENERALISE_AT} - 1e-9),
+term AS (SELECT DISTINCT free.doc_id, s, e FROM free JOIN ent USING (doc_id) JOIN flag USING (kind, entity, term)),{_TAIL}"""
+
 _NAMES = [*enumerate(secrets.KINDS), (3, "identifier"), (4, "key"), (4, "key"), (5, "endpoint")]
 
 SECRETS_SQL = f"""
