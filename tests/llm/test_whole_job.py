@@ -3,8 +3,6 @@
 import sys
 from pathlib import Path
 
-from pyspark.sql import functions as F
-
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 from tabwise.llm import pii  # noqa: E402
@@ -29,3 +27,20 @@ def test_rare_entities_have_terms_in_the_whole_document(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(both, finder=pii.find_document_wide).where("doc_id < 0").collect()}
     assert clean[-1] == f"[TERM] wrote.{far} mail [EMAIL]{far} [TERM], [TERM]".replace("wrote", "[TERM]" if any(
         t.value == "wrote" for t in rows[-1].terms) else "wrote").replace("mail", "[TERM]" if any(t.value == "mail" for t in rows[-1].terms) else "mail")
+
+
+def test_document_wide_terms_equal_sql_and_ignore_repeats(spark, tmp_path):
+    import duckdb
+
+    from tabwise.llm.span_sql import DOCUMENT_PII_SQL
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.execute(DOCUMENT_PII_SQL)
+    names = [c[0] for c in want.description]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = pii.digest(pii.find_document_wide(docs))
+    want = sorted(tuple(r[names.index(c)] for c in got.columns) for r in want.fetchall())
+    assert sorted(map(tuple, got.collect())) == want and sum("term:" in r[-1] for r in want) > 10
+    twice = pii.digest(pii.find_document_wide(docs.unionByName(docs)))
+    assert sorted(map(tuple, twice.distinct().collect())) == want and twice.count() == 2 * len(want)
+    assert pii.find_document_wide(docs.where("false")).count() == 0
