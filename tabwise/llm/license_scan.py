@@ -2,9 +2,11 @@
 
 Templates and texts are words of letters and digits, lower-cased (A-Z). A template's three-word hashes are winnowed
 (the least of every ``WINNOW`` neighbours) and form the inverted index. Every three-word hash of a document is looked
-up, so a template that shares one selected fingerprint is found; around the hits a banded local alignment of
-template and document (substitutions, insertions and omissions within ``BAND`` words of the hit's diagonal) gives
-the matched words. Matches with enough coverage are reported; of overlapping ones the best.
+up, so a template that shares one selected fingerprint is found. Hits in the same order in both are chained across
+diagonals, up to as many words put in or left out as the template has; a banded local alignment of template and
+document (substitutions, insertions and omissions within ``BAND`` words of the chain's diagonals) gives the matched
+words, and what a match leaves of the hits is chained again. Matches with enough coverage are reported; of
+overlapping ones the best.
 
 Scale: one map-only pass over the texts with a fixed-size bitmap of the index; only the neighbourhoods of hits go on
 to a shuffle join with the index, whatever its size.
@@ -12,6 +14,7 @@ to a shuffle join with the index, whatever its size.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -48,12 +51,12 @@ def winnowed(h: np.ndarray, window: int = WINNOW) -> np.ndarray:
 
 def align(doc: list, item: list, diagonal: int, band: int = BAND) -> tuple[int, int, int] | None:
     """Best local alignment of item and doc with document position - item position within ``band`` of ``diagonal``:
-    (matched words, first document word, end)."""
+    (matched words, first document word, end). A run of document words put in costs ``BAND`` at most."""
     width = 2 * band + 1
     before = [(0, 0, -1)] * (width + 1)  # score, matches, first document word
     best = (0, 0, -1, -1)
     for i, w in enumerate(item):
-        now, left = [], (0, 0, -1)
+        now, left, far = [], (0, 0, -1), (0, 0, -1)  # far: in a long run of words put in
         for k in range(width):
             j = i + diagonal - band + k
             if j < 0 or j >= len(doc):
@@ -70,6 +73,10 @@ def align(doc: list, item: list, diagonal: int, band: int = BAND) -> tuple[int,
                 cell = (up[0] - 1, up[1], up[2])
             if left[0] - 1 > cell[0]:  # a document word put in
                 cell = (left[0] - 1, left[1], left[2])
+            if left[0] - BAND > far[0]:
+                far = (left[0] - BAND, left[1], left[2])
+            if far[0] > cell[0]:
+                cell = far
             if cell[0] <= 0:
                 cell = (0, 0, -1)
             if cell[0] > best[0]:
@@ -80,6 +87,61 @@ def align(doc: list, item: list, diagonal: int, band: int = BAND) -> tuple[int,
     return best[1:] if best[1] else None
 
 
+def best_chain(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Of hits (document position, item position) in ascending order the chain, ascending in both, that covers most
+    words, less the words by which its diagonals differ (``BAND`` at most for each step, ``size`` for all)."""
+    state: list[tuple[int, int, int, int]] = []  # score, least and greatest diagonal, hit before
+    for j, (p, q) in enumerate(hits):
+        d = p - q
+        best = (2 * GRAM, d, d, -1)
+        for i in range(j - 1, -1, -1):
+            a, b = hits[i]
+            score, lo, hi, _ = state[i]
+            if a >= p or b >= q or max(hi, d) - min(lo, d) > size:
+                continue
+            score += 2 * min(GRAM, q - b, p - a) - min(abs(d - a + b), BAND)
+            if score > best[0]:
+                best = (score, min(lo, d), max(hi, d), i)
+        state.append(best)
+    at, chain = max(range(len(hits)), key=lambda j: (state[j][0], -j)), []
+    while at >= 0:
+        chain.append(hits[at])
+        at = state[at][3]
+    return chain[::-1]
+
+
+def notices(doc: list, item: list, hits: list[tuple[int, int]], coverage: float, band: int) -> list[tuple[int, int, int]]:
+    """All alignments (matched words, first document word, end) of item in doc that reach the coverage and do not
+    overlap. Hits are taken from the left, as far as one notice can reach."""
+    found, hits, least = [], sorted(hits), 0  # no notice begins before ``least``
+    size = len(item)
+    while hits:
+        reach = hits[0][0] + 2 * size
+        window = list(itertools.takewhile(lambda h: h[0] < reach, hits))
+        chain = best_chain(window, size)
+        diagonals = [p - q for p, q in chain]
+        lo, hi = min(diagonals), max(diagonals)
+        got = align(doc[least:], item, (lo + hi) // 2 - least, band + (hi - lo + 1) // 2)
+        if got and got[0] >= coverage * size:
+            a, b = got[1] + least, got[2] + least
+            found.append((got[0], a, b))
+            # what stands before the match may hold a further one, up to its first word
+            early = [h for h in window if h[0] + GRAM <= a]
+            if early:
+                found += [(m, x + least, y + least) for m, x, y in notices(doc[least:a], item, [(p - least, q) for p, q in early], coverage, band)]
+            hits, least = [h for h in hits if h[0] >= b], b
+        elif chain[0] == hits[0]:
+            gone = set(chain)
+            hits = [h for h in hits if h not in gone]
+        else:  # the window may have cut the chain: what stands before it by itself, then again from its first hit
+            early = [h for h in window if h < chain[0]]
+            more = notices(doc[least:], item, [(p - least, q) for p, q in early], coverage, band)
+            found += [(m, x + least, y + least) for m, x, y in more]
+            least += max((y for _, _, y in more), default=0)
+            hits = [h for h in hits if h >= chain[0] and h[0] >= least]
+    return found
+
+
 def _index(batches):
     schema = pa.schema([("template", pa.int64()), ("license", pa.string()), ("words", pa.list_(pa.int64())), ("seed", pa.list_(pa.int64())),
                         ("at", pa.list_(pa.int32()))])
@@ -138,15 +200,8 @@ def _verify(coverage: float, band: int):
                 found = []
                 for c in r["candidates"]:
                     item = c["words"]
-                    diagonals = sorted({p - q for s, q in zip(c["seed"], c["at"]) for p in hits.get(s, ())})
-                    group = []
-                    for d in [*diagonals, None]:  # one alignment for neighbouring diagonals
-                        if group and (d is None or d - group[0] > band):
-                            got = align(doc, item, group[len(group) // 2], band)
-                            if got and got[0] >= coverage * len(item):
-                                found.append((-got[0], -got[0] / len(item), c["template"], c["license"], got[1], got[2]))
-                            group = []
-                        group.append(d)
+                    pairs = [(p, q) for s, q in zip(c["seed"], c["at"]) for p in hits.get(s, ())]
+                    found += [(-m, -m / len(item), c["template"], c["license"], a, b) for m, a, b in notices(doc, item, pairs, coverage, band)]
                 taken: list[tuple[int, int]] = []
                 for minus, share, template, name, a, b in sorted(set(found)):
                     if all(b <= x or y <= a for x, y in taken):

@@ -5,7 +5,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
-from tabwise.llm import pii  # noqa: E402
+from tabwise.llm import license_scan, pii  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,3 +44,20 @@ def test_document_wide_terms_equal_sql_and_ignore_repeats(spark, tmp_path):
     twice = pii.digest(pii.find_document_wide(docs.unionByName(docs)))
     assert sorted(map(tuple, twice.distinct().collect())) == want and twice.count() == 2 * len(want)
     assert pii.find_document_wide(docs.where("false")).count() == 0
+
+
+def test_licences_with_long_insertions_and_back_to_back(spark):
+    mit = max((t for n, t in license_scan.TEMPLATES if n == "MIT"), key=len).split()
+    k, short = len(mit) // 2, "Released under the MIT License."
+    clause = [f"added{i}" for i in range(40)]
+    lines = " ".join(f"{i // 6} {w}" if i % 6 == 0 else w for i, w in enumerate(mit))
+    rem = " ".join(f"REM {w}" if i % 5 == 0 else w for i, w in enumerate(mit))
+    texts = [" ".join([*mit[:k], *clause[:n], *mit[k:]]) for n in (0, 7, 40)] + [lines, rem, f"{short} {short}", " ".join([short] * 40),
+             "Licensed under CC BY 4.0. " * 2, " ".join([*mit, *mit, *mit[:k], *clause[:9], *mit[k:]]), " ".join(mit[:k]), " ".join([*mit[k:], *mit[:k]]),
+             " ".join([*mit[20:25], *clause, *clause[:10], *mit[:k], *clause, *mit[k:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.licensed_documents(docs).collect()}
+    assert {d: (r.licenses, r.n_matches) for d, r in got.items()} == {
+        **{d: ("MIT", 1) for d in range(5)}, 5: ("MIT", 2), 6: ("MIT", 40), 7: ("CC-BY-4.0", 2), 8: ("MIT", 3), 11: ("MIT", 1)}
+    assert all(s.endswith(":100") for r in got.values() for s in r.spans.split(","))
+    assert got[2].spans == f"MIT:0:{len(texts[2]) - (not texts[2][-1].isalnum())}:100"
