@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embedding_dups, html_extract, license_scan, minhash, pii, quality, secrets, token_files
+from . import bpe, conversation_repair, decontam, embedding_dups, html_extract, license_scan, minhash, pii, quality, secrets, token_files
 from .common import table
 from .span_sql import DOCUMENT_PII_SQL, PII_SQL, SECRETS_SQL
 
@@ -137,3 +137,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, learnt from the labels that are not held out."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op11_conversations")
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the damaged conversations, and their cheapest repair as cost, audit and digest."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_all(rows, conversation_repair.damage(rows))
