@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, decontam, embedding_dups, html_extract, license_scan, minhash, pii, quality, secrets, token_files
+from . import bpe, conversation_repair, decontam, embedding_dups, html_extract, license_scan, minhash, periodic_runs, pii, quality, secrets, token_files
 from .common import table
 from .span_sql import DOCUMENT_PII_SQL, PII_SQL, SECRETS_SQL
 
@@ -144,3 +144,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of the damaged conversations, and their cheapest repair as cost, audit and digest."""
     rows = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_all(rows, conversation_repair.damage(rows))
+
+
+@register("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, and the text without their repeats, as digests."""
+    docs = periodic_runs.with_made_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
