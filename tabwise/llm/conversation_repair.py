@@ -180,14 +180,19 @@ def marked(rows: DataFrame) -> DataFrame:
     """Distinct rows with the number of copies, and for the first copy its fault and the kind of row it is."""
     blank = F.lit(" ")
     rows = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.withColumn("same", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
-    order = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    first = rows.groupBy(F.col("conv_id").alias("c"), F.col("same").alias("s")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(first.where("n > 1"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("same") == F.col("s")), "left")
+    # keys without nulls, so that counting and joining share one partitioning and texts move once
+    zero = F.lit(0).cast("long")
+    parts = {"c": F.coalesce("conv_id", zero), "c_known": F.col("conv_id").isNotNull(), "t": F.coalesce("turn", zero), "t_known": F.col("turn").isNotNull()}
+    keys, said = [*parts, "same"], ["c", "c_known", "same"]
+    rows = rows.withColumns(parts)
+    turns = rows.select(keys).distinct()
+    first = turns.groupBy(said).agg(F.min(F.struct("t_known", "t")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = turns.join(first, said).where("first <> struct(t_known, t)").select(keys).withColumn("later", F.lit(True))
+    rows = rows.groupBy(keys).agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(later, keys, "left").withColumns({"conv_id": F.when(F.col("c_known"), F.col("c")), "turn": F.when(F.col("t_known"), F.col("t"))})
     end = F.substring(F.rtrim("text", F.lit(WHITE)), -1, 1)
-    fault = F.when(end == "", "blank").when(F.col("first").isNotNull() & (F.col("first") != order), "duplicate") \
-        .when(~end.isin(".", "!", "?"), "truncated").otherwise("")
+    fault = F.when(end == "", "blank").when(F.col("later"), "duplicate").when(~end.isin(".", "!", "?"), "truncated").otherwise("")
     initial = F.substring("role", 1, 1)
     kind = F.concat(F.when(initial.isin("s", "u", "a"), initial).otherwise("o"),
                     F.when(F.col("fault") == "truncated", str(TRUNCATED)).when(F.col("fault") == "", str(FINE)).otherwise(str(GONE)))
@@ -197,9 +202,9 @@ def marked(rows: DataFrame) -> DataFrame:
 _TURNS = "known long, least long, most long, turns long, blank long, duplicate long, truncated long, illegal long, head string, tail string"
 _PIECE = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("whole", pa.bool_()), *[
     (n, pa.string() if n in ("head", "tail") else pa.int64()) for n in (c.split()[0] for c in _TURNS.split(", "))],
-    ("cost", pa.int64()), ("audit", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
+    ("cost", pa.int64()), ("audit", pa.string()), ("sha", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
     ("kinds", pa.list_(pa.string())), ("copies", pa.list_(pa.int64())), ("table", pa.list_(pa.list_(pa.int64())))])
-_PIECE_SQL = f"conv_id long, part int, seq int, whole boolean, {_TURNS}, cost long, audit string, roles array<string>, " \
+_PIECE_SQL = f"conv_id long, part int, seq int, whole boolean, {_TURNS}, cost long, audit string, sha string, roles array<string>, " \
     "texts array<string>, kinds array<string>, copies array<long>, table array<array<long>>"
 
 
@@ -222,8 +227,9 @@ def _digest(turns) -> str:
     return hashlib.sha256("\n".join(f"{r}:{t}" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _ranges(batches):
-    """Conversations of one sorted range: repaired where they lie inside it, else cut into chunks for the next stage."""
+def _ranges(batches, texts_too: bool):
+    """Conversations of one sorted range: repaired where they lie inside it (turns only with ``texts_too``), else cut into
+    chunks for the next stage."""
     solver, part, seq, out, held = Solver(), TaskContext.get().partitionId(), 0, [], 0
     rows, size, now, opened, first = [], 0, None, False, True
 
@@ -237,7 +243,9 @@ def _ranges(batches):
             letters, final = solver.solve(kinds, START, CLOSING)
             audit, repaired = edited(roles, texts, copies, letters, START, True)
             cost = solver.cost(kinds, letters, START) + 2 * (sum(copies) - len(copies)) + CLOSING[final]
-            row |= {"cost": cost, "audit": audit, "roles": [r for r, _ in repaired], "texts": [t for _, t in repaired]}
+            row |= {"cost": cost, "audit": audit, "sha": _digest(repaired)}
+            if texts_too:
+                row |= {"roles": [r for r, _ in repaired], "texts": [t for _, t in repaired]}
         else:
             row |= {"roles": roles, "texts": texts, "kinds": kinds, "copies": copies,
                     "table": [[v for way in ways for v in way] for ways in solver.transfer(kinds)]}
@@ -308,7 +316,7 @@ def _joined(batches):
     def close():
         gaps = 0 if state["least"] is None else state["most"] - state["least"] + 1 - state["turns"]
         out.append({"conv_id": now, "gaps": gaps, **{n: state[n] for n in ("blank", "duplicate", "truncated", "illegal", "cost")},
-                    "audit": "".join(state["audit"]), "repaired_sha256": state["sha"].hexdigest()})
+                    "audit": "".join(state["audit"]), "repaired_sha256": state["whole"] or state["sha"].hexdigest()})
 
     for batch in batches:
         for k in range(batch.num_rows):
@@ -318,7 +326,7 @@ def _joined(batches):
                     close()
                 now, started = row["conv_id"], True
                 state = {n: 0 for n in ("blank", "duplicate", "truncated", "illegal", "cost", "turns")} | {
-                    "least": None, "most": None, "tail": None, "audit": [], "sha": hashlib.sha256(), "lines": 0}
+                    "least": None, "most": None, "tail": None, "audit": [], "whole": row["sha"], "sha": hashlib.sha256(), "lines": 0}
             for n in ("blank", "duplicate", "truncated", "illegal", "cost"):
                 state[n] += row[n]
             state["illegal"] += state["tail"] is not None and (state["tail"], row["head"]) not in legal
@@ -328,7 +336,7 @@ def _joined(batches):
                 state["least"] = row["least"] if state["least"] is None else state["least"]
                 state["most"] = row["most"]
             state["audit"].append(row["audit"])
-            for role, text in zip(row["roles"], row["texts"]):
+            for role, text in zip(row["roles"] or [], row["texts"] or []):
                 state["sha"].update(("\n" * (state["lines"] > 0) + f"{role}:{text}").encode("utf-8", "surrogatepass"))
                 state["lines"] += 1
         if len(out) >= 1000:
@@ -340,12 +348,12 @@ def _joined(batches):
         yield pa.RecordBatch.from_pylist(out, _RESULT)
 
 
-def pieces(rows: DataFrame) -> DataFrame:
+def pieces(rows: DataFrame, texts: bool = True) -> DataFrame:
     """Repaired pieces of every conversation (``whole``, or chunks in order of part and seq): counts, cost, audit and
-    the repaired turns as ``roles`` and ``texts``. Written under the checkpoint folder, so that chunks are cut once."""
+    the repaired turns as ``roles`` and ``texts`` (without ``texts`` only their digest for whole conversations). Written under the checkpoint folder, so that chunks are cut once."""
     rows = marked(rows)
     rows = rows.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    cut = cut_lineage(rows.mapInArrow(_ranges, _PIECE_SQL))
+    cut = cut_lineage(rows.mapInArrow(lambda batches: _ranges(batches, texts), _PIECE_SQL))
     chunks = cut.where("not whole")
     states = chunks.select("conv_id", "part", "seq", "table").groupBy("conv_id").applyInArrow(
         _cuts, "part int, seq int, before int, after int, last boolean")
@@ -357,7 +365,7 @@ def repair(rows: DataFrame) -> DataFrame:
     """One row per conversation: gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
     names = [f.split()[0] for f in _PIECE_SQL.split(", ")][:-3]
     schema = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
-    all_pieces = pieces(rows).select(names)
+    all_pieces = pieces(rows, texts=False).select(names)
     whole = all_pieces.where("whole").mapInArrow(_joined, schema)
     split = all_pieces.where("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
     return whole.unionByName(split.mapInArrow(_joined, schema))
