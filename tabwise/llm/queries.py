@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, decontam, embedding_dups, html_extract, license_scan, minhash, periodic_runs, pii, quality, secrets, token_files
+from . import bpe, conversation_repair, decontam, embedding_dups, html_extract, license_scan, minhash, periodic_runs, pii, quality, secrets, suffix_dedup, token_files
 from .common import table
 from .span_sql import DOCUMENT_PII_SQL, PII_SQL, SECRETS_SQL
 
@@ -146,6 +146,12 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_all(rows, conversation_repair.damage(rows))
 
 
+@register("op12_suffixes")
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that strings of earlier documents cover, and the digest of the rest."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @register("op13_runs")
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every text, and the text without their repeats, as digests."""
