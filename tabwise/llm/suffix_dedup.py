@@ -9,16 +9,18 @@ A round costs a pass over the streams, so the collection is first cut into bins
 their own:
 
 1. Each 50-byte window has a seed, the least hash among its 24-byte strings; equal windows have equal seeds. Seeds are
-   counted once per task, and those of one document only leave.
-2. Neighbouring windows with one seed are a piece (50 to 113 bytes). Pieces with a shared seed, equal ones merged, are
-   dealt by seed: all equal windows meet in one bin. The streams of a bin stay in the memory of its task; between
-   shuffles bins lie in Spark's own files and are read in sequence.
-3. A seed with very many different pieces (a phrase in a third of all documents) would be one large bin: its pieces are
-   cut into single windows, which are grouped as they are.
-4. What the bins find goes back to the places of the pieces (frequent pieces salted), and each document unites its spans.
-
-The seeds that survive step 1 are held as a bitmap of fixed size in the second pass over the texts while they fit it
-(false hits only add work); beyond ``bitmap_rows`` seeds they meet the documents in a shuffle join.
+   counted, and those of one document only leave (each task sends a seed once, however often it has met it).
+2. Neighbouring windows with one seed are a piece (50 to 113 bytes). Pieces with a shared seed are dealt by seed: all
+   equal windows meet in one bin. The streams of a bin stay in the memory of its task; before that bins lie in Spark's
+   shuffle files, compressed, and are read in sequence.
+3. A seed of very many documents (a passage in a third of them) would be one large bin. Its pieces are merged where
+   equal and cut into single windows, which are grouped as they are; what is found goes back to the places of the
+   pieces by a join, the frequent ones salted.
+4. Each document unites its spans.
+
+The seeds that survive step 1 are held as a Bloom bitmap of fixed size in the second pass over the texts while they fit
+it (false hits only add work); beyond ``bitmap_rows`` seeds they meet the documents in a shuffle join. The seeds of
+step 3 are at most 2^20, as more documents are allowed for one bin where there are more seeds.
 
 Null and empty texts have no bytes; rows with a null doc_id keep all bytes and hold no earlier string; rows of one
 doc_id (repeated or not) do not remove from each other; an empty table gives no rows; other columns are ignored.
@@ -30,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +41,13 @@ from .common import mix, position_constants, slices
 
 WINDOW, SEED, MOST_WINDOWS = 50, 24, 64
 BITMAP_BITS, BITMAP_ROWS = 26, 1 << 22
-HOT_PIECES, BIN_BYTES, TASK_BYTES, SALTS = 1 << 14, 1 << 19, 16 << 20, 64
+HOT_DOCS, HOT_SEEDS, BIN_BYTES, TASK_BYTES, SALTS = 1 << 14, 1 << 20, 1 << 19, 16 << 20, 64
+HELD_SEEDS, HELD_BYTES = 1 << 21, 16 << 20
 
 
 def seeded_windows(data: np.ndarray, ends: np.ndarray):
-    """(first window, number of windows, seed, document) of every stretch of windows with one seed, in texts laid end
-    to end; stretches have MOST_WINDOWS windows at most, and no window leaves its text."""
+    """(first window, number of windows, seed of 48 bits, document) of every stretch of windows with one seed, in texts laid
+    end to end; stretches have MOST_WINDOWS windows at most, and no window leaves its text."""
     n = len(data) - WINDOW + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -74,7 +78,7 @@ def seeded_windows(data: np.ndarray, ends: np.ndarray):
         which = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, size = np.repeat(first, parts) + which * MOST_WINDOWS, np.repeat(size, parts) - which * MOST_WINDOWS
         size = np.minimum(size, MOST_WINDOWS)
-    return first, size, least[first], doc[first]
+    return first, size, least[first] >> np.uint64(16), doc[first]
 
 
 def _laid_out(part):
@@ -83,43 +87,135 @@ def _laid_out(part):
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
 
-def _seeds(batches):
-    """Seeds of every slice with the least and the greatest document they occur in (one row if the same)."""
+def _seeds(batches, buckets: int):
+    """Distinct seeds of a task, six bytes each, dealt to buckets by their high bits: those of one document, and those of
+    several with the number of documents."""
+    held, count = [], 0
+
+    def flush():
+        seeds = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]]))
+        times = np.diff(first, append=len(seeds))
+        seeds = seeds[first]
+        bucket = (seeds >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
+        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = {"bucket": [], "once": [], "often": []}
+        for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            part, n = seeds[edge[b]:edge[b + 1]], times[edge[b]:edge[b + 1]]
+            rows["bucket"].append(b)
+            rows["once"].append(part[n == 1].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            rows["often"].append(np.stack([part[n > 1].astype(np.int64), n[n > 1]]).tobytes())
+        held.clear()
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("often", pa.binary())]))
+
+    for batch in batches:
+        for part in slices(batch, limit=1 << 20):
+            _, _, seed, doc = seeded_windows(*_laid_out(part))
+            if len(seed):
+                order = np.lexsort((seed, doc))
+                seed, doc = seed[order], doc[order]
+                held.append(seed[np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])])
+                count += len(held[-1])
+            if count > HELD_SEEDS:
+                yield flush()
+                count = 0
+    if held:
+        yield flush()
+
+
+def _shared(batches):
+    """Seeds of whole buckets that several documents hold, with the number of documents."""
+    seeds, times = [], []
+    for batch in batches:
+        for once, often in zip(batch.column("once").to_pylist(), batch.column("often").to_pylist()):
+            one = np.zeros((len(once) // 6, 8), np.uint8)
+            one[:, :6] = np.frombuffer(once, np.uint8).reshape(-1, 6)
+            several = np.frombuffer(often, np.int64).reshape(2, -1)
+            seeds += [one.view(np.int64).ravel(), several[0]]
+            times += [np.ones(len(one), np.int64), several[1]]
+    if seeds:
+        seeds, times = np.concatenate(seeds), np.concatenate(times)
+        order = np.argsort(seeds)
+        seeds = seeds[order]
+        first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]])) if len(seeds) else np.empty(0, np.int64)
+        docs = np.add.reduceat(times[order], first) if len(seeds) else times
+        several = docs > 1
+        yield pa.RecordBatch.from_pydict({"seed": seeds[first][several], "docs": docs[several]})
+
+
+class Wanted:
+    """Which stretches of a slice are pieces to compare: their seeds are in the bitmap, or a join has put their numbers
+    into the column ``kept``; ``hot`` says whether to take the hot seeds or the others."""
+
+    def __init__(self, bitmap: bytes | None, hot: np.ndarray):
+        self.bitmap, self.hot = bitmap, hot
+
+    def of(self, part, seed, doc, hot: bool) -> np.ndarray:
+        if self.bitmap is not None:
+            bits, good = np.frombuffer(self.bitmap, np.uint8), np.ones(len(seed), bool)
+            for at in (seed >> np.uint64(48 - BITMAP_BITS), seed & np.uint64((1 << BITMAP_BITS) - 1)):
+                good &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        else:
+            kept = part.column("kept")
+            number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            rows = np.repeat(np.arange(part.num_rows), [len(k.values) if k.is_valid else 0 for k in kept])
+            good = np.isin(doc << 40 | number, rows << 40 | kept.flatten().to_numpy(zero_copy_only=False))
+        if len(self.hot):
+            is_hot = self.hot[np.minimum(np.searchsorted(self.hot, seed), len(self.hot) - 1)] == seed
+            return np.flatnonzero(good & is_hot) if hot else np.flatnonzero(good & ~is_hot)
+        return np.flatnonzero(good & (not hot))
+
+
+def _dealt_pieces(batches, wanted, tasks: int):
+    """Pieces without hot seeds, dealt by seed: packed arrays of sizes, ids, hashes, starts and the bytes."""
+    held, size = [], 0
+
+    def flush():
+        seed, lengths, doc_id, same, start = (np.concatenate(c) for c in list(zip(*held))[:-1])
+        raw = [p for h in held for p in h[-1]]
+        to = (seed % np.uint64(tasks)).astype(np.int64)
+        order = np.lexsort((seed, to))
+        edge = np.searchsorted(to[order], np.arange(tasks + 1))
+        rows = {"task": [], "n": [], "packed": []}
+        packer = zstandard.ZstdCompressor(level=1)
+        for t in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            o = order[edge[t]:edge[t + 1]]
+            rows["task"].append(t)
+            rows["n"].append(len(o))
+            rows["packed"].append(packer.compress(b"".join([seed[o].tobytes(), doc_id[o].tobytes(), same[o].tobytes(), start[o].astype(np.int64).tobytes(),
+                                                            lengths[o].astype(np.uint8).tobytes(), *[raw[k] for k in o.tolist()]])))
+        held.clear()
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("task", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]))
+
     for batch in batches:
         for part in slices(batch, limit=1 << 20):
             data, ends = _laid_out(part)
-            _, _, seed, doc = seeded_windows(data, ends)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            order = np.lexsort((ids, seed))
-            seed, ids = seed[order], ids[order]
-            edge = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.empty(0, np.int64)
-            last = np.append(edge[1:], len(seed)) - 1
-            two = ids[edge] != ids[last] if len(seed) else np.empty(0, bool)
-            yield pa.RecordBatch.from_pydict({"seed": np.concatenate([seed[edge], seed[edge][two]]).view(np.int64),
-                                              "doc_id": np.concatenate([ids[edge], ids[last][two]]).astype(np.int64)})
-
-
-def _pieces(batches, bitmap):
-    """Pieces with shared seeds: by bitmap, or by the numbers of the stretches that a join put into ``kept``."""
+            first, windows, seed, doc = seeded_windows(data, ends)
+            good = wanted.of(part, seed, doc, False)
+            first, lengths, doc = first[good], windows[good] + WINDOW - 1, doc[good]
+            if len(good):
+                raw, starts = data.tobytes(), ends - np.diff(ends, prepend=0)
+                ids, same = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "same"))
+                held.append((seed[good], lengths, ids, same, first - starts[doc], [raw[a:a + n] for a, n in zip(first.tolist(), lengths.tolist())]))
+                size += int(lengths.sum())
+            if size > HELD_BYTES:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def _hot_pieces(batches, wanted):
+    """Pieces with hot seeds as rows."""
     for batch in batches:
         for part in slices(batch, limit=1 << 20):
             data, ends = _laid_out(part)
-            first, size, seed, doc = seeded_windows(data, ends)
-            starts = ends - np.diff(ends, prepend=0)
-            if bitmap is not None:
-                at = (seed >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                good = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            else:
-                kept = part.column("kept")
-                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                wanted = np.repeat(np.arange(part.num_rows), [len(k.values) if k.is_valid else 0 for k in kept]) * (1 << 40) + kept.flatten().to_numpy(zero_copy_only=False)
-                good = np.flatnonzero(np.isin(doc * (1 << 40) + number, wanted))
-            raw = data.tobytes()
-            first, size, doc = first[good], size[good], doc[good]
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_pydict({
-                "seed": seed[good].view(np.int64), "doc_id": part.column("doc_id").take(rows), "same": part.column("same").take(rows),
-                "start": first - starts[doc], "piece": pa.array([raw[a:b] for a, b in zip(first.tolist(), (first + size + WINDOW - 1).tolist())], pa.binary())})
+            first, windows, seed, doc = seeded_windows(data, ends)
+            good = wanted.of(part, seed, doc, True)
+            first, end, doc = first[good], (first + windows)[good] + WINDOW - 1, doc[good]
+            raw, starts, rows = data.tobytes(), ends - np.diff(ends, prepend=0), pa.array(doc)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(rows), "same": part.column("same").take(rows), "start": first - starts[doc],
+                                              "piece": pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.binary())})
 
 
 def _stretches(batches):
@@ -227,33 +323,66 @@ def least_owners(texts: list[bytes], owners: np.ndarray):
     return which[order], window[order], least[g[order]]
 
 
-_FOUND = pa.schema([("seed", pa.int64()), ("content", pa.int64()), ("offset", pa.int64()), ("windows", pa.int64()), ("least", pa.int64())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))])
+_SPANS_SQL = "doc_id long, same long, spans array<struct<s:long, e:long>>"
 
 
 def _bins(batches):
-    """Pieces of a task, in bins of whole seeds: stretches of windows with the least document that holds them."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    """Spans found in the pieces of a task, which are ordered in bins of whole seeds; one row per document."""
+    fields, raw, unpacker = [], [], zstandard.ZstdDecompressor()
+    for batch in batches:
+        for n, packed in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
+            packed = unpacker.decompress(packed)
+            longs = np.frombuffer(packed, np.int64, 4 * n).reshape(4, n)
+            lengths = np.frombuffer(packed, np.uint8, n, 32 * n)
+            at = 33 * n + np.cumsum(lengths, dtype=np.int64) - lengths
+            raw += [packed[a:a + k] for a, k in zip(at.tolist(), lengths.tolist())]
+            fields.append(longs)
+    if not fields:
         return
-    table = table.sort_by("seed").combine_chunks()
-    seed, content, least, most = (table.column(c).to_numpy() for c in ("seed", "content", "least", "most"))
-    pieces = table.column("piece").to_pylist()
-    edges = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1], [True]]))
-    size = np.cumsum([0, *map(len, pieces)])
-    low = 0
+    seed, doc_id, same, start = np.concatenate(fields, axis=1)
+    order = np.argsort(seed, kind="stable")
+    seed, doc_id, same, start, raw = seed[order], doc_id[order], same[order], start[order], [raw[k] for k in order.tolist()]
+    edges = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1], [True]])).tolist()
+    size, low, found = np.cumsum([0, *map(len, raw)]), 0, []
     for k in range(1, len(edges)):
         if k == len(edges) - 1 or size[edges[k + 1]] - size[edges[low]] > BIN_BYTES:
             a, b = edges[low], edges[k]
             low = k
-            which, window, owner = least_owners(pieces[a:b], least[a:b])
-            new = np.ones(len(which), bool)
-            new[1:] = (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])
+            # equal pieces are one text of the collection, owned by its least document
+            numbers = {}
+            which = np.fromiter((numbers.setdefault(p, len(numbers)) for p in raw[a:b]), np.int64, b - a)
+            owners = np.full(len(numbers), np.iinfo(np.int64).max)
+            np.minimum.at(owners, which, doc_id[a:b])
+            piece, window, least = least_owners(list(numbers), owners)
+            new = np.ones(len(piece), bool)
+            new[1:] = (piece[1:] != piece[:-1]) | (least[1:] != least[:-1])
             first = np.flatnonzero(new)
-            windows = np.diff(first, append=len(which))
-            which = which[first] + a
-            good = owner[first] < most[which]
-            which, first = which[good], first[good]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (seed[which], content[which], window[first], windows[good], owner[first])], schema=_FOUND)
+            windows, piece, window, least = np.diff(first, append=len(piece)), piece[first], window[first], least[first]
+            # every place of a piece takes the stretches of its windows that an earlier document holds
+            low_piece, high_piece = (np.searchsorted(piece, np.arange(len(numbers)), side) for side in ("left", "right"))
+            times = (high_piece - low_piece)[which]
+            place = np.repeat(np.arange(a, b), times)
+            stretch = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times) + low_piece[which][place - a]
+            good = least[stretch] < doc_id[place]
+            place, stretch = place[good], stretch[good]
+            s = start[place] + window[stretch]
+            found.append((doc_id[place], same[place], s, s + windows[stretch] + WINDOW - 1))
+    doc_id, same, s, e = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((e, s, same, doc_id))
+    doc_id, same, s, e = doc_id[order], same[order], s[order], e[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (doc_id[1:] != doc_id[:-1]) | (same[1:] != same[:-1])
+    differs = new.copy()
+    differs[1:] |= (s[1:] != s[:-1]) | (e[1:] != e[:-1])  # repeated rows find the same spans
+    doc_id, same, s, e, new = doc_id[differs], same[differs], s[differs], e[differs], new[differs]
+    first = np.flatnonzero(new)
+    for k in range(0, len(first), 5000):
+        rows = first[k:k + 5000]
+        low, high = (int(rows[0]), int(first[k + 5000]) if k + 5000 < len(first) else len(s)) if len(rows) else (0, 0)
+        spans = pa.StructArray.from_arrays([pa.array(s[low:high]), pa.array(e[low:high])], names=["s", "e"])
+        spans = pa.ListArray.from_arrays(pa.array(np.append(rows, high) - low, pa.int32()), spans)
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[rows]), pa.array(same[rows]), spans], schema=_SPANS)
 
 
 def _removed(batches):
@@ -278,64 +407,67 @@ def _removed(batches):
             ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
 
-def shared_seeds(docs: DataFrame) -> DataFrame:
-    """Seeds that occur in two documents or more."""
-    seeds = docs.select("doc_id", "text").mapInArrow(_seeds, "seed long, doc_id long")
-    return cut_lineage(seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"))
-
-
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Bit (seed >> 38) for every seed, as bytes; 2 ** BITMAP_BITS bits whatever their number."""
-    bit = F.shiftrightunsigned("seed", 64 - BITMAP_BITS) + 1
-    rows = seeds.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit")) \
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+def _bitmap(seeds: DataFrame) -> bytes:
+    """Two bits of every seed (its high and its low BITMAP_BITS), as bytes; 2 ** BITMAP_BITS bits whatever their number."""
+    high, low = F.shiftrightunsigned("seed", 48 - BITMAP_BITS) + 1, F.col("seed").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+    bits = seeds.select(F.explode(F.array(high, low)).alias("bit"))
+    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
     for r in rows:
         out[(r.bucket - 1) * 4096:r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
-    return out
+    return out.tobytes()
+
 
+def _hot_spans(pieces: DataFrame, size: int) -> DataFrame:
+    """Spans of pieces with hot seeds: windows of merged pieces grouped as they are, joined back to the places."""
+    pieces = pieces.distinct().withColumn("content", F.xxhash64("piece"))
+    merged = cut_lineage(pieces.groupBy("content", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("places")))
+    windows = F.expr(f"transform(sequence(0, length(piece) - {WINDOW}), i -> substring(piece, i + 1, {WINDOW}))")
+    single = merged.select("content", "least", "most", F.posexplode(windows).alias("offset", "window"))
+    equal = single.groupBy("window").agg(F.min("least").alias("first"))
+    found = single.join(equal, "window").where("first < most").select("content", "offset", "first")
+    # a piece with this share of all bytes as places is one of 100,000 at most: salted on both sides
+    often = F.broadcast(merged.where(F.col("places") * 100_000 >= size).select("content", F.lit(True).alias("often")).distinct())
+    salts = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.join(often, "content", "left").withColumn("salt", F.explode(salts)).drop("often")
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    places = pieces.select("content", "doc_id", "same", "start").join(often, "content", "left").withColumn("salt", salt).drop("often")
+    s = F.col("start") + F.col("offset")
+    return places.join(found, ["content", "salt"]).where("first < doc_id").groupBy("doc_id", "same").agg(
+        F.collect_set(F.struct(s.alias("s"), (s + WINDOW).alias("e"))).alias("spans"))
 
-def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_pieces: int = HOT_PIECES) -> DataFrame:
+
+def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Spans (doc_id, same, spans: array of s, e) to remove; ``docs`` has doc_id, text (binary), same (its hash)."""
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null")
-    seeds = shared_seeds(known)
-    piece_ddl = "seed long, doc_id long, same long, start long, piece binary"
-    if seeds.count() <= bitmap_rows:
-        bits = spark.sparkContext.broadcast(_bitmap(seeds).tobytes())
-        pieces = known.mapInArrow(lambda batches: _pieces(batches, np.frombuffer(bits.value, np.uint8)), piece_ddl)
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    dealt = known.select("text").mapInArrow(lambda batches: _seeds(batches, tasks), "bucket int, once binary, often binary")
+    seeds = cut_lineage(dealt.repartition(tasks, "bucket").mapInArrow(_shared, "seed long, docs long"))
+    total = seeds.agg(F.count(F.lit(1)).alias("seeds"), F.sum("docs").alias("docs")).first()
+    hot_docs = max(hot_docs, (total.docs or 0) // HOT_SEEDS)
+    hot = np.sort(np.array([r.seed for r in seeds.where(F.col("docs") > hot_docs).select("seed").collect()], np.uint64))
+    if total.seeds <= bitmap_rows:
+        bitmap = _bitmap(seeds.select("seed"))
     else:
         stretches = known.mapInArrow(_stretches, "seed long, doc_id long, same long, number long")
         kept = stretches.join(seeds, "seed", "left_semi").groupBy("doc_id", "same").agg(F.collect_set("number").alias("kept"))
-        pieces = known.join(kept, ["doc_id", "same"]).mapInArrow(lambda batches: _pieces(batches, None), piece_ddl)
-    content = F.xxhash64("piece").alias("content")
-    merged = cut_lineage(pieces.groupBy("seed", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("places"))
-                         .withColumn("content", content))
-    total = merged.agg(F.sum(F.length("piece")).alias("bytes"), F.sum("places").alias("places")).first()
-    hot = merged.groupBy("seed").count().where(F.col("count") > hot_pieces).select("seed")
-    tasks = max(1, spark.sparkContext.defaultParallelism, -(-(total.bytes or 0) // TASK_BYTES))
-    found_ddl = "seed long, content long, offset long, windows long, least long"
-    cold = merged.join(hot, "seed", "left_anti").repartition(tasks, "seed").mapInArrow(_bins, found_ddl)
-    single = merged.join(hot, "seed").select("seed", "content", "least", "most", F.posexplode(
-        F.expr(f"transform(sequence(0, length(piece) - {WINDOW}), i -> substring(piece, i + 1, {WINDOW}))")).alias("offset", "window"))
-    equal = single.groupBy("window").agg(F.min("least").alias("first"))
-    single = single.join(equal, "window").where("first < most").select(
-        "seed", "content", F.col("offset").cast("long").alias("offset"), F.lit(1).cast("long").alias("windows"), F.col("first").alias("least"))
-    found = cut_lineage(cold.unionByName(single))
-    # pieces with a thousandth of all places or more are a thousand at most: salted on both sides
-    often = F.broadcast(merged.where(F.col("places") * 1000 >= (total.places or 0)).select("seed", "content", F.lit(True).alias("often")))
-    salts = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    found = found.join(often, ["seed", "content"], "left").withColumn("salt", F.explode(salts)).drop("often")
-    places = pieces.select("seed", content, "doc_id", "same", "start").join(often, ["seed", "content"], "left") \
-        .withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("often")
-    spans = places.join(found, ["seed", "content", "salt"]).where("least < doc_id")
-    s = F.col("start") + F.col("offset")
-    return spans.groupBy("doc_id", "same").agg(F.collect_set(F.struct(s.alias("s"), (s + F.col("windows") + WINDOW - 1).alias("e"))).alias("spans"))
+        known, bitmap = known.join(kept, ["doc_id", "same"]), None
+    wanted = spark.sparkContext.broadcast((bitmap, hot))
+    cold = known.mapInArrow(lambda batches: _dealt_pieces(batches, Wanted(*wanted.value), tasks), "task int, n int, packed binary") \
+        .repartition(tasks, "task").mapInArrow(_bins, _SPANS_SQL)
+    if not len(hot):
+        spans = cold
+    else:
+        pieces = known.mapInArrow(lambda batches: _hot_pieces(batches, Wanted(*wanted.value)), "doc_id long, same long, start long, piece binary")
+        spans = cold.unionByName(_hot_spans(pieces, size))
+    return spans.groupBy("doc_id", "same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_pieces: int = HOT_PIECES) -> DataFrame:
+def remove_repeats(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the remaining bytes)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("same", F.xxhash64("text"))
-    spans = repeated_spans(docs, bitmap_rows, hot_pieces)
+    spans = repeated_spans(docs, bitmap_rows, hot_docs)
     return docs.join(spans, ["doc_id", "same"], "left").select("doc_id", "text", "spans").mapInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -76,9 +76,9 @@ def test_least_owner_of_every_window():
     assert list(zip(which.tolist(), window.tolist(), least.tolist())) == [(k, i, first[t[i:i + 50]]) for k, t in enumerate(pieces) for i in range(len(t) - 49)]
 
 
-@pytest.mark.parametrize("options", [{}, {"bitmap_rows": 0}, {"hot_pieces": 1}])
+@pytest.mark.parametrize("options", [{}, {"bitmap_rows": 0}, {"hot_docs": 3}, {"hot_docs": 1, "bitmap_rows": 0}])
 def test_equals_a_dictionary_of_all_strings(spark, options):
-    """By bitmap and by join, with whole bins and with every repeated seed as a hot one."""
+    """By bitmap and by join, with whole bins and with frequent or all shared seeds as hot ones."""
     rows = [(k * 7 % 67 - 3, t) for k, t in enumerate(texts(1))]
     rows += [(None, rows[3][1]), (None, None), (5, rows[9][1]), (5, rows[9][1]), (900, None), (901, "short")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("same", F.lit("x"))
