@@ -10,7 +10,7 @@ their own:
 
 1. Each 50-byte window has a seed, the least hash among its 24-byte strings; equal windows have equal seeds. Seeds are
    counted, and those of one document only leave (each task sends a seed once, however often it has met it).
-2. Neighbouring windows with one seed are a piece (50 to 113 bytes). Pieces with a shared seed are dealt by seed: all
+2. Neighbouring windows with one seed are a piece (50 to 76 bytes). Pieces with a shared seed are dealt by seed: all
    equal windows meet in one bin. The streams of a bin stay in the memory of its task; before that bins lie in Spark's
    shuffle files, compressed, and are read in sequence.
 3. A seed of very many documents (a passage in a third of them) would be one large bin. Its pieces are merged where
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import mix, position_constants, slices
 
-WINDOW, SEED, MOST_WINDOWS = 50, 24, 64
-BITMAP_BITS, BITMAP_ROWS = 26, 1 << 22
+WINDOW, SEED, MOST_WINDOWS = 50, 24, 27
+BITMAP_BITS, BITMAP_ROWS = 27, 1 << 23
 HOT_DOCS, HOT_SEEDS, BIN_BYTES, TASK_BYTES, SALTS = 1 << 14, 1 << 20, 1 << 19, 16 << 20, 64
 HELD_SEEDS, HELD_BYTES = 1 << 21, 16 << 20
 
@@ -64,21 +64,22 @@ def seeded_windows(data: np.ndarray, ends: np.ndarray):
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    lengths = np.diff(ends, prepend=0)
-    doc = np.repeat(np.arange(len(ends)), lengths)[:n]
-    inside = np.arange(n) + WINDOW <= ends[doc]
-    new = np.ones(n, bool)
-    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+    # a stretch ends where the seed changes, and at the first and the last window of a text
+    new = np.ones(n + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:n])
+    new[ends[ends < n]] = True
+    new[np.clip(ends - WINDOW + 1, 0, n)] = True
     first = np.flatnonzero(new)
-    size = np.diff(first, append=n)
-    good = inside[first]
+    first, size = first[:-1], np.diff(first)
+    doc = np.searchsorted(ends, first, side="right")
+    good = first + WINDOW <= ends[doc]
     first, size = first[good], size[good]
     if len(size) and size.max() > MOST_WINDOWS:
         parts = -(-size // MOST_WINDOWS)
         which = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, size = np.repeat(first, parts) + which * MOST_WINDOWS, np.repeat(size, parts) - which * MOST_WINDOWS
         size = np.minimum(size, MOST_WINDOWS)
-    return first, size, least[first] >> np.uint64(16), doc[first]
+    return first, size, least[first] >> np.uint64(16), np.searchsorted(ends, first, side="right")
 
 
 def _laid_out(part):
@@ -109,7 +110,7 @@ def _seeds(batches, buckets: int):
         return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("often", pa.binary())]))
 
     for batch in batches:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch, limit=1 << 18):
             _, _, seed, doc = seeded_windows(*_laid_out(part))
             if len(seed):
                 order = np.lexsort((seed, doc))
@@ -188,7 +189,7 @@ def _dealt_pieces(batches, wanted, tasks: int):
         return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("task", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]))
 
     for batch in batches:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch, limit=1 << 18):
             data, ends = _laid_out(part)
             first, windows, seed, doc = seeded_windows(data, ends)
             good = wanted.of(part, seed, doc, False)
@@ -208,7 +209,7 @@ def _dealt_pieces(batches, wanted, tasks: int):
 def _hot_pieces(batches, wanted):
     """Pieces with hot seeds as rows."""
     for batch in batches:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch, limit=1 << 18):
             data, ends = _laid_out(part)
             first, windows, seed, doc = seeded_windows(data, ends)
             good = wanted.of(part, seed, doc, True)
@@ -221,7 +222,7 @@ def _hot_pieces(batches, wanted):
 def _stretches(batches):
     """Number and seed of every stretch of every document (for the join that replaces the bitmap)."""
     for batch in batches:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch, limit=1 << 18):
             _, _, seed, doc = seeded_windows(*_laid_out(part))
             rows = pa.array(doc)
             yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").take(rows),
@@ -282,8 +283,10 @@ def collection_order(texts: list[bytes], cap: int = WINDOW):
         text = owner[order[at]]
         place = at + (m - done)
         # common prefix with the suffix before: one more than the least between the two equal symbols
-        touched = np.unique(np.concatenate([at, at + 1]))
-        touched = touched[touched < len(order)]
+        touched = np.stack([at, at + 1], axis=1).ravel()
+        fresh = np.ones(len(touched), bool)
+        fresh[1:] = touched[1:] != touched[:-1]
+        touched = touched[fresh & (touched < len(order))]
         here, before = order[touched], order[touched - 1]
         equal = (bwt[here] == bwt[before]) & (touched > 0)
         shared = np.zeros(len(touched), np.uint8)
