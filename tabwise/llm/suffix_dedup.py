@@ -41,8 +41,8 @@ from .common import mix, position_constants, slices
 
 WINDOW, SEED, MOST_WINDOWS = 50, 24, 27
 BITMAP_BITS, BITMAP_ROWS = 27, 1 << 23
-HOT_DOCS, HOT_SEEDS, BIN_BYTES, TASK_BYTES, SALTS = 1 << 14, 1 << 20, 1 << 19, 16 << 20, 64
-HELD_SEEDS, HELD_BYTES = 1 << 21, 16 << 20
+HOT_DOCS, HOT_SEEDS, BIN_BYTES, TASK_BYTES, SALTS = 1 << 14, 1 << 20, 1 << 19, 10 << 20, 64
+HELD_SEEDS, HELD_BYTES = 1 << 19, 6 << 20
 
 
 def seeded_windows(data: np.ndarray, ends: np.ndarray):
