@@ -326,12 +326,11 @@ def least_owners(texts: list[bytes], owners: np.ndarray):
     return which[order], window[order], least[g[order]]
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))])
-_SPANS_SQL = "doc_id long, same long, spans array<struct<s:long, e:long>>"
+_SPANS_SQL = "doc_id long, same long, s long, e long"
 
 
 def _bins(batches):
-    """Spans found in the pieces of a task, which are ordered in bins of whole seeds; one row per document."""
+    """Spans found in the pieces of a task, which are ordered in bins of whole seeds."""
     fields, raw, unpacker = [], [], zstandard.ZstdDecompressor()
     for batch in batches:
         for n, packed in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
@@ -357,11 +356,22 @@ def _bins(batches):
             which = np.fromiter((numbers.setdefault(p, len(numbers)) for p in raw[a:b]), np.int64, b - a)
             owners = np.full(len(numbers), np.iinfo(np.int64).max)
             np.minimum.at(owners, which, doc_id[a:b])
-            piece, window, least = least_owners(list(numbers), owners)
+            seeds = np.empty(len(numbers), np.int64)
+            seeds[which] = seed[a:b]
+            _, at, times = np.unique(seeds, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(times[at] > 1)
+            texts = list(numbers)
+            piece, window, least = least_owners([texts[k] for k in several.tolist()], owners[several])
             new = np.ones(len(piece), bool)
             new[1:] = (piece[1:] != piece[:-1]) | (least[1:] != least[:-1])
             first = np.flatnonzero(new)
-            windows, piece, window, least = np.diff(first, append=len(piece)), piece[first], window[first], least[first]
+            windows, piece, window, least = np.diff(first, append=len(piece)), several[piece[first]], window[first], least[first]
+            # the only piece of a seed can share a window with no other text: only its copies count
+            alone = np.flatnonzero(times[at] == 1)
+            piece, window, least = np.append(piece, alone), np.append(window, np.zeros(len(alone), np.int64)), np.append(least, owners[alone])
+            windows = np.append(windows, np.fromiter((len(texts[k]) - WINDOW + 1 for k in alone.tolist()), np.int64, len(alone)))
+            order = np.lexsort((window, piece))
+            piece, window, least, windows = piece[order], window[order], least[order], windows[order]
             # every place of a piece takes the stretches of its windows that an earlier document holds
             low_piece, high_piece = (np.searchsorted(piece, np.arange(len(numbers)), side) for side in ("left", "right"))
             times = (high_piece - low_piece)[which]
@@ -374,18 +384,11 @@ def _bins(batches):
     doc_id, same, s, e = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort((e, s, same, doc_id))
     doc_id, same, s, e = doc_id[order], same[order], s[order], e[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (doc_id[1:] != doc_id[:-1]) | (same[1:] != same[:-1])
-    differs = new.copy()
-    differs[1:] |= (s[1:] != s[:-1]) | (e[1:] != e[:-1])  # repeated rows find the same spans
-    doc_id, same, s, e, new = doc_id[differs], same[differs], s[differs], e[differs], new[differs]
-    first = np.flatnonzero(new)
-    for k in range(0, len(first), 5000):
-        rows = first[k:k + 5000]
-        low, high = (int(rows[0]), int(first[k + 5000]) if k + 5000 < len(first) else len(s)) if len(rows) else (0, 0)
-        spans = pa.StructArray.from_arrays([pa.array(s[low:high]), pa.array(e[low:high])], names=["s", "e"])
-        spans = pa.ListArray.from_arrays(pa.array(np.append(rows, high) - low, pa.int32()), spans)
-        yield pa.RecordBatch.from_arrays([pa.array(doc_id[rows]), pa.array(same[rows]), spans], schema=_SPANS)
+    differs = np.ones(len(s), bool)  # repeated rows find the same spans
+    differs[1:] = (doc_id[1:] != doc_id[:-1]) | (same[1:] != same[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1])
+    columns = [v[differs] for v in (doc_id, same, s, e)]
+    for k in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(v[k:k + 50_000]) for v in columns], names=["doc_id", "same", "s", "e"])
 
 
 def _removed(batches):
@@ -435,9 +438,8 @@ def _hot_spans(pieces: DataFrame, size: int) -> DataFrame:
     found = found.join(often, "content", "left").withColumn("salt", F.explode(salts)).drop("often")
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
     places = pieces.select("content", "doc_id", "same", "start").join(often, "content", "left").withColumn("salt", salt).drop("often")
-    s = F.col("start") + F.col("offset")
-    return places.join(found, ["content", "salt"]).where("first < doc_id").groupBy("doc_id", "same").agg(
-        F.collect_set(F.struct(s.alias("s"), (s + WINDOW).alias("e"))).alias("spans"))
+    s = F.col("start") + F.col("offset").cast("long")
+    return places.join(found, ["content", "salt"]).where("first < doc_id").select("doc_id", "same", s.alias("s"), (s + WINDOW).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -465,7 +467,7 @@ def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: in
     else:
         pieces = known.mapInArrow(lambda batches: _hot_pieces(batches, Wanted(*wanted.value)), "doc_id long, same long, start long, piece binary")
         spans = cold.unionByName(_hot_spans(pieces, size))
-    return spans.groupBy("doc_id", "same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy("doc_id", "same").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: int = HOT_DOCS) -> DataFrame:
