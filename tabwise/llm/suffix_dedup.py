@@ -29,6 +29,7 @@ doc_id (repeated or not) do not remove from each other; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,14 @@ def seeded_windows(data: np.ndarray, ends: np.ndarray):
     return first, size, least[first] >> np.uint64(16), np.searchsorted(ends, first, side="right")
 
 
+def _parts(batches):
+    """Slices of about 256 KB of text; what Arrow holds for a batch goes back to the system before the next is read."""
+    for batch in batches:
+        yield from slices(batch, limit=1 << 18)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _laid_out(part):
     """(bytes of the non-null texts of an Arrow slice end to end, their ends)."""
     texts = [t or b"" for t in part.column("text").to_pylist()]
@@ -109,17 +118,16 @@ def _seeds(batches, buckets: int):
         held.clear()
         return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("often", pa.binary())]))
 
-    for batch in batches:
-        for part in slices(batch, limit=1 << 18):
-            _, _, seed, doc = seeded_windows(*_laid_out(part))
-            if len(seed):
-                order = np.lexsort((seed, doc))
-                seed, doc = seed[order], doc[order]
-                held.append(seed[np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])])
-                count += len(held[-1])
-            if count > HELD_SEEDS:
-                yield flush()
-                count = 0
+    for part in _parts(batches):
+        _, _, seed, doc = seeded_windows(*_laid_out(part))
+        if len(seed):
+            order = np.lexsort((seed, doc))
+            seed, doc = seed[order], doc[order]
+            held.append(seed[np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])])
+            count += len(held[-1])
+        if count > HELD_SEEDS:
+            yield flush()
+            count = 0
     if held:
         yield flush()
 
@@ -188,45 +196,42 @@ def _dealt_pieces(batches, wanted, tasks: int):
         held.clear()
         return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("task", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]))
 
-    for batch in batches:
-        for part in slices(batch, limit=1 << 18):
-            data, ends = _laid_out(part)
-            first, windows, seed, doc = seeded_windows(data, ends)
-            good = wanted.of(part, seed, doc, False)
-            first, lengths, doc = first[good], windows[good] + WINDOW - 1, doc[good]
-            if len(good):
-                raw, starts = data.tobytes(), ends - np.diff(ends, prepend=0)
-                ids, same = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "same"))
-                held.append((seed[good], lengths, ids, same, first - starts[doc], [raw[a:a + n] for a, n in zip(first.tolist(), lengths.tolist())]))
-                size += int(lengths.sum())
-            if size > HELD_BYTES:
-                yield flush()
-                size = 0
+    for part in _parts(batches):
+        data, ends = _laid_out(part)
+        first, windows, seed, doc = seeded_windows(data, ends)
+        good = wanted.of(part, seed, doc, False)
+        first, lengths, doc = first[good], windows[good] + WINDOW - 1, doc[good]
+        if len(good):
+            raw, starts = data.tobytes(), ends - np.diff(ends, prepend=0)
+            ids, same = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "same"))
+            held.append((seed[good], lengths, ids, same, first - starts[doc], [raw[a:a + n] for a, n in zip(first.tolist(), lengths.tolist())]))
+            size += int(lengths.sum())
+        if size > HELD_BYTES:
+            yield flush()
+            size = 0
     if held:
         yield flush()
 
 
 def _hot_pieces(batches, wanted):
     """Pieces with hot seeds as rows."""
-    for batch in batches:
-        for part in slices(batch, limit=1 << 18):
-            data, ends = _laid_out(part)
-            first, windows, seed, doc = seeded_windows(data, ends)
-            good = wanted.of(part, seed, doc, True)
-            first, end, doc = first[good], (first + windows)[good] + WINDOW - 1, doc[good]
-            raw, starts, rows = data.tobytes(), ends - np.diff(ends, prepend=0), pa.array(doc)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(rows), "same": part.column("same").take(rows), "start": first - starts[doc],
-                                              "piece": pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.binary())})
+    for part in _parts(batches):
+        data, ends = _laid_out(part)
+        first, windows, seed, doc = seeded_windows(data, ends)
+        good = wanted.of(part, seed, doc, True)
+        first, end, doc = first[good], (first + windows)[good] + WINDOW - 1, doc[good]
+        raw, starts, rows = data.tobytes(), ends - np.diff(ends, prepend=0), pa.array(doc)
+        yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(rows), "same": part.column("same").take(rows), "start": first - starts[doc],
+                                          "piece": pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.binary())})
 
 
 def _stretches(batches):
     """Number and seed of every stretch of every document (for the join that replaces the bitmap)."""
-    for batch in batches:
-        for part in slices(batch, limit=1 << 18):
-            _, _, seed, doc = seeded_windows(*_laid_out(part))
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").take(rows),
-                                              "same": part.column("same").take(rows), "number": np.arange(len(doc)) - np.searchsorted(doc, doc)})
+    for part in _parts(batches):
+        _, _, seed, doc = seeded_windows(*_laid_out(part))
+        rows = pa.array(doc)
+        yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").take(rows),
+                                          "same": part.column("same").take(rows), "number": np.arange(len(doc)) - np.searchsorted(doc, doc)})
 
 
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -413,6 +418,18 @@ def _removed(batches):
             ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
 
+@contextmanager
+def short_batches(spark, rows: int = 1000):
+    """Arrow batches of few rows for the jobs inside, as whole texts pass to the workers; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bitmap(seeds: DataFrame) -> bytes:
     """Two bits of every seed (its high and its low BITMAP_BITS), as bytes; 2 ** BITMAP_BITS bits whatever their number."""
     high, low = F.shiftrightunsigned("seed", 48 - BITMAP_BITS) + 1, F.col("seed").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
@@ -449,7 +466,8 @@ def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: in
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     dealt = known.select("text").mapInArrow(lambda batches: _seeds(batches, tasks), "bucket int, once binary, often binary")
-    seeds = cut_lineage(dealt.repartition(tasks, "bucket").mapInArrow(_shared, "seed long, docs long"))
+    with short_batches(spark):
+        seeds = cut_lineage(dealt.repartition(tasks, "bucket").mapInArrow(_shared, "seed long, docs long"))
     total = seeds.agg(F.count(F.lit(1)).alias("seeds"), F.sum("docs").alias("docs")).first()
     hot_docs = max(hot_docs, (total.docs or 0) // HOT_SEEDS)
     hot = np.sort(np.array([r.seed for r in seeds.where(F.col("docs") > hot_docs).select("seed").collect()], np.uint64))
@@ -462,11 +480,13 @@ def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: in
     wanted = spark.sparkContext.broadcast((bitmap, hot))
     cold = known.mapInArrow(lambda batches: _dealt_pieces(batches, Wanted(*wanted.value), tasks), "task int, n int, packed binary") \
         .repartition(tasks, "task").mapInArrow(_bins, _SPANS_SQL)
-    if not len(hot):
-        spans = cold
-    else:
-        pieces = known.mapInArrow(lambda batches: _hot_pieces(batches, Wanted(*wanted.value)), "doc_id long, same long, start long, piece binary")
-        spans = cold.unionByName(_hot_spans(pieces, size))
+    with short_batches(spark):
+        if not len(hot):
+            spans = cold
+        else:
+            pieces = known.mapInArrow(lambda batches: _hot_pieces(batches, Wanted(*wanted.value)), "doc_id long, same long, start long, piece binary")
+            spans = cold.unionByName(_hot_spans(pieces, size))
+        spans = cut_lineage(spans)
     return spans.groupBy("doc_id", "same").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
