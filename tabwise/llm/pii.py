@@ -1,13 +1,16 @@
-"""Personal data: base spans by rule, and an information-theoretic measure of what their neighbourhood discloses.
+"""Personal data: base spans by rule, and an information-theoretic measure of the terms that disclose them.
 
 Every email, address, card and phone number found is a protected entity. Over the whole corpus, with documents as
-contexts, n_e documents hold entity e, n_t hold term t, n_et hold t within ``reach`` characters of e. The point-wise
-mutual information log2(N·n_et / (n_e·n_t)) says how many of the entity's log2(N / n_e) bits the term gives away.
-Terms near an entity whose share reaches ``generalise_at`` in ``min_joint`` documents or more are spans of kind
-``term``: generalised to their class, or removed from ``remove_at`` on (1: the term never occurs without the entity).
-
-DataFrame functions only. Scale: two scans of the texts (spans; term counts with map-side aggregation), and joins
-on small rows without texts; texts are never shuffled, but for documents with an entity when they are rewritten.
+contexts, n_e documents hold entity e, n_t hold term t, n_et hold both, out of N. The corpus estimate of P(t|e) is drawn
+towards independence by ``prior`` documents, (n_et + prior n_t / N) / (n_e + prior), so that it holds for entities of one
+or two documents as well; log2(P(t|e) N / n_t) says how many of the entity's log2(N / n_e) bits the term gives away.
+Terms whose share reaches ``generalise_at`` are spans of kind ``term`` wherever they stand in a document that holds the
+entity: generalised to their class, or removed from ``remove_at`` on.
+
+DataFrame functions only. Scale: two scans of the texts (spans; term counts with map-side aggregation), and joins on
+rows without texts; texts are shuffled only where rows repeat, and for documents with an entity when they are rewritten.
+Positions come from sums over the pieces of a text, texts are cut in blocks, and spans that overlap are told by blanking
+the text, so a text of very many spans costs little more than its length.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .spans import find, joined, of_kind, overlaps, redacted, row_keys, tagged
+from .spans import find, joined, of_kind, redacted, row_keys, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -25,7 +28,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]++"
-REACH, MIN_JOINT, GENERALISE_AT, REMOVE_AT = 48, 3, 0.9, 1.0
+BLANK = "\ufdd0"  # a noncharacter that stands for letters and digits of base spans
+FREE_TERM = rf"(?<![\p{{L}}\p{{N}}{BLANK}])[\p{{L}}\p{{N}}]++(?!{BLANK})"
+GENERALISE_AT, REMOVE_AT = 0.9, 0.96
 PRIOR = 0.5  # weight, in documents, of independence in the smoothed estimate
 
 
@@ -67,82 +72,26 @@ def possible(text: Column) -> Column:
     return F.coalesce(text.rlike(r"@[A-Za-z0-9-]|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"), F.lit(False))
 
 
-def _near(text: Column, base: Column, reach: int) -> Column:
-    """For each base span its kind, value and the terms around it: whole terms (letters and digits) within
-    ``reach`` characters that overlap no base span, lower-cased, with positions in the text."""
-    def around(s):
-        lo = F.greatest(s["start"] - reach, F.lit(0))
-        def terms(piece, offset, cut_left, cut_right):
-            found = find(piece, TERM)
-            whole = F.filter(found, lambda t: ~(cut_left & (t["start"] == 0)) & ~(cut_right & (t["end"] == F.length(piece))))
-            return F.transform(whole, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + offset).alias("start"),
-                                                         (t["end"] + offset).alias("end")))
-        left, right = F.substring(text, lo + 1, s["start"] - lo), F.substring(text, s["end"] + 1, F.lit(reach))
-        # a term that touches the entity or the border of the reach may be cut
-        both = F.concat(terms(left, lo, lo > 0, F.lit(False)),
-                        terms(right, s["end"], F.lit(False), F.length(text) > s["end"] + reach))
-        free = F.filter(both, lambda t: ~F.exists(base, lambda b: overlaps(t, b)))
-        return F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("entity"), free.alias("terms"))
-    return F.transform(base, around)
-
-
-def disclosing_terms(near: DataFrame, docs: DataFrame, min_joint: int, generalise_at: float) -> DataFrame:
-    """near (k1, k2, kind, entity, term): co-occurrences; docs (text): the whole corpus. Pairs that disclose:
-    kind, entity, term, share (mutual information over the entity's information), 0 to 1."""
-    total = docs.count()
-    entity = near.select("k1", "k2", "kind", "entity").distinct().groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pair = (near.where("term is not null").select("k1", "k2", "kind", "entity", "term").distinct()
-            .groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_joint))
-    pair = cut_lineage(pair)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    # counted before the join (an inner join stays above the count), so the join makes one row a term
-    term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pair.select("term").distinct(), "term")
-    bits = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return (pair.join(entity, ["kind", "entity"]).join(term, "term").where(F.col("n_e") < total)
-            .withColumn("share", pmi / bits).where(F.col("share") >= generalise_at - 1e-9)
-            .select("kind", "entity", "term", "share"))
-
-
-def find_personal_data(docs: DataFrame, reach: int = REACH, min_joint: int = MIN_JOINT,
-                       generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """docs (doc_id, text, …) → one row per input row: doc_id, k1, k2 (row hashes), base, terms: arrays of spans
-    (no, kind, start, end, value; of terms also share), by kind and start.
-
-    Null and empty texts have no spans. Null ids stay null; repeated rows are each returned and count as one
-    document with their id; extra columns are ignored; an empty table gives no rows."""
-    k1, k2 = row_keys()
-    rows = cut_lineage(docs.select("doc_id", "text", k1, k2)
-                       .select("doc_id", "k1", "k2", "text", F.when(possible(F.col("text")), base_spans(F.col("text")))
-                               .alias("base"))
-                       .select("doc_id", "k1", "k2", "base", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"), reach))
-                               .alias("near")))
-    near = cut_lineage(rows.where("near is not null").dropDuplicates(["k1", "k2"])
-                       .select("k1", "k2", F.explode("near").alias("n")).select("k1", "k2", "n.kind", "n.entity", F.explode_outer("n.terms").alias("t"))
-                       .select("k1", "k2", "kind", "entity", "t.term", "t.start", "t.end"))
-    flagged = disclosing_terms(near, docs, min_joint, generalise_at)
-    terms = (near.where("term is not null").join(flagged, ["kind", "entity", "term"])
-             .groupBy("k1", "k2", "start", "end").agg(F.max("share").alias("share"), F.first("term").alias("term"))
-             .groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct(
-                 F.lit(len(KINDS)).alias("no"), F.lit("term").alias("kind"), F.col("start"), F.col("end"),
-                 F.col("term").alias("value"), "share"))).alias("terms")))
-    empty = "cast(array() as array<struct<no:int,kind:string,start:int,end:int,value:string{}>>)"
-    return (rows.drop("near").join(terms, ["k1", "k2"], "left")
-            .select("doc_id", "k1", "k2", F.coalesce("base", F.expr(empty.format(""))).alias("base"),
-                    F.coalesce("terms", F.expr(empty.format(",share:double"))).alias("terms")))
-
-
 def _terms(text: Column) -> Column:
     """Distinct lower-cased terms of a text."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def find_document_wide(docs: DataFrame, generalise_at: float = GENERALISE_AT, prior: float = PRIOR) -> DataFrame:
-    """Like ``find_personal_data`` with whole documents as contexts and no least number of documents: n_et counts
-    the documents with entity and term anywhere, P(t|e) = (n_et + prior·n_t/N) / (n_e + prior) is drawn towards
-    independence by ``prior`` documents, and every occurrence of a disclosing term in a document that holds the
-    entity is a span. So entities of one or two documents have terms too; as their share stays below 1 they are
-    generalised, not removed.
+def blanked(text: Column, base: Column) -> Column:
+    """The text with the letters and digits of base spans as BLANK and their other characters as spaces, so that a term
+    that shares a character with a base span stands next to a BLANK or is gone."""
+    def label(s, cut):
+        return F.regexp_replace(F.regexp_replace(cut(s["start"], s["end"]), r"[\p{L}\p{N}]", BLANK), f"[^{BLANK}]", " ")
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return redacted(F.translate(text, BLANK, " "), ordered, label, whole=True)
+
+
+def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, prior: float = PRIOR) -> DataFrame:
+    """docs (doc_id, text, …) → one row per input row: doc_id, k1, k2 (row hashes), base, terms: arrays of spans
+    (no, kind, start, end, value; of terms also share), by kind and start.
+
+    Null and empty texts have no spans. Null ids stay null; repeated rows are each returned and count as one
+    document with their id; extra columns are ignored; an empty table gives no rows.
 
     Terms with N·(n_e/N)^generalise_at documents or more cannot reach the share and never meet an entity."""
     k1, k2 = row_keys()
@@ -152,7 +101,11 @@ def find_document_wide(docs: DataFrame, generalise_at: float = GENERALISE_AT, pr
     held = rows.where("text is not null").dropDuplicates(["k1", "k2"])
     entity = cut_lineage(held.select("k1", "k2", F.explode("base").alias("b"))
                          .select("k1", "k2", F.col("b.kind").alias("kind"), F.lower("b.value").alias("entity")).distinct())
-    n_e = entity.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # entities of the very same documents have the same terms and shares: one stands for all of them, so that a document
+    # of very many entities does not meet its terms once for each
+    places = [F.bit_xor(F.xxhash64("k1", "k2")).alias("a"), F.bit_xor(F.xxhash64("k2", "k1")).alias("b")]
+    n_e = (entity.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e"), *places)
+           .groupBy("n_e", "a", "b").agg(F.min(F.struct("kind", "entity")).alias("one")).select("n_e", "one.kind", "one.entity"))
     n_rows, total = rows.count(), rows.select("k1", "k2").distinct().count()
     most = n_e.agg(F.max("n_e")).first()[0] or 0
     n = F.lit(float(max(total, 1)))
@@ -166,28 +119,21 @@ def find_document_wide(docs: DataFrame, generalise_at: float = GENERALISE_AT, pr
     flagged = (met.groupBy("kind", "entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
                .withColumn("share", F.log2(p * n / F.col("n_t")) / F.log2(n / F.col("n_e")))
                .where(F.col("share") >= generalise_at - 1e-9).select("kind", "entity", "term", "share"))
-    shares = (met.join(flagged, ["kind", "entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
-              .groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")))
-    # the forms of the terms in the text make up the expression that finds them
-    forms = F.filter(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))),
-                     lambda w: F.map_contains_key(F.col("shares"), F.lower(w)))
-    marked = (held.join(shares, ["k1", "k2"])
-              .withColumn("regex", F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])")))
-              .select("k1", "k2", "base", "shares", find(F.col("text"), F.col("regex")).alias("found")))
-    spans = F.transform(F.filter("found", lambda t: ~F.exists("base", lambda b: overlaps(t, b))), lambda t: F.struct(
-        F.lit(len(KINDS)).alias("no"), F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"),
-        F.lower(t["value"]).alias("value"), F.element_at("shares", F.lower(t["value"])).alias("share")))
+    shares = met.join(flagged, ["kind", "entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
+    places = held.select("k1", "k2", F.explode(find(blanked(F.col("text"), F.col("base")), FREE_TERM)).alias("t")) \
+        .select("k1", "k2", F.lower("t.value").alias("term"), "t.start", "t.end")
+    span = F.struct(F.lit(len(KINDS)).alias("no"), F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), "share")
+    marked = places.join(shares, ["k1", "k2", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(span)).alias("terms"))
     empty = "cast(array() as array<struct<no:int,kind:string,start:int,end:int,value:string{}>>)"
-    return (rows.drop("text").join(marked.select("k1", "k2", spans.alias("terms")), ["k1", "k2"], "left")
+    return (rows.drop("text").join(marked, ["k1", "k2"], "left")
             .select("doc_id", "k1", "k2", F.coalesce("base", F.expr(empty.format(""))).alias("base"),
                     F.coalesce("terms", F.expr(empty.format(",share:double"))).alias("terms")))
 
 
-def sanitise(docs: DataFrame, remove_at: float = REMOVE_AT, finder=find_personal_data, **args) -> DataFrame:
+def sanitise(docs: DataFrame, remove_at: float = REMOVE_AT, **args) -> DataFrame:
     """docs with personal data replaced in ``text``: base spans by their kind in brackets, disclosing terms by
-    [TERM] or [NUMBER], or by nothing from ``remove_at`` on. All other columns and rows stay as they are.
-    ``finder`` is ``find_personal_data`` or ``find_document_wide``."""
-    found = (finder(docs, **args).where((F.size("base") > 0)).dropDuplicates(["k1", "k2"])
+    [TERM] or [NUMBER], or by nothing from a share of ``remove_at`` on. All other columns and rows stay as they are."""
+    found = (find_personal_data(docs, **args).where((F.size("base") > 0)).dropDuplicates(["k1", "k2"])
              .select("k1", "k2", F.array_sort(F.concat(
                  F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))),
                  F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(
@@ -195,7 +141,7 @@ def sanitise(docs: DataFrame, remove_at: float = REMOVE_AT, finder=find_personal
     names = docs.columns
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), possible(F.col("text")).alias("may"), *row_keys())
     changed = (work.where("may").join(found, ["k1", "k2"], "left")
-               .select("row", F.when(F.col("spans").isNotNull(), redacted(F.col("row.text"), F.col("spans"), lambda s: s["label"]))
+               .select("row", F.when(F.col("spans").isNotNull(), redacted(F.col("row.text"), F.col("spans"), lambda s, cut: s["label"]))
                        .otherwise(F.col("row.text")).alias("clean")))
     out = work.where("not may").select("row", F.col("row.text").alias("clean")).unionByName(changed)
     return out.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])

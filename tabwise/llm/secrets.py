@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .spans import find, joined, of_kind, overlaps, row_keys, tagged
+from .spans import find, joined, of_kind, row_keys, tagged
 
 KINDS = ("assign", "access", "hex")
 WEAK = ("identifier", "key", "endpoint")
@@ -48,16 +48,15 @@ def in_order(spans: Column) -> Column:
     return F.transform(keyed, lambda x: x["s"])
 
 
-def weak_spans(text: Column, base: Column) -> Column:
-    """Weak candidates that overlap no base span."""
+def weak_spans(text: Column) -> Column:
+    """Weak candidates; those that overlap a base span are left out where the parts are linked."""
     low = F.lower(text)
     n = len(KINDS)
     ids = find(text, IDENTIFIER, low.rlike("user|login|account|client_?id|access_?key"))
     keys = F.concat(find(text, KEY, text.rlike("[A-Za-z0-9+/_-]{16}") & text.rlike("[0-9]")),
                     find(text, SHORT_KEY, low.rlike("pwd|passphrase|private_?key|credential|signature")))
     ends = find(text, ENDPOINT, F.contains(text, F.lit("://")))
-    every = F.concat(*[tagged(k, n + i, s) for i, (k, s) in enumerate(zip(WEAK, (ids, keys, ends)))])
-    return F.filter(every, lambda w: ~F.exists(base, lambda b: overlaps(w, b)))
+    return F.concat(*[tagged(k, n + i, s) for i, (k, s) in enumerate(zip(WEAK, (ids, keys, ends)))])
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -67,10 +66,16 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Null and empty texts have no spans. Null ids stay null; repeated rows are each returned; extra columns are
     ignored; an empty table gives no rows."""
     rows = cut_lineage(docs.select("doc_id", "text", *row_keys()).withColumn("base", base_spans(F.col("text")))
-                       .select("doc_id", "k1", "k2", "base", weak_spans(F.col("text"), F.col("base")).alias("weak")))
+                       .select("doc_id", "k1", "k2", "base", weak_spans(F.col("text")).alias("weak")))
     parts = (rows.where(F.size("weak") > 0).dropDuplicates(["k1", "k2"])
              .select("k1", "k2", F.explode(F.concat("base", "weak")).alias("s")).withColumn("start", F.col("s.start")))
-    kind = F.col("s.kind")
+    kind, is_base = F.col("s.kind"), F.col("s.no") < len(KINDS)
+    # a weak part overlaps a base span that starts before its end if one before reaches into it, or the next starts in it
+    upto = Window.partitionBy("k1", "k2").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("k1", "k2").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    parts = (parts.withColumn("reach", F.max(F.when(is_base, F.col("s.end"))).over(upto))
+             .withColumn("next", F.min(F.when(is_base, F.col("start"))).over(after))
+             .where(is_base | (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("s.end")))))
     near = Window.partitionBy("k1", "k2").orderBy("start").rangeBetween(-scope, scope)
     seen = {name: F.max(kind.isin(*kinds)).over(near) for name, kinds in
             (("secret", ("assign", "hex", "key")), ("other", ("access", "identifier", "endpoint")))}

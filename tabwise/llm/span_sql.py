@@ -10,12 +10,20 @@ _OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}",
         "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 _ASSIGN = r"""["'']?\x20*[:=]\x20*["'']?"""
-_WORD = "(?i:password|passwd|secret|token|api_?key)"
+
+
+def _letters(words: str) -> str:
+    """A rule whose ASCII letters match in either case and no other letter does ((?i) would also fold U+017F and U+212A)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isascii() and c.isalpha() else c for c in words)
+
+
+_SHORT = f"(?:{_letters('pwd|passphrase|private_?key|credential|signature')})"
+_WORD = f"(?:{_letters('password|passwd|secret|token|api_?key')})"
 _SECRETS = {
     "assign": _WORD + _ASSIGN + "[A-Za-z0-9+/_.=-]+", "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}",
-    "identifier": "(?i:user(?:_?name)?|login|account|client_?id|access_?key_?id)" + _ASSIGN + "[A-Za-z0-9@+/_.-]{3,}",
-    "key": "[A-Za-z0-9+/_-]{16,}", "key2": "(?i:pwd|passphrase|private_?key|credential|signature)" + _ASSIGN + "[A-Za-z0-9+/_.=-]{4,}",
-    "endpoint": r"""(?i:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)(?i:[+:][a-z]+)?://[^\s"''<>]+"""}
+    "identifier": f"(?:{_letters('user(?:_?name)?|login|account|client_?id|access_?key_?id')})" + _ASSIGN + "[A-Za-z0-9@+/_.-]{3,}",
+    "key": "[A-Za-z0-9+/_-]{16,}", "key2": f"(?:{_letters('pwd|passphrase|private_?key|credential|signature')})" + _ASSIGN + "[A-Za-z0-9+/_.=-]{4,}",
+    "endpoint": f"(?:{_letters('https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp')})" + r"""(?:[+:][A-Za-z]+)?://[^\s"''<>]+"""}
 
 
 def _found(source: str, rules: dict[str, str], names: list[tuple[int, str]]) -> str:
@@ -47,34 +55,6 @@ base AS (SELECT span.doc_id, no, kind, v, span.s, e FROM span LEFT JOIN luhn ON
          WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN regexp_full_match(v, '{_OCTET}(\\.{_OCTET}){{3}}')
                WHEN 'card' THEN coalesce(total % 10 = 0, false)
                ELSE length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 END),
-side AS (SELECT doc_id, kind, lower(v) AS entity, greatest(s - {pii.REACH}, 0) AS o0, s > {pii.REACH} AS cut_left, false AS cut_right,
-                substr(text, greatest(s - {pii.REACH}, 0) + 1, s - greatest(s - {pii.REACH}, 0)) AS piece FROM base JOIN d USING (doc_id)
-         UNION ALL
-         SELECT doc_id, kind, lower(v), e, false, length(text) > e + {pii.REACH}, substr(text, e + 1, {pii.REACH}) FROM base JOIN d USING (doc_id)),
-cutp AS (SELECT *, string_split_regex(piece, '{_TERM}') AS p, regexp_extract_all(piece, '{_TERM}') AS m FROM side),
-word AS (SELECT doc_id, kind, entity, o0, cut_left, cut_right, length(piece) AS n, v,
-                length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS o FROM (
-           SELECT *, unnest(m) AS v, generate_subscripts(m, 1) AS i FROM cutp)),
-near AS (SELECT doc_id, kind, entity, lower(v) AS term, o0 + o AS s, o0 + o + length(v) AS e FROM word
-         WHERE NOT (cut_left AND o = 0) AND NOT (cut_right AND o + length(v) = n)),
-free AS (SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = near.doc_id AND near.s < b.e AND b.s < near.e)),
-total AS (SELECT count(*) AS n FROM d),
-ne AS (SELECT kind, lower(v) AS entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY 1, 2),
-net AS (SELECT kind, entity, term, count(DISTINCT doc_id) AS n_et FROM free GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= {pii.MIN_JOINT}),
-nt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM d) GROUP BY term),
-flag AS (SELECT kind, entity, term FROM net JOIN ne USING (kind, entity) JOIN nt USING (term), total
-         WHERE n_e < n AND log2(CAST(n AS DOUBLE) * n_et / (n_e * n_t)) / log2(CAST(n AS DOUBLE) / n_e) >= {pii.GENERALISE_AT} - 1e-9),
-term AS (SELECT DISTINCT doc_id, s, e FROM free JOIN flag USING (kind, entity, term)),
-b AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.KINDS)},
-             {_list(_SPAN_TEXT, "no, s")} AS spans FROM base GROUP BY doc_id),
-t AS (SELECT doc_id, {_list("'term:' || s || ':' || e", "s")} AS spans FROM term GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(b.spans, '')) AS base_sha256,
-       concat_ws(',', b.spans, t.spans) AS spans
-FROM d LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)"""
-
-_HEAD, _TAIL = PII_SQL[:PII_SQL.index("\nside AS (")], PII_SQL[PII_SQL.index("\nb AS (SELECT"):]
-# base spans and lists as above; terms of whole documents, smoothed
-DOCUMENT_PII_SQL = f"""{_HEAD}
 cutw AS (SELECT doc_id, string_split_regex(text, '{_TERM}') AS p, regexp_extract_all(text, '{_TERM}') AS m FROM d
          WHERE doc_id IN (SELECT doc_id FROM base)),
 word AS (SELECT doc_id, lower(v) AS term, e - length(v) AS s, e FROM (
@@ -89,7 +69,13 @@ nt AS (SELECT term, count(*) AS n_t FROM dt GROUP BY term),
 net AS (SELECT kind, entity, term, count(*) AS n_et FROM ent JOIN dt USING (doc_id) GROUP BY 1, 2, 3),
 flag AS (SELECT kind, entity, term FROM net JOIN ne USING (kind, entity) JOIN nt USING (term), total
          WHERE n_e < n AND log2((n_et + {pii.PRIOR} * n_t / n) / (n_e + {pii.PRIOR}) * n / n_t) / log2(CAST(n AS DOUBLE) / n_e) >= {pii.GENERALISE_AT} - 1e-9),
-term AS (SELECT DISTINCT free.doc_id, s, e FROM free JOIN ent USING (doc_id) JOIN flag USING (kind, entity, term)),{_TAIL}"""
+term AS (SELECT DISTINCT free.doc_id, s, e FROM free JOIN ent USING (doc_id) JOIN flag USING (kind, entity, term)),
+b AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.KINDS)},
+             {_list(_SPAN_TEXT, "no, s")} AS spans FROM base GROUP BY doc_id),
+t AS (SELECT doc_id, {_list("'term:' || s || ':' || e", "s")} AS spans FROM term GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(b.spans, '')) AS base_sha256,
+       concat_ws(',', b.spans, t.spans) AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 _NAMES = [*enumerate(secrets.KINDS), (3, "identifier"), (4, "key"), (4, "key"), (5, "endpoint")]
 
@@ -98,7 +84,7 @@ WITH d AS (SELECT doc_id, text FROM documents),
 {_found("d", _SECRETS, _NAMES)},
 valid AS (SELECT * FROM span WHERE CASE no
             WHEN 0 THEN length(regexp_extract(v, '{_WORD}{_ASSIGN}(.*)$', 1)) >= 6
-            WHEN 4 THEN regexp_matches(v, '^(?i:pwd|passphrase|private_?key|credential|signature){_ASSIGN}') AND regexp_matches(v, '[:=]')
+            WHEN 4 THEN regexp_matches(v, '^{_SHORT}{_ASSIGN}') AND regexp_matches(v, '[:=]')
                         OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
             ELSE true END),
 base AS (SELECT * FROM valid WHERE no < 3),

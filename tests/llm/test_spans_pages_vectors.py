@@ -58,17 +58,34 @@ def test_disclosing_terms(spark):
     docs = [(i, f"please write to Zorblat, mail boss@corp.example today about order {i}") for i in range(6)]
     docs += [(10 + i, f"please write to the office today about order {i}, then mail u{i}@x.org") for i in range(60)]
     rows = {r.doc_id: r for r in pii.find_personal_data(frame(spark, docs)).collect()}
-    assert {t.value for t in rows[0].terms} == {"zorblat"} and rows[0].terms[0].share > 0.999
+    assert {t.value for t in rows[0].terms} == {"zorblat"}
     text = dict(docs)
     assert all(text[i][t.start:t.end].lower() == t.value for i, r in rows.items() for t in r.terms)
     assert not rows[12].terms
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, docs)).collect()}
     assert clean[0] == "please write to , mail [EMAIL] today about order 0" and clean[11].endswith("then mail [EMAIL]")
     n = len(docs)
-    share = np.log2(n * 6 / (6 * 6)) / np.log2(n / 6)  # n_e = n_t = n_et = 6
+    share = np.log2((6 + pii.PRIOR * 6 / n) / (6 + pii.PRIOR) * n / 6) / np.log2(n / 6)  # n_e = n_t = n_et = 6
     assert abs(rows[0].terms[0].share - share) < 1e-12
 
 
+def test_one_text_of_very_many_spans(spark):
+    """20,000 e-mail addresses with terms between them, and 20,000 weak parts, in one text each: seconds, not hours."""
+    import time
+    mails = " ".join(f"word{i} a{i}@b{i % 7}.org" for i in range(20_000))
+    parts = " ".join(f"user=u{i}xyz Ab1{i:020d}" for i in range(10_000)) + " password=abcdef1"
+    t0 = time.time()
+    docs = frame(spark, [(1, mails), (2, "nothing"), (3, "else")])
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert len(found[1].base) == 20_000 and all(mails[s.start:s.end] == s.value for s in found[1].base[::997])
+    assert len(found[1].terms) == 20_000 and all(mails[s.start:s.end] == s.value for s in found[1].terms[::997])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1].count("[EMAIL]") == 20_000 and "@" not in clean[1] and "word" not in clean[1]
+    weak = secrets.find_secrets(frame(spark, [(1, parts)])).first()
+    assert len(weak.base) == 1 and len(weak.linked) == 20_000
+    assert time.time() - t0 < 100
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     docs = frame(spark, [(1, "call +1 555 555 1234 or 10.0.0.1"), (2, None), (3, ""), (4, "nothing"), (None, "a@b.cc"), (1, "call +1 555 555 1234 or 10.0.0.1")])
     out = pii.sanitise(docs)

@@ -18,13 +18,11 @@ def test_rare_entities_have_terms_in_the_whole_document(spark):
                (-2, f"Bramtil here{far} twice@quiet.example"), (-3, f"twice@quiet.example{far} for bramtil")]
     both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
     text = dict(planted)
-    near = {r.doc_id: r for r in pii.find_personal_data(both).where("doc_id < 0").collect()}
-    assert not any(r.terms for r in near.values())
-    rows = {r.doc_id: r for r in pii.find_document_wide(both).where("doc_id < 0").collect()}
+    rows = {r.doc_id: r for r in pii.find_personal_data(both).where("doc_id < 0").collect()}
     assert {d: sorted(t.value for t in r.terms if t.value in ("quorvex", "bramtil")) for d, r in rows.items()} == {
         -1: ["quorvex"] * 3, -2: ["bramtil"], -3: ["bramtil"]}
     assert all(text[d][t.start:t.end].lower() == t.value and t.value != "the" and 0.9 <= t.share < 1 for d, r in rows.items() for t in r.terms)
-    clean = {r.doc_id: r.text for r in pii.sanitise(both, finder=pii.find_document_wide).where("doc_id < 0").collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(both).where("doc_id < 0").collect()}
     assert clean[-1] == f"[TERM] wrote.{far} mail [EMAIL]{far} [TERM], [TERM]".replace("wrote", "[TERM]" if any(
         t.value == "wrote" for t in rows[-1].terms) else "wrote").replace("mail", "[TERM]" if any(t.value == "mail" for t in rows[-1].terms) else "mail")
 
@@ -32,18 +30,18 @@ def test_rare_entities_have_terms_in_the_whole_document(spark):
 def test_document_wide_terms_equal_sql_and_ignore_repeats(spark, tmp_path):
     import duckdb
 
-    from tabwise.llm.span_sql import DOCUMENT_PII_SQL
+    from tabwise.llm.span_sql import PII_SQL
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
-    want = con.execute(DOCUMENT_PII_SQL)
+    want = con.execute(PII_SQL)
     names = [c[0] for c in want.description]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = pii.digest(pii.find_document_wide(docs))
+    got = pii.digest(pii.find_personal_data(docs))
     want = sorted(tuple(r[names.index(c)] for c in got.columns) for r in want.fetchall())
     assert sorted(map(tuple, got.collect())) == want and sum("term:" in r[-1] for r in want) > 10
-    twice = pii.digest(pii.find_document_wide(docs.unionByName(docs)))
+    twice = pii.digest(pii.find_personal_data(docs.unionByName(docs)))
     assert sorted(map(tuple, twice.distinct().collect())) == want and twice.count() == 2 * len(want)
-    assert pii.find_document_wide(docs.where("false")).count() == 0
+    assert pii.find_personal_data(docs.where("false")).count() == 0
 
 
 def test_licences_with_long_insertions_and_back_to_back(spark):
