@@ -141,9 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, calibration_r
     for name, n in (("dictionary0", per_class), ("dictionary1", per_class), ("calibration", calibration_rows)):
         picks += known.where(part == name).orderBy(F.xxhash64("h"), "doc_id").limit(n).withColumn("part", F.lit(name)).collect()
     chosen = spark.createDataFrame(picks, "doc_id long, quality int, h long, part string")
-    # a few thousand rows at most, so the broadcast is bounded
+    # a few thousand rows at most, so the broadcast is bounded; texts that alone take an eighth of the bound stay out of
+    # the sample, or one of them would push all later rows over it
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-            .groupBy("doc_id", "quality", "h", "part").agg(F.max("text").alias("text"))
+            .groupBy("doc_id", "quality", "h", "part").agg(F.max("text").alias("text")).where(F.length("text") <= max_chars // 8)
             .withColumn("upto", F.sum(F.length("text")).over(Window.partitionBy("part").orderBy(F.xxhash64("h"), "doc_id")))
             .where(F.col("upto") <= max_chars))
     got = rows.where("text is not null").orderBy("doc_id").toPandas()

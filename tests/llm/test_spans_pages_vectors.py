@@ -75,7 +75,7 @@ def test_one_text_of_very_many_spans(spark):
     mails = " ".join(f"word{i} a{i}@b{i % 7}.org" for i in range(20_000))
     parts = " ".join(f"user=u{i}xyz Ab1{i:020d}" for i in range(10_000)) + " password=abcdef1"
     t0 = time.time()
-    docs = frame(spark, [(1, mails), (2, "nothing"), (3, "else")])
+    docs = frame(spark, [(1, mails), *((k, f"else {k}") for k in range(2, 2000))])
     found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
     assert len(found[1].base) == 20_000 and all(mails[s.start:s.end] == s.value for s in found[1].base[::997])
     assert len(found[1].terms) == 20_000 and all(mails[s.start:s.end] == s.value for s in found[1].terms[::997])
