@@ -37,12 +37,22 @@ def search(df: DataFrame, term: str | None, column: str = "name") -> DataFrame:
     return df.where(F.lower(F.col(column)).contains(term.lower()))
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Batch partial update — for each key in ``changes`` (one row per key), non-NULL fields replace the
-    base values; other rows pass unchanged."""
-    change_cols = [c for c in changes.columns if c != key and c in base.columns]
-    ch = changes.select(key, *[F.col(c).alias(f"__new_{c}") for c in change_cols])
-    joined = base.join(ch, key, "left")
+def patch(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Batch partial update — for each key in ``changes`` non-NULL fields replace the base values; other rows pass
+    unchanged, and no base row is repeated. Several changes of one key are merged field by field first: the last
+    non-NULL value by ``order`` (ties, and changes without ``order``: the greatest value). Keys of ``changes`` that the
+    base lacks, and NULL keys, change nothing."""
+    change_cols = [c for c in changes.columns if c not in (key, order) and c in base.columns]
+    if not change_cols:
+        return base
+
+    def last(c):
+        value = F.col(f"`{c}`")
+        when = F.struct(F.col(f"`{order}`").alias("o"), value.alias("v")) if order else F.struct(value.alias("v"))
+        return F.max(F.when(value.isNotNull(), when))["v"].alias(f"__new_{c}")
+
+    merged = changes.groupBy(key).agg(*[last(c) for c in change_cols])
+    joined = base.join(merged, key, "left")
     return joined.select(*[
         (F.coalesce(F.col(f"__new_{c}"), F.col(c)).cast(base.schema[c].dataType).alias(c) if c in change_cols
          else F.col(c)) for c in base.columns])

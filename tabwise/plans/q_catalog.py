@@ -34,20 +34,21 @@ def q_search_projects(spark, sf_dir):
 
 
 @register("patch_projects", """
-WITH ch AS (SELECT o_custkey AS c_custkey,
-                   CASE WHEN o_custkey % 3 = 0 THEN max(o_totalprice) END AS c_acctbal,
-                   CAST(NULL AS VARCHAR) AS c_mktsegment
-            FROM orders GROUP BY o_custkey)
-SELECT c.c_custkey, c.c_name, coalesce(ch.c_acctbal, c.c_acctbal) AS c_acctbal,
-       coalesce(ch.c_mktsegment, c.c_mktsegment) AS c_mktsegment
-FROM customer c LEFT JOIN ch USING (c_custkey)""")
+WITH o AS (SELECT o_custkey, o_orderdate, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice END AS bal,
+                  CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS seg FROM orders),
+b AS (SELECT o_custkey, bal FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, bal DESC) AS k
+                                  FROM o WHERE bal IS NOT NULL) WHERE k = 1),
+g AS (SELECT o_custkey, seg FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, seg DESC) AS k
+                                  FROM o WHERE seg IS NOT NULL) WHERE k = 1)
+SELECT c.c_custkey, c.c_name, coalesce(b.bal, c.c_acctbal) AS c_acctbal, coalesce(g.seg, c.c_mktsegment) AS c_mktsegment
+FROM customer c LEFT JOIN b ON b.o_custkey = c.c_custkey LEFT JOIN g ON g.o_custkey = c.c_custkey""")
 def q_patch_projects(spark, sf_dir):
+    """Every order is a patch of its customer, many per key, merged field by field in the order of their dates."""
     base = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    o = read_table(spark, sf_dir, "orders")
-    changes = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.when(F.col("c_custkey") % 3 == 0, F.max("o_totalprice")).alias("c_acctbal"),
-        F.lit(None).cast("string").alias("c_mktsegment"))
-    return patch(base, changes, "c_custkey")
+    changes = read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), "o_orderdate", F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice")).alias("c_acctbal"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("c_mktsegment"))
+    return patch(base, changes, "c_custkey", order="o_orderdate")
 
 
 def _route(status):
@@ -80,9 +81,16 @@ def q_parse_event_props(spark, sf_dir):
     return good
 
 
-@register("lineitem_manifest", "SELECT count(*) AS n_rows FROM lineitem")
+@register("lineitem_manifest")
 def q_lineitem_manifest(spark, sf_dir):
-    """Rows of all files behind the lineitem table (paths, sizes and load times differ by engine)."""
+    """Name, size in bytes and rows of every file behind the lineitem table."""
+    name = F.element_at(F.split("file_name", "/"), -1).alias("file_name")
+    return manifest(read_table(spark, sf_dir, "lineitem")).select(name, "file_size", "n_rows")
+
+
+@register("lineitem_manifest_rows", "SELECT count(*) AS n_rows FROM lineitem")
+def q_lineitem_manifest_rows(spark, sf_dir):
+    """The rows of all files together."""
     return manifest(read_table(spark, sf_dir, "lineitem")).agg(F.sum("n_rows").alias("n_rows"))
 
 

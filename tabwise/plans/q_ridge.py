@@ -75,20 +75,6 @@ def q_ridge_sample(spark, sf_dir):
                     "abs_error")
 
 
-@register("ridge_contributions", _BASE + f"""
-, c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, wq * zq AS cq, wd * zd AS cd FROM te)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'qty' AS feature,
-       {sql_round('cq', 6)} AS contribution,
-       CAST(CASE WHEN abs(cq) > abs(cd) OR (abs(cq) = abs(cd) AND 'qty' > 'disc') THEN 1 ELSE 2 END AS INTEGER) AS rank
-FROM c
-UNION ALL
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'disc', {sql_round('cd', 6)},
-       CAST(CASE WHEN abs(cq) > abs(cd) OR (abs(cq) = abs(cd) AND 'qty' > 'disc') THEN 2 ELSE 1 END AS INTEGER)
-FROM c""")
-def q_ridge_contributions(spark, sf_dir):
-    return _contributions(spark, sf_dir, lineitem_ridge_input(spark, sf_dir).where(F.pmod("l_orderkey", F.lit(5)) == 0))
-
-
 def _contributions(spark, sf_dir, rows):
     c = fit_lineitem_ridge(spark, sf_dir).contributions(rows, n=5)
     return c.select(*[F.col(f"row_key.{k}").alias(k) for k in KEY_COLS], "feature",
@@ -98,14 +84,14 @@ def _contributions(spark, sf_dir, rows):
 _CONTRIBUTION = "CAST(CASE WHEN abs(cq) >= abs(cd) THEN {} ELSE {} END AS INTEGER) AS rank"
 
 
-@register("ridge_contributions_all", _BASE + f"""
+@register("ridge_contributions", _BASE + f"""
 , c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, wq * zq AS cq, wd * zd AS cd FROM z, w)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'qty' AS feature,
        {sql_round('cq', 6)} AS contribution, {_CONTRIBUTION.format(1, 2)} FROM c
 UNION ALL
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'disc', {sql_round('cd', 6)}, {_CONTRIBUTION.format(2, 1)} FROM c""")
-def q_ridge_contributions_all(spark, sf_dir):
-    """O3 for every row of lineitem; ridge_contributions is the held-out fold of it."""
+def q_ridge_contributions(spark, sf_dir):
+    """O3 for every row of lineitem."""
     return _contributions(spark, sf_dir, lineitem_ridge_input(spark, sf_dir))
 
 
@@ -116,23 +102,6 @@ def _blank_inputs(raw):
                       F.when(ln == 2, None).otherwise(F.col("disc")).alias("disc"))
 
 
-@register("ridge_predict_filled", _BASE + f"""
-, med AS (SELECT median(l_quantity) AS mq2, median(l_discount) AS md2 FROM lineitem),
-inp AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-               CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS q,
-               CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS d
-        FROM lineitem WHERE l_orderkey % 5 = 0),
-zz AS (SELECT inp.*, (coalesce(q, mq2) - mq) / CASE WHEN sq = 0 THEN 1 ELSE sq END AS zq,
-              (coalesce(d, md2) - md) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zd FROM inp, med, st)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-       {sql_round('(w.ay - w.aq * w.wq - w.ad * w.wd) + w.wq * zq + w.wd * zd', 6)} AS prediction,
-       concat_ws(',', CASE WHEN q IS NULL THEN 'qty' END, CASE WHEN d IS NULL THEN 'disc' END) AS missing_filled
-FROM zz, w""")
-def q_ridge_predict_filled(spark, sf_dir):
-    """V1 + F11: ridge fitted with the shared preprocessing (median fills), scoring inputs with blank fields."""
-    return _predict_filled(spark, sf_dir, lineitem_ridge_input(spark, sf_dir).where(F.pmod("l_orderkey", F.lit(5)) == 0))
-
-
 def _predict_filled(spark, sf_dir, rows):
     m = ridge(lineitem_ridge_input(spark, sf_dir), key="row_key", target="y", features=["qty", "disc"],
               alpha=1.0, folds=5, test_fold=0, split_col="l_orderkey", prep=True)
@@ -141,7 +110,7 @@ def _predict_filled(spark, sf_dir, rows):
                     .alias("prediction"), F.array_join("missing_filled", ",").alias("missing_filled"))
 
 
-@register("ridge_predict_filled_all", _BASE + f"""
+@register("ridge_predict_filled", _BASE + f"""
 , med AS (SELECT median(l_quantity) AS mq2, median(l_discount) AS md2 FROM lineitem),
 inp AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
                CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS q,
@@ -152,6 +121,6 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
        {sql_round('(w.ay - w.aq * w.wq - w.ad * w.wd) + w.wq * zq + w.wd * zd', 6)} AS prediction,
        concat_ws(',', CASE WHEN q IS NULL THEN 'qty' END, CASE WHEN d IS NULL THEN 'disc' END) AS missing_filled
 FROM zz, w""")
-def q_ridge_predict_filled_all(spark, sf_dir):
-    """V1 + F11 for every row of lineitem; ridge_predict_filled is the held-out fold of it."""
+def q_ridge_predict_filled(spark, sf_dir):
+    """V1 + F11: ridge fitted with the shared preprocessing (median fills), scoring every row with blank fields."""
     return _predict_filled(spark, sf_dir, lineitem_ridge_input(spark, sf_dir))

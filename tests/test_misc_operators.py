@@ -205,3 +205,12 @@ def test_small_catalog_helpers(spark, tmp_path):
     write_table(df, path)
     plan = visible(spark.read.parquet(path), "guest_user")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(starred), EqualTo(starred,true)]" in plan or "EqualTo(starred,true)" in plan
+
+
+def test_patches_of_one_key_are_merged_field_by_field(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "n", "z")], "id int, name string, city string")
+    ch = spark.createDataFrame([(1, 2, "new", None), (1, 1, "old", "u"), (1, 3, None, None), (3, 1, "c", "c"), (None, 9, "q", "q")],
+                               "id int, at int, name string, city string")
+    rows = sorted(map(tuple, patch(base, ch, "id", order="at").collect()), key=str)
+    assert rows == [(1, "new", "u"), (2, "b", "y"), (None, "n", "z")]
+    assert patch(base, ch.union(ch), "id").count() == 3 and patch(base, ch.where("false"), "id").count() == 3
