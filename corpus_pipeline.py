@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabwise.llm import bpe, decontam, minhash, pii, quality
 from tabwise.llm.common import table
-from tabwise.session import checkpoint_dir
+from tabwise.session import checkpoint_dir, cut_lineage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: one document of each group stays, the one with the least id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """MinHash near-dedup: one document of each group stays, the one with the least id; where ids are null or repeat,
+    rows are numbered and the first one stays."""
+    ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    key = "doc_id" if ids.isEmpty() else "__row"
+    rows = docs if key == "doc_id" else cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written under the shared checkpoint folder and read again."""
+    """The stages over ``documents``; each result is written under the shared checkpoint folder and read again.
+
+    Null and empty texts pass the filters that judge them clean and have no tokens (decoded: the empty text); equal rows,
+    and rows with null or repeated ids, are judged row by row; other columns pass through; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
