@@ -146,39 +146,86 @@ def validate(df: DataFrame | None, statements: DataFrame, key: str = "id", text:
     return s.select(key, "technique", applicable.alias("applicable"), reason.alias("reason"), "target")
 
 
-def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
-                     broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(l, r, cosine) for every left/right pair sharing at least one token.
-
-    The right (phrase) side is tokenised and weighted once and written; the left side's token weights are
-    written because both the norms and the dot products read them."""
-    rt = token_rows(right, rkey, rtext, "r", "t").groupBy("r", "t").agg(F.count(F.lit(1)).alias("tf"))
-    rt = cut_lineage(rt)
+def tfidf_weights(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
+                  broadcast_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """Unit TF-IDF vectors of both sides as rows (l, t, w) and (r, t, wn); document frequencies are the right side's.
+
+    Both are written, as several joins read them. The right side is broadcast where its tokens and numbers take at most
+    ``broadcast_bytes``, else it is shuffled."""
+    rt = cut_lineage(token_rows(right, rkey, rtext, "r", "t").groupBy("r", "t").agg(F.count(F.lit(1)).alias("tf")))
     n_right = right.select(rkey).distinct().count()
     idf = rt.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
         "t", (F.log((F.lit(1.0 + n_right)) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     rw = rt.join(idf, "t").select("r", "t", (F.col("tf") * F.col("idf")).alias("w"))
     rnorm = rw.groupBy("r").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
-    rw = rw.join(rnorm, "r").select("r", "t", (F.col("w") / F.col("rn")).alias("wn"))
-    rw, idf = cut_lineage(rw), cut_lineage(idf)
-    small = rw.count() <= broadcast_rows  # the size check that allows broadcasting the phrase side
-    side_idf = F.broadcast(idf) if small else idf
-    side_rw = F.broadcast(rw) if small else rw
+    rw, idf = cut_lineage(rw.join(rnorm, "r").select("r", "t", (F.col("w") / F.col("rn")).alias("wn"))), cut_lineage(idf)
+    size = rw.agg(F.sum(F.octet_length("t") + F.octet_length(F.col("r").cast("string")) + 32)).first()[0] or 0
+    small = size <= broadcast_bytes
     default_idf = float(math.log(1.0 + n_right) + 1.0)
     lt = token_rows(spread(left), lkey, ltext, "l", "t").groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf"))
-    lw = lt.join(side_idf, "t", "left").select(
-        "l", "t", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(default_idf))).alias("w"))
-    lw = cut_lineage(lw)
+    lw = cut_lineage(lt.join(F.broadcast(idf) if small else idf, "t", "left").select(
+        "l", "t", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(default_idf))).alias("w")))
     lnorm = lw.groupBy("l").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
-    dot = lw.join(side_rw, "t").groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("dot"))
-    return dot.join(lnorm, "l").select("l", "r", (F.col("dot") / F.col("ln")).alias("cosine"))
+    # only shared tokens matter once the norms are known
+    known = F.broadcast(idf.select("t")) if small else idf.select("t")
+    lw = lw.join(known, "t", "left_semi").join(lnorm, "l").select("l", "t", (F.col("w") / F.col("ln")).alias("w"))
+    return lw, F.broadcast(rw) if small else rw
+
+
+def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str) -> DataFrame:
+    """(l, r, cosine) for every left/right pair sharing at least one token (for a right side of a few phrases)."""
+    lw, rw = tfidf_weights(left, lkey, ltext, right, rkey, rtext)
+    return lw.join(rw, "t").groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("cosine"))
+
+
+SLACK = 4e-9  # cosines that agree to 9 decimals are ties, so bounds closer than this decide nothing
+
+
+def match_bounds(lw: DataFrame, rw: DataFrame, n: int, first_tokens: int = 8) -> DataFrame:
+    """(l, t, w, essential, rest, least): what can keep a right text out of the ``n`` best of a left one.
+
+    The right side is an inverted index ordered by impact: every token has its greatest weight, the bound of what it
+    adds, and its ``n`` weightiest postings. The postings of a left text's ``first_tokens`` strongest tokens give ``n``
+    pairs and with them ``least``, a score that the n-th best reaches. Tokens whose bounds together stay below it (``rest``)
+    are not essential: a pair that shares no other token cannot come in."""
+    heavy = Window.partitionBy("t").orderBy(F.desc("wn"), "r")
+    index = (rw.withColumn("k", F.row_number().over(heavy)).where(F.col("k") <= n)
+             .groupBy("t").agg(F.max("wn").alias("most"), F.collect_list(F.struct("r", "wn")).alias("head")))
+    strong = Window.partitionBy("l").orderBy(F.desc("u"), "t")
+    weak = Window.partitionBy("l").orderBy("u", F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = lw.join(index, "t").withColumn("u", F.col("w") * F.col("most"))
+    parts = cut_lineage(parts.withColumn("place", F.row_number().over(strong)).withColumn("upto", F.sum("u").over(weak))
+                        .withColumn("head", F.when(F.col("place") <= first_tokens, F.col("head"))))
+    some = (parts.where("head is not null").select("l", "w", F.explode("head").alias("h"))
+            .groupBy("l", F.col("h.r").alias("r")).agg(F.sum(F.col("w") * F.col("h.wn")).alias("p")))
+    best = Window.partitionBy("l").orderBy(F.desc("p"), "r")
+    least = (some.withColumn("k", F.row_number().over(best)).where(F.col("k") == n).select("l", F.col("p").alias("least")))
+    parts = parts.drop("head").join(least, "l", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    parts = parts.withColumn("essential", F.col("upto") >= F.col("least") - SLACK)
+    rest = F.max(F.when(~F.col("essential"), F.col("upto"))).over(Window.partitionBy("l"))
+    return cut_lineage(parts.withColumn("rest", F.coalesce(rest, F.lit(0.0))).select("l", "t", "w", "essential", "rest", "least"))
+
+
+def candidate_pairs(bounds: DataFrame, rw: DataFrame) -> DataFrame:
+    """(l, r, p): pairs with an essential token in common, their score over those tokens, that can still reach ``least``."""
+    pairs = bounds.where("essential").join(rw, "t").groupBy("l", "r").agg(
+        F.sum(F.col("w") * F.col("wn")).alias("p"), F.first("rest").alias("rest"), F.first("least").alias("least"))
+    return pairs.where(F.col("p") + F.col("rest") >= F.col("least") - SLACK).select("l", "r", "p")
 
 
 def top_matches(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
                 n: int = 3) -> DataFrame:
     """The ``n`` most similar right texts per left text (ties → lower right key): (l, r, cosine, rank).
-    Ranked on the cosine rounded to 9 decimals so float noise cannot reorder equal scores."""
-    sim = tfidf_similarity(left, lkey, ltext, right, rkey, rtext)
+    Ranked on the cosine rounded to 9 decimals so float noise cannot reorder equal scores.
+
+    Only pairs that can reach the n-th score are completed (``match_bounds``): essential tokens make the pairs, and the
+    other tokens are added for those alone. Left and right texts with no token in common are no match."""
+    lw, rw = tfidf_weights(left, lkey, ltext, right, rkey, rtext)
+    bounds = match_bounds(lw, rw, n)
+    pairs = cut_lineage(candidate_pairs(bounds, rw))
+    others = bounds.where("not essential").select("l", "t", "w")
+    more = pairs.select("l", "r").join(others, "l").join(rw, ["r", "t"]).groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("q"))
+    sim = pairs.join(more, ["l", "r"], "left").select("l", "r", (F.col("p") + F.coalesce("q", F.lit(0.0))).alias("cosine"))
     w = Window.partitionBy("l").orderBy(F.desc(round_half_up("cosine", 9)), "r")
     return sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
