@@ -1,13 +1,15 @@
-"""U5 isolation forest (+ G18 summary, P14 anomaly rows, O7 top anomalies).
-
-Sampling: tree t takes the ``sample`` rows with the smallest ``xxhash64(key, t, seed)`` — repeatable and
-independent per tree. A cheap pre-filter keeps each (row, tree) with probability ~3·sample/n before the
-per-tree top-``sample`` (a window whose group limit is applied before the shuffle), so no tree's group ever
-holds more than a few hundred rows, whatever the skew of the data.
-Building: one ``applyInPandas`` call per tree (≤ ``sample`` rows) grows an isolation tree with NumPy
-(random feature among the non-constant ones, uniform split, depth limit ⌈log2 ψ⌉) and returns its nodes.
-Scoring: the node table is bounded (trees × (2ψ − 1) rows), so it is broadcast; ``mapInPandas`` walks all
-trees level by level on Arrow batches. score = 2^(−E[h(x)] / c(ψ)); flagged when score > ``threshold``.
+"""U5 isolation forest (+ G18 summary, P14 anomaly rows, O7 top anomalies), as relations.
+
+All chance is drawn from md5 of named things, so a fit can be repeated in any engine that has md5, whatever the layout
+of the data. Sampling: tree t takes the ``sample`` rows with the least md5(key:t:seed). A pre-filter on the same digest
+keeps a row for a tree with probability ~3·sample/n before the per-tree top-``sample`` (a window whose group limit is
+applied before the shuffle), so no tree's group ever holds more than a few hundred rows, whatever the skew.
+Building: the samples (trees × sample rows) are shuffled once by tree; each level is a window over (tree, node) that
+gives the node's size and the range of every feature, from which each row draws its node's split (feature: md5 of
+seed:tree:node:f among those that vary, threshold: md5 of seed:tree:node:v between least and greatest) and its child
+(2i where the value is less than the threshold, else 2i + 1). Depth limit ⌈log2 ψ⌉.
+Scoring: the node table is bounded (trees × (2ψ − 1) rows), so it is broadcast; ``mapInPandas`` walks all trees level by
+level on Arrow batches. score = 2^(−E[h(x)] / c(ψ)), to 6 decimals; flagged when score > ``threshold``.
 """
 
 from __future__ import annotations
@@ -17,15 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..functions import round_half_up
+from ..session import cut_lineage, spread
 from .prep import PrepModel, fit_prep
 
-NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size long, "
-               "depth int, leaf boolean")
-
+DIGITS = 13  # hexadecimal digits of a draw: 52 bits, which a double holds exactly
 
 def c_factor(n) -> np.ndarray | float:
     """Average path length of an unsuccessful search in a binary search tree of n points."""
@@ -35,36 +36,63 @@ def c_factor(n) -> np.ndarray | float:
     return out if out.shape else float(out)
 
 
-def _grow(seed: int):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        X = np.stack(pdf["x"].to_numpy()).astype(float)
-        rng = np.random.default_rng(seed * 1_000_003 + t)
-        max_depth = int(math.ceil(math.log2(max(len(X), 2))))
-        rows = []
-        stack = [(np.arange(len(X)), 0, 0)]
-        next_id = 1
-        while stack:
-            idx, depth, nid = stack.pop()
-            size = len(idx)
-            feature, thr, left, right, leaf = -1, 0.0, -1, -1, True
-            if size > 1 and depth < max_depth:
-                sub = X[idx]
-                lo, hi = sub.min(axis=0), sub.max(axis=0)
-                usable = np.flatnonzero(hi > lo)
-                if usable.size:
-                    feature = int(rng.choice(usable))
-                    thr = float(rng.uniform(lo[feature], hi[feature]))
-                    go_left = sub[:, feature] < thr
-                    left, right = next_id, next_id + 1
-                    next_id += 2
-                    leaf = False
-                    stack.append((idx[~go_left], depth + 1, right))
-                    stack.append((idx[go_left], depth + 1, left))
-            rows.append((t, nid, feature, thr, left, right, size, depth, leaf))
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth",
-                                           "leaf"])
-    return build
+def _draw(*names) -> Column:
+    """A number in [0, 1) from md5 of the names joined by colons."""
+    digest = F.md5(F.concat_ws(":", *[F.col(n).cast("string") if n in ("tree", "node") else F.lit(str(n)) for n in names]))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16 ** DIGITS))
+
+
+def _sampled(data: DataFrame, key: str, feats: list[str], trees: int, psi: int, n: int, seed: int, share: float) -> DataFrame:
+    """(tree, x) of the ``psi`` rows of every tree, from the rows that pass a pre-filter of ``share``."""
+    k = F.col(f"`{key}`").cast("string")
+
+    def digest(t):
+        return F.md5(F.concat_ws(":", k, t.cast("string"), F.lit(str(seed))))
+
+    rows = spread(data).select(k.alias("__key"), F.array(*[F.col(f"`{f}`").cast("double") for f in feats]).alias("x"),
+                               F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), digest(t).alias("h"))).alias("all"))
+    if share < 1:
+        bound = f"{int(share * 16 ** DIGITS):0{DIGITS}x}"
+        rows = rows.withColumn("all", F.filter("all", lambda p: F.substring(p["h"], 1, DIGITS) < bound)).where(F.size("all") > 0)
+    w = Window.partitionBy("tree").orderBy("h", "__key")
+    return rows.select("__key", "x", F.explode("all").alias("p")).select("__key", "x", "p.tree", "p.h") \
+        .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).select("tree", "x")
+
+
+def grow(sample: DataFrame, n_features: int, limit: int, seed: int) -> DataFrame:
+    """sample (tree, x) → nodes (tree, node, depth, size, feature, threshold); leaves have no feature."""
+    rows = sample.withColumns({"node": F.lit(1).cast("long"), "open": F.lit(True), "path": F.expr(
+        "cast(array() as array<struct<node:long,depth:int,size:long,feature:int,threshold:double>>)")})
+    here = Window.partitionBy("tree", "node")
+    value = [F.element_at("x", j + 1) for j in range(n_features)]
+    ranges = F.array(*[F.struct(F.lit(j).alias("j"), F.min(v).over(here).alias("lo"), F.max(v).over(here).alias("hi")) for j, v in enumerate(value)])
+    for depth in range(limit + 1):
+        rows = rows.withColumns({"size": F.count(F.lit(1)).over(here), "ranges": ranges})
+        rows = rows.withColumn("varies", F.filter("ranges", lambda r: r["hi"] > r["lo"]))
+        place = F.floor(_draw(seed, "tree", "node", "f") * F.size("varies")).cast("int") + 1
+        splits = F.col("open") & (F.col("size") > 1) & (F.size("varies") > 0) & F.lit(depth < limit)
+        rows = rows.withColumn("pick", F.when(splits, F.element_at("varies", place)))
+        rows = rows.withColumn("threshold", F.col("pick.lo") + _draw(seed, "tree", "node", "v") * (F.col("pick.hi") - F.col("pick.lo")))
+        step = F.struct("node", F.lit(depth).alias("depth"), "size", F.col("pick.j").alias("feature"), "threshold")
+        side = F.when(F.element_at("x", F.col("pick.j") + 1) < F.col("threshold"), 0).otherwise(1)
+        rows = rows.select("tree", "x", F.when(F.col("pick").isNull(), F.col("node")).otherwise(F.col("node") * 2 + side).alias("node"),
+                           F.col("pick").isNotNull().alias("open"),
+                           F.when(F.col("open"), F.concat("path", F.array(step))).otherwise(F.col("path")).alias("path"))
+    return rows.select("tree", F.explode("path").alias("p")).select("tree", "p.*").distinct()
+
+
+def _packed(nodes: list) -> tuple:
+    """Arrays of one tree for the scorer: feature, threshold, children, size, depth, leaf. A child without rows is a leaf
+    of size 0."""
+    by = {r["node"]: (r["feature"], r["threshold"], r["size"], r["depth"]) for r in nodes}
+    for node, (feature, _, _, depth) in list(by.items()):
+        if feature is not None:
+            for child in (2 * node, 2 * node + 1):
+                by.setdefault(child, (None, None, 0, depth + 1))
+    at = {node: i for i, node in enumerate(sorted(by))}
+    rows = [(f is None, f or 0, t or 0.0, at.get(2 * n, 0), at.get(2 * n + 1, 0), size, depth) for n, (f, t, size, depth) in sorted(by.items())]
+    leaf, feature, threshold, left, right, size, depth = map(np.array, zip(*rows))
+    return feature, threshold.astype(float), left, right, size.astype(float), depth.astype(float), leaf
 
 
 def _scorer(bc, n_features: int, key: str, psi: int):
@@ -113,6 +141,7 @@ class IsolationForestModel:
         key_type = dict(x.dtypes)[self.key]
         out = x.mapInPandas(_scorer(self.spark_bc, len(self.features), self.key, self.psi),
                             f"`{self.key}` {key_type}, anomaly_score double")
+        out = out.withColumn("anomaly_score", round_half_up("anomaly_score", 6))
         return out.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(self.threshold))
 
     @property
@@ -141,8 +170,8 @@ def isolation_forest(df: DataFrame, key: str, features: list[str] | None = None,
                      sample: int = 256, threshold: float = 0.5, seed: int = 42, prep: bool = True,
                      contamination: float | str = "auto") -> IsolationForestModel:
     """U5. ``contamination="auto"`` flags scores above ``threshold``, the score of a point of average depth; a share
-    (0 to 0.5) flags that part of the rows: the threshold is the share's upper quantile of the training scores (a
-    sketch of 10,000 buckets, so tied scores stand on one side together)."""
+    (0 to 0.5) flags that part of the rows: the threshold is the least training score that no more than this part of
+    the rows exceeds, so tied scores stand on one side together."""
     if contamination != "auto" and not 0 < float(contamination) <= 0.5:
         raise ValueError("contamination is 'auto' or a share above 0 and up to 0.5")
     pm = fit_prep(df, key=key) if prep else None
@@ -150,37 +179,22 @@ def isolation_forest(df: DataFrame, key: str, features: list[str] | None = None,
     feats = features or (pm.columns if pm else [c for c in df.columns if c != key])
     n = data.count()
     psi = min(sample, n)
-    frac = min(1.0, (3.0 * sample + 64.0) / max(n, 1))
-    k = F.col(f"`{key}`")
-
-    def u(t):
-        return (F.xxhash64(k, t, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
-                / F.lit(float(1 << 52)))
-
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(frac))
-    cand = (spread(data).select(k.alias("__key"),
-                                F.array(*[F.col(f"`{f}`").cast("double") for f in feats]).alias("x"),
-                                picks.alias("trees"))
-            .where(F.size("trees") > 0)
-            .select("__key", "x", F.explode("trees").alias("tree"))
-            .withColumn("h", F.xxhash64(F.col("__key"), F.col("tree"), F.lit(seed))))
-    w = Window.partitionBy("tree").orderBy("h", "__key")
-    samp = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).select("tree", "x")
-    node_rows = samp.groupBy("tree").applyInPandas(_grow(seed), NODE_SCHEMA).collect()
+    share = min(1.0, (3.0 * sample + 64.0) / max(n, 1))
+    samp = cut_lineage(_sampled(data, key, feats, trees, psi, n, seed, share))
+    full = samp.groupBy("tree").count().where(F.col("count") == psi).count()
+    if share < 1 and full < trees:  # the pre-filter left a tree short of rows
+        samp = cut_lineage(_sampled(data, key, feats, trees, psi, n, seed, 1.0))
     by_tree: dict[int, list] = {}
-    for r in node_rows:
+    for r in grow(samp, len(feats), int(math.ceil(math.log2(max(psi, 2)))), seed).collect():
         by_tree.setdefault(r["tree"], []).append(r)
-    packed = []
-    for t in sorted(by_tree):
-        rs = sorted(by_tree[t], key=lambda r: r["node"])
-        packed.append((np.array([max(r["feature"], 0) for r in rs]), np.array([r["threshold"] for r in rs]),
-                       np.array([max(r["left"], 0) for r in rs]), np.array([max(r["right"], 0) for r in rs]),
-                       np.array([r["size"] for r in rs], dtype=float), np.array([r["depth"] for r in rs], dtype=float),
-                       np.array([r["leaf"] for r in rs], dtype=bool)))
+    packed = [_packed(by_tree[t]) for t in sorted(by_tree)]
     bc = df.sparkSession.sparkContext.broadcast(packed)
     model = IsolationForestModel(key=key, features=feats, prep=pm, data=data, nodes=packed, psi=psi,
                                  threshold=threshold, spark_bc=bc)
     if contamination != "auto":
-        q = model.scores.agg(F.percentile_approx("anomaly_score", 1 - float(contamination), 10_000)).first()[0]
+        # scores have 6 decimals, so this table has a million rows at most
+        counts = model.scores.groupBy("anomaly_score").agg(F.count(F.lit(1)).alias("c"))
+        above = F.coalesce(F.sum("c").over(Window.orderBy(F.desc("anomaly_score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        q = counts.withColumn("above", above).where(F.col("above") <= math.floor(float(contamination) * n)).agg(F.min("anomaly_score")).first()[0]
         model.threshold = float(q) if q is not None else threshold
     return model

@@ -214,3 +214,16 @@ def test_patches_of_one_key_are_merged_field_by_field(spark):
     rows = sorted(map(tuple, patch(base, ch, "id", order="at").collect()), key=str)
     assert rows == [(1, "new", "u"), (2, "b", "y"), (None, "n", "z")]
     assert patch(base, ch.union(ch), "id").count() == 3 and patch(base, ch.where("false"), "id").count() == 3
+
+
+def test_isolation_trees_split_every_row_that_can_be_parted(spark):
+    """Sizes add up from children to parents, thresholds lie between the node's values, equal rows share a leaf."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i * i % 31), 3.0) for i in range(200)], "k int, a double, b double, c double")
+    m = isolation_forest(df, "k", ["a", "b", "c"], trees=12, sample=64, seed=7, prep=False)
+    assert len(m.nodes) == 12
+    for feature, threshold, left, right, size, depth, leaf in m.nodes:
+        inner = ~leaf
+        assert size[0] == 64 and (feature[inner] < 2).all() and depth.max() <= 6
+        assert (size[left[inner]] + size[right[inner]] == size[inner]).all() and (size[left[inner]] > 0).all()
+    few = isolation_forest(df.limit(1), "k", ["a", "b"], trees=3, sample=64, prep=False)
+    assert few.scores.count() == 1 and isolation_forest(df, "k", ["c"], trees=3, prep=False).summary.first().n_anomalies in (0, 200)
