@@ -13,14 +13,23 @@ from tabwise.llm.common import table
 from tabwise.session import checkpoint_dir, cut_lineage
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Whole texts pass to the Python workers in Arrow batches of 2,000 rows at most, in this session from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 2000:
+        spark.conf.set(name, "2000")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
+    _short_batches(spark)
     return quality.fit(docs, table(spark, sf_dir, "labels")).keep(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each group stays, the one with the least id; where ids are null or repeat,
     rows are numbered and the first one stays."""
+    _short_batches(spark)
     ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     key = "doc_id" if ids.isEmpty() else "__row"
     rows = docs if key == "doc_id" else cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
@@ -30,16 +39,19 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents that overlap a benchmark text go."""
+    _short_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data: spans are replaced in the text, the character count follows."""
+    _short_batches(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids of every text, with digests of the ids and of the bytes decoded from them."""
+    _short_batches(spark)
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
