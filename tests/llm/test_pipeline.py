@@ -9,6 +9,7 @@ import tiktoken
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from tabwise.llm import bpe, pii  # noqa: E402
 from tabwise.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
@@ -52,5 +53,17 @@ def test_stages_return_documents_columns(spark):
 
 
 def test_registered_names():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_dedup_stage_with_null_and_repeated_ids(spark):
+    """Equal rows, null ids and ids that repeat: one row of each group stays."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, text), (3, text), (3, text), (4, "other words that stand alone in this small table here"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns
+    texts = sorted(str(r.text) for r in kept.collect())
+    assert texts == sorted(["None", "", text, rows[4][1]])
+    assert corpus_pipeline.keep_one_of_each(spark, docs.where("false"), "").count() == 0
