@@ -160,14 +160,18 @@ class WordEncoder:
     White space always ends a token of this kind of vocabulary, so a text's ids are its words' ids in order, and
     words repeat: each distinct word is encoded once and kept in a bounded cache. Words of common scripts are cut by
     the tokenizer's own pattern into pieces (one word with other punctuation gives the same pieces), which a copy of
-    the tokenizer without normaliser encodes many at once; other words go through the whole tokenizer."""
+    the tokenizer without normaliser encodes many at once; other words go through the whole tokenizer. A text that holds
+    the string of an added token (in any case) is encoded as a whole with the library's own settings, which give that
+    token's id."""
 
     def __init__(self, config: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.asis = Tokenizer.from_str(config)
         self.whole = Tokenizer.from_str(config)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = True  # words never hold an added token
         parts = json.loads(config)
+        self.added = [t["content"].lower() for t in parts.get("added_tokens") or [] if t["content"]]
         self.plain = None
         suffix = parts["model"].get("end_of_word_suffix")
         split = next((p for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
@@ -216,9 +220,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null and empty."""
-        split = [t.encode().split() if t else [] for t in texts]
+        odd = {k for k, t in enumerate(texts) if t and any(a in low for low in (t.lower(),) for a in self.added)}
+        split = [t.encode().split() if t and k not in odd else [] for k, t in enumerate(texts)]
         get = self.words.fill(set().union(*split), self._learn_words).__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        for k in odd:
+            out[k] = np.array(self.asis.encode(texts[k], add_special_tokens=False).ids, "<u4")
+        return out
 
 
 def _encoder(config: str) -> WordEncoder:

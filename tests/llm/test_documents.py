@@ -152,8 +152,8 @@ def test_token_files_equal_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    docs = [*((i, t) for i, t in enumerate(ODD)), (50, None), (51, "b"), (51, "a"), (None, "no id"), *((d + 100, t) for d, t in texts(spark).items())]
+    special = ["<|endoftext|>", "a<|endoftext|>b c", "<|startoftext|> x <|ENDOFTEXT|>", "<|endoftext", "é <|endoftext|><|endoftext|>"]
+    docs = [*((200 + i, t) for i, t in enumerate(special)), *((i, t) for i, t in enumerate(ODD)), (50, None), (51, "b"), (51, "a"), (None, "no id"), *((d + 100, t) for d, t in texts(spark).items())]
     rows = token_files.corpus_tokens(frame(spark, docs), path, 2, folder=str(tmp_path / "t"), shard_rows=30, file_tokens=9_000).collect()
     start, want = 0, []
     for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
