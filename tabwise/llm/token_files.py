@@ -13,6 +13,7 @@ files are moved into place whole, so a task that runs again after a lost executo
 from __future__ import annotations
 
 import json
+import re
 import math
 import struct
 import uuid
@@ -172,6 +173,8 @@ class WordEncoder:
         self.whole.encode_special_tokens = True  # words never hold an added token
         parts = json.loads(config)
         self.added = [t["content"].lower() for t in parts.get("added_tokens") or [] if t["content"]]
+        # how they begin, up to the first letter: a quick look that hardly a text passes
+        self.marks = {re.match(r"[\W_]*", a).group() for a in self.added}
         self.plain = None
         suffix = parts["model"].get("end_of_word_suffix")
         split = next((p for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
@@ -220,7 +223,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null and empty."""
-        odd = {k for k, t in enumerate(texts) if t and any(a in low for low in (t.lower(),) for a in self.added)}
+        odd = set()
+        for mark in self.marks:
+            odd.update(k for k, t in enumerate(texts) if t and mark in t and any(a in t.lower() for a in self.added))
         split = [t.encode().split() if t and k not in odd else [] for k, t in enumerate(texts)]
         get = self.words.fill(set().union(*split), self._learn_words).__getitem__
         out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
