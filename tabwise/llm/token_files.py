@@ -13,8 +13,8 @@ files are moved into place whole, so a task that runs again after a lost executo
 from __future__ import annotations
 
 import json
-import re
 import math
+import re
 import struct
 import uuid
 
@@ -168,7 +168,7 @@ class WordEncoder:
     def __init__(self, config: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.asis = Tokenizer.from_str(config)
+        self.config, self.asis = config, None
         self.whole = Tokenizer.from_str(config)
         self.whole.encode_special_tokens = True  # words never hold an added token
         parts = json.loads(config)
@@ -229,6 +229,9 @@ class WordEncoder:
         split = [t.encode().split() if t and k not in odd else [] for k, t in enumerate(texts)]
         get = self.words.fill(set().union(*split), self._learn_words).__getitem__
         out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        if odd and self.asis is None:
+            from tokenizers import Tokenizer
+            self.asis = Tokenizer.from_str(self.config)
         for k in odd:
             out[k] = np.array(self.asis.encode(texts[k], add_special_tokens=False).ids, "<u4")
         return out
