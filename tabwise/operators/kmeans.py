@@ -1,22 +1,21 @@
 """U1 K-Means (+ G9 sizes, G10 averages, G16 silhouette, G17 elbow, V2 scoring).
 
-Fitting uses Spark ML's ``KMeans`` (k-means|| start, distributed Lloyd steps) on standardised features,
-persisted once for the k = 2…8 elbow sweep. Assignment and scoring are projections with the k×d centres as
+Fitting (``kmeans_fit``) seeds by k-means|| with hashed draws and takes the Lloyd steps of the whole k = 2…8 elbow sweep
+together, one pass over the standardised rows a step. Assignment and scoring are projections with the k×d centres as
 literals (argmin over an array of squared distances): no shuffle, no Python. ``lloyd`` runs plain Lloyd steps
 from given centres with one grouped average per step (k rows reach the driver) — the deterministic path.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import argmin, squared_distance
+from .kmeans_fit import fit_rows, fit_sweep
 from .prep import PrepModel, Scaler, fit_prep, fit_scaler
 
 
@@ -157,29 +156,15 @@ def standardized(df: DataFrame, key: str, features: list[str] | None, prep: bool
 
 def kmeans(df: DataFrame, key: str, features: list[str] | None = None, k: int | None = None,
            k_range: tuple[int, int] = (2, 8), seed: int = 42, max_iter: int = 20, prep: bool = True) -> KMeansModel:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
+    """``k`` clusters, or the k of ``k_range`` at the elbow of the inertias; see ``kmeans_fit`` for the method. Missing
+    features stand at their mean; rows with NaN (only without ``prep``) take no part in the fit."""
     pm, data, feats, scaler = standardized(df, key, features, prep)
-    vec = VectorAssembler(inputCols=feats, outputCol="features").transform(
-        scaler.transform(data, keep=[])).select("features")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if k:
-            ks = [k]
-        else:
-            ks = list(range(k_range[0], k_range[1] + 1))
-        def fit(kk):
-            return KMeans(k=kk, seed=seed, maxIter=max_iter, featuresCol="features").fit(vec)
-
-        # the sweep's fits are independent jobs: submit them concurrently and let the scheduler share slots
-        with ThreadPoolExecutor(max_workers=min(4, len(ks))) as pool:
-            fits = dict(zip(ks, pool.map(fit, ks)))
-        costs = [float(fits[kk].summary.trainingCost) for kk in ks]
-        chosen = k or elbow_k(ks, costs)
-        centers = np.array([np.asarray(c) for c in fits[chosen].clusterCenters()])
-    finally:
-        vec.unpersist()
+    rows = fit_rows(scaler.transform(data, keep=[key]), key, feats)
+    ks = [k] if k else list(range(k_range[0], k_range[1] + 1))
+    fits = fit_sweep(rows, ks, seed, max_iter)
+    costs = [fits[kk][1] for kk in ks]
+    chosen = k or elbow_k(ks, costs)
+    centers = fits[chosen][0]
     spark = df.sparkSession
     elbow = None if k else spark.createDataFrame(
         [(kk, c, kk == chosen) for kk, c in zip(ks, costs)], "k int, inertia double, chosen boolean")

@@ -107,26 +107,84 @@ def _embedding_table(spark, sf_dir):
         [f"e{i}" for i in range(dim)]
 
 
-def _embedding_kmeans(spark, sf_dir):
-    df, feats = _embedding_table(spark, sf_dir)
-    return kmeans(df, "vec_id", feats, k=None, k_range=(2, 8), seed=42, prep=False)
+KM_RANGE, KM_SEED, KM_STEPS, KM_ROUNDS = (2, 8), 42, 20, 4
+KM_OVERSAMPLE = 2 * KM_RANGE[1]
 
 
-@register("kmeans_full")
+def _embedding_kmeans(spark, sf_dir):
+    df, feats = _embedding_table(spark, sf_dir)
+    return kmeans(df, "vec_id", feats, k=None, k_range=KM_RANGE, seed=KM_SEED, max_iter=KM_STEPS, prep=False)
+
+
+def _sweep_sql() -> str:
+    """The sweep in SQL: k-means|| candidates cand_R, their order as starts ``taken``, Lloyd steps cen_S of every k,
+    assignment ``a`` (vec_id, k, cl, d2), ``cost`` (k, inertia) and ``best`` (the k at the elbow)."""
+    lo, hi = KM_RANGE
+
+    def nearest(rows, centres, by, order):
+        return f"""SELECT {by}, n.o AS {order}, n.d2 AS d2 FROM (SELECT {by}, min({{'d2': d2, 'o': {order}}}) AS n FROM (
+  SELECT {by}, {order}, list_sum(list_transform(list_zip({rows}.x, {centres}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM {rows}, {centres}) GROUP BY {by})"""
+    out = ["""l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS f FROM embeddings),
+st AS (SELECT f, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY f),
+zl AS MATERIALIZED (SELECT vec_id, f, (v - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS v FROM l JOIN st USING (f)),
+z AS MATERIALIZED (SELECT vec_id, list(v ORDER BY f) AS x FROM zl GROUP BY vec_id)""",
+           f"cand_0 AS MATERIALIZED (SELECT 0 AS i, x FROM z ORDER BY md5(vec_id || ':start:{KM_SEED}'), CAST(vec_id AS VARCHAR) LIMIT 1)"]
+    for r in range(KM_ROUNDS):
+        u = f"CAST(('0x' || substr(md5(vec_id || ':{r}:{KM_SEED}'), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
+        out.append(f"""near_{r} AS MATERIALIZED ({nearest('z', f'cand_{r}', 'vec_id', 'i')}),
+new_{r} AS (SELECT x, min(CAST(vec_id AS VARCHAR)) AS id FROM near_{r} JOIN z USING (vec_id)
+  WHERE {u} * (SELECT sum(d2) FROM near_{r}) < {float(KM_OVERSAMPLE)} * d2 GROUP BY x),
+cand_{r + 1} AS MATERIALIZED (SELECT i, x FROM cand_{r} UNION ALL SELECT {r + 1} * 1000000 + row_number() OVER (ORDER BY id), x FROM new_{r})""")
+    last = f"cand_{KM_ROUNDS}"
+    out.append(f"""w AS MATERIALIZED (SELECT i, x, coalesce(n, 0) AS w FROM {last} LEFT JOIN (
+  SELECT i, count(*) AS n FROM ({nearest('z', last, 'vec_id', 'i')}) GROUP BY i) USING (i)),
+taken_1 AS MATERIALIZED (SELECT 1 AS j, i, x FROM w ORDER BY w DESC, i LIMIT 1)""")
+    for j in range(2, hi + 1):
+        out.append(f"""t_{j} AS (SELECT i AS t, x FROM taken_{j - 1}),
+gain_{j} AS ({nearest('w', f't_{j}', 'i', 't')}),
+taken_{j} AS MATERIALIZED (SELECT * FROM taken_{j - 1} UNION ALL (SELECT {j}, i, x FROM w JOIN gain_{j} USING (i) WHERE w * d2 > 0 ORDER BY w * d2 DESC, i LIMIT 1))""")
+    out.append(f"cen_0 AS MATERIALIZED (SELECT k, j - 1 AS cl, x FROM taken_{hi}, range({lo}, {hi + 1}) r(k) WHERE j <= k)")
+    for s in range(KM_STEPS):
+        out.append(f"""a_{s} AS MATERIALIZED ({nearest('z', f'cen_{s}', 'vec_id, k', 'cl')}),
+m_{s} AS (SELECT k, cl, list(v ORDER BY f) AS x FROM (SELECT k, cl, f, avg(v) AS v FROM a_{s} JOIN zl USING (vec_id) GROUP BY ALL) GROUP BY k, cl),
+cen_{s + 1} AS MATERIALIZED (SELECT k, cl, coalesce(m.x, c.x) AS x FROM cen_{s} c LEFT JOIN m_{s} m USING (k, cl))""")
+    out.append(f"""a AS MATERIALIZED ({nearest('z', f'cen_{KM_STEPS}', 'vec_id, k', 'cl')}),
+cost AS (SELECT k, sum(d2) AS inertia FROM a GROUP BY k),
+ends AS (SELECT min(inertia) AS lo, max(inertia) AS hi, arg_min(inertia, k) AS first, arg_max(inertia, k) AS last FROM cost),
+chord AS (SELECT k, (k - {lo}) / {float(hi - lo)} AS px, (inertia - first) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS py,
+  (last - first) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS dy FROM cost, ends),
+best AS (SELECT k AS chosen FROM chord ORDER BY abs(py - dy * px) DESC, k LIMIT 1)""")
+    return "WITH " + ",\n".join(out) + "\n"
+
+
+_SWEEP = _sweep_sql()
+
+
+@register("kmeans_full", _SWEEP + "SELECT CAST(cl AS INTEGER) AS cluster, count(*) AS size FROM a, best WHERE k = chosen GROUP BY cl")
 def q_kmeans_full(spark, sf_dir):
-    """U1 end to end on the embeddings (k by elbow): rows-only (k-means|| start is random)."""
+    """U1 end to end on the embeddings (k-means|| start, k by elbow): the sizes of the clusters."""
     return _embedding_kmeans(spark, sf_dir).sizes
 
 
-@register("kmeans_elbow")
+@register("kmeans_elbow", _SWEEP + f"SELECT CAST(k AS INTEGER) AS k, {sql_round('inertia', 4)} AS inertia, k = chosen AS chosen FROM cost, best")
 def q_kmeans_elbow(spark, sf_dir):
-    return _embedding_kmeans(spark, sf_dir).elbow_table
-
-
-@register("kmeans_silhouette")
+    """Inertia of k = 2…8, and the k at the elbow."""
+    return _embedding_kmeans(spark, sf_dir).elbow_table.select("k", round_half_up("inertia", 4).alias("inertia"), "chosen")
+
+
+@register("kmeans_silhouette", _SWEEP + f""",
+p AS (SELECT vec_id, cl, x, list_inner_product(x, x) AS q FROM a JOIN best ON k = chosen JOIN z USING (vec_id)),
+g AS (SELECT cl, any_value(n) AS n, list(m ORDER BY f) AS m, any_value(q) AS q FROM (
+  SELECT cl, f, avg(v) AS m FROM p JOIN zl USING (vec_id) GROUP BY cl, f) JOIN (SELECT cl, count(*) AS n, avg(q) AS q FROM p GROUP BY cl) USING (cl) GROUP BY cl),
+d AS (SELECT vec_id, p.cl, g.cl AS other, n, p.q + g.q - 2 * list_inner_product(x, m) AS mean_sq FROM p, g),
+ab AS (SELECT vec_id, max(CASE WHEN cl = other AND n > 1 THEN mean_sq * n / (n - 1) END) AS a,
+              min(CASE WHEN cl <> other THEN mean_sq END) AS b FROM d GROUP BY vec_id)
+SELECT CAST(chosen AS INTEGER) AS k, s AS silhouette_sq_euclidean FROM best, (
+  SELECT {sql_round('avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END)', 6)} AS s FROM ab)""")
 def q_kmeans_silhouette(spark, sf_dir):
+    """Silhouette (squared Euclidean distance) of the k at the elbow."""
     m = _embedding_kmeans(spark, sf_dir)
-    return spark.createDataFrame([(m.k, m.silhouette)], "k int, silhouette_sq_euclidean double")
+    return spark.createDataFrame([(m.k, m.silhouette)], "k int, s double").select("k", round_half_up("s", 6).alias("silhouette_sq_euclidean"))
 
 
 @register("lloyd_quality", _lloyd_sql(3) + f""",
