@@ -10,9 +10,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WIDE = 32  # more columns than this are summed as arrays instead of by an expression each
+FAN = 64  # p×p blocks merged by one task
+
 
 def _q(name: str) -> str:
     return f"`{name}`"
@@ -160,22 +165,91 @@ def mode_of(counts: list[tuple]) -> str | None:
 
 
 def mean_std(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, float | None]]:
-    """Mean and population standard deviation per column, one pass."""
+    """Mean and population standard deviation per column, one pass. More than ``WIDE`` columns are exploded and grouped by
+    their number: one pair of aggregates, combined before the shuffle, in place of generated code for every column."""
     if not cols:
         return {}
+    x = [F.col(_q(c)).cast("double") for c in cols]
+    if len(cols) > WIDE:
+        got = {r["pos"]: (r["m"], r["s"]) for r in df.select(F.posexplode(F.array(*x))).groupBy("pos").agg(
+            F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).collect()}
+        return {c: got.get(i, (None, None)) for i, c in enumerate(cols)}
     aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.avg(F.col(_q(c)).cast("double")).alias(f"m{i}"),
-                 F.stddev_pop(F.col(_q(c)).cast("double")).alias(f"s{i}")]
+    for i in range(len(cols)):
+        aggs += [F.avg(x[i]).alias(f"m{i}"), F.stddev_pop(x[i]).alias(f"s{i}")]
     row = df.agg(*aggs).first().asDict()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
 
+def _merge(a: tuple, b: tuple) -> tuple:
+    """(n, means, products about the means) of two disjoint sets of rows together."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+_BLOCK = "g long, n long, m array<double>, c array<double>"
+
+
+def _as_block(g: int, part: tuple) -> pa.RecordBatch:
+    upper = part[2][np.triu_indices(len(part[1]))]
+    return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([part[0]], pa.int64()), pa.array([part[1]], pa.list_(pa.float64())),
+                                       pa.array([upper], pa.list_(pa.float64()))], ["g", "n", "m", "c"])
+
+
+def _from_block(n: int, m, c) -> tuple:
+    p = len(m)
+    full = np.zeros((p, p))
+    full[np.triu_indices(p)] = c
+    return n, np.asarray(m, dtype=float), full + np.triu(full, 1).T
+
+
+def _wide_moments(rows: DataFrame, p: int) -> tuple:
+    """rows (x, one array of ``p`` numbers) → (n, means, products about the means).
+
+    Every partition adds its Arrow batches up to one block: count, means and the packed upper triangle of the products.
+    Blocks are merged ``FAN`` at a time until at most ``FAN`` are left, and those on the driver, so a task holds two p×p
+    matrices and the driver ``FAN`` packed ones, however many partitions there are."""
+    def add_up(batches):
+        part = (0, np.zeros(p), np.zeros((p, p)))
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            for at in range(0, len(x), 4096):
+                y = x[at:at + 4096]
+                m = y.mean(0)
+                part = _merge(part, (len(y), m, (y - m).T @ (y - m)))
+        if part[0]:
+            yield _as_block(TaskContext.get().partitionId(), part)
+
+    def merge(batches):
+        part = (0, np.zeros(p), np.zeros((p, p)))
+        for b in batches:
+            for i in range(b.num_rows):
+                part = _merge(part, _from_block(b.column("n")[i].as_py(), *(b.column(c)[i].values.to_numpy() for c in "mc")))
+        if part[0]:
+            yield _as_block(TaskContext.get().partitionId(), part)
+    # a partition with rows gives one block, so the number of blocks is bounded by the number of partitions
+    blocks, left = rows.mapInArrow(add_up, _BLOCK), rows.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        blocks = blocks.repartition(left, "g").mapInArrow(merge, _BLOCK)
+    part = (0, np.zeros(p), np.zeros((p, p)))
+    for r in blocks.collect():
+        part = _merge(part, _from_block(r["n"], r["m"], r["c"]))
+    return part
+
+
 def centered_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, population covariance) over complete rows, one pass. ``covar_pop`` is updated with centred
-    running moments, so large raw values do not cancel catastrophically as Σxx − n·x̄x̄ would."""
+    running moments, so large raw values do not cancel catastrophically as Σxx − n·x̄x̄ would. More than ``WIDE`` columns
+    are summed as p×p blocks, likewise about running means, instead of p²/2 expressions."""
     p = len(cols)
     x = [F.col(_q(c)).cast("double") for c in cols]
+    if p > WIDE:
+        n, m, products = _wide_moments(df.select(F.array(*x).alias("x")).where(~F.exists("x", lambda v: v.isNull())), p)
+        return n, m, products / max(n, 1)
     cond = " AND ".join(f"{_q(c)} IS NOT NULL" for c in cols) if cols else "true"
     aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(p)]
     aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]

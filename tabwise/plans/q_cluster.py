@@ -295,3 +295,14 @@ def q_pca_reduce(spark, sf_dir):
     out, _side = pca_reduce(_lineitem_pca_input(spark, sf_dir), "row_key", 2, PCA4, prep=False)
     return out.select(*[F.col(f"row_key.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")],
                       round_half_up("PC1", 4).alias("PC1"), round_half_up("PC2", 4).alias("PC2"))
+
+
+@register("pca_wide_covariance", f"""
+WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS f, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT 'e' || a.f AS feature_a, 'e' || b.f AS feature_b, {sql_round('corr(a.v, b.v)', 6)} AS value
+FROM l a JOIN l b USING (vec_id) GROUP BY a.f, b.f""")
+def q_pca_wide_covariance(spark, sf_dir):
+    """U3 on many columns: covariance of all standardised dimensions of the embeddings, summed as blocks."""
+    df, feats = _embedding_table(spark, sf_dir)
+    m = pca(df, "vec_id", feats, prep=False)
+    return m.covariance.select("feature_a", "feature_b", round_half_up("value", 6).alias("value"))
