@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 
 
 # importing the modules fills the registry
-from . import q_advise, q_anomaly, q_cart, q_catalog, q_cluster, q_dbscan, q_knn, q_profile, q_ridge, q_trees  # noqa: E402,F401,I001
+from . import q_advise, q_anomaly, q_bagged, q_cart, q_catalog, q_cluster, q_dbscan, q_knn, q_profile, q_ridge, q_trees  # noqa: E402,F401,I001
