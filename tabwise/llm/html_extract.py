@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -35,11 +35,14 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 LIST = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>
+_TOKEN = r"""<!--(?:.*?-->|.*)|%s<[!?][^>]*>
     |</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*>
     |<(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>
-    |(?P<text>[^<]++|<)""", re.S | re.X)
+    |(?P<text>[^<]++|<)"""
+# CDATA sections are looked for where one can still end, tags where a > is left: else every < would scan the rest of the page
+TOKEN, NO_CDATA = (re.compile(_TOKEN % cdata, re.S | re.X) for cdata in (r"<!\[CDATA\[.*?\]\]>|", ""))
+LAST = re.compile("<!--.*|(?P<text>[^<]++|<)(?P<end>(?!))?(?P<tag>(?!))?(?P<loose>(?!))?", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -57,18 +60,30 @@ class Tree:
 
 def parse(page: str) -> Tree:
     """A forgiving parse: paragraphs, list items and cells close each other, an end tag closes what is open inside
-    it unless an inline tag would close a block, unknown end tags are ignored."""
+    it unless an inline tag would close a block, unknown end tags are ignored. The places of open elements are kept by tag,
+    so no tag walks the stack."""
     t, stack, pos, n = Tree(), [0], 0, len(page)
+    open_at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+    blocks, borders = [0], [0]  # places of block elements; of these and scopes
+    last_cdata, last_tag = page.rfind("]]>"), page.rfind(">")
 
     def close(upto: int):
         for i in stack[upto:]:
             if t.tag[i] in BLOCK:
                 t.items.append((t.parent[i], None))
                 break
+        for i in stack[upto:]:
+            open_at[t.tag[i]].pop()
         del stack[upto:]
+        for places in (blocks, borders):
+            while places[-1] >= upto:
+                places.pop()
+
+    def last(tags) -> int:
+        return max((open_at[g][-1] for g in tags if open_at[g]), default=0)
 
     while pos < n:
-        m = TOKEN.match(page, pos)
+        m = (LAST if pos > last_tag else TOKEN if pos <= last_cdata else NO_CDATA).match(page, pos)
         if m is None:  # a lone character
             t.items.append((stack[-1], page[pos]))
             pos += 1
@@ -81,23 +96,14 @@ def parse(page: str) -> Tree:
         end, tag = m["end"], m["tag"] or m["loose"]
         if tag:
             tag = tag.lower()
-            if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if t.tag[stack[k]] == "p":
-                        close(k)
-                        break
-                    if t.tag[stack[k]] in SCOPE or t.tag[stack[k]] in BLOCK:
-                        break
+            if tag in BLOCK and t.tag[stack[borders[-1]]] == "p":
+                close(borders[-1])
             if tag in SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    if t.tag[stack[k]] in LIST and not (t.tag[stack[k]] in SAME[tag]):
-                        break
-                    if t.tag[stack[k]] in SAME[tag]:
-                        upto = k
-                        while t.tag[stack[upto - 1]] in SAME[tag]:
-                            upto -= 1
-                        close(upto)
-                        break
+                upto = last(SAME[tag])
+                if upto > last(LIST - SAME[tag]):
+                    while t.tag[stack[upto - 1]] in SAME[tag]:
+                        upto -= 1
+                    close(upto)
             if tag == "br":
                 t.items.append((stack[-1], " "))
                 continue
@@ -114,15 +120,18 @@ def parse(page: str) -> Tree:
                 if tag in BLOCK:
                     t.items.append((t.parent[node], None))
             elif tag not in VOID and not (m["attrs"] or "").endswith("/"):
+                place = len(stack)
+                open_at[tag].append(place)
+                if tag in BLOCK:
+                    blocks.append(place)
+                if tag in BLOCK or tag in SCOPE:
+                    borders.append(place)
                 stack.append(node)
         elif end:
             end = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == end:
-                    close(k)
-                    break
-                if end not in BLOCK and t.tag[stack[k]] in BLOCK:
-                    break
+            place = last((end,))
+            if place and (end in BLOCK or place > blocks[-1]):
+                close(place)
     return t
 
 

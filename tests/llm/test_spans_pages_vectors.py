@@ -117,6 +117,23 @@ def test_pages(spark):
         assert rows[p.page_id].text == brute.article(p.html) and rows[p.page_id].n_chars == len(rows[p.page_id].text)
 
 
+def test_long_dense_pages_take_linear_time():
+    """Each of these took minutes when tags walked the stack or scanned the rest of the page."""
+    import time
+
+    n, start = 30_000, time.time()
+    deep = html_extract.parse("<i><div>" + "<b>" * n + "x" + "</i>" * n)
+    assert len(deep.tag) == n + 3 and deep.items == [(2, None), (n + 2, "x")]
+    crossed = html_extract.parse("<b>" * n + "</i>" * n + "x")
+    assert crossed.items == [(n, "x")]
+    items = html_extract.parse("<ul>" + "<li>x" * n)
+    assert items.parent[2:] == [1] * n and [v for _, v in items.items if v] == ["x"] * n
+    for open_ended in ("<a href=\"x ", "<![CDATA[", "</b ", "<b "):
+        assert "".join(v for _, v in html_extract.parse(open_ended * n).items) == open_ended * n
+    assert html_extract.parse("<![CDATA[>x" * n).items == [(0, "x")] * n
+    assert time.time() - start < 20
+
+
 def test_page_model_and_parser(spark):
     model = html_extract.train(training_pages())
     right = total = 0
