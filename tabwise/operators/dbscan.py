@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import squared_distance
 from ..session import cut_lineage
+from .distances import MAX_FEATURES, tree_distance_stats
 from .graph import connected_components, dense_index
 from .kmeans import standardized
 from .prep import PrepModel, Scaler
@@ -88,7 +89,8 @@ class DBSCANModel:
         members = (self.data.join(self.labels.where(F.col("cluster") >= 0).select(self.key, "cluster"), self.key)
                    .select(F.col(self.key).cast("long").alias("key"),
                            F.array(*[self.scaler.expr(f) for f in self.features]).alias("x"), "cluster"))
-        stats = cluster_distance_stats(q, members, block_rows)
+        stats = (tree_distance_stats(q, members.select("x", "cluster"), len(self.features)) if 1 <= len(self.features) <= MAX_FEATURES
+                 else cluster_distance_stats(q, members, block_rows))
         best = (stats.groupBy("key").agg(F.min(F.struct("min_distance", "cluster")).alias("b"))
                 .select("key", F.when(F.col("b.min_distance") <= F.lit(self.eps), F.col("b.cluster"))
                         .otherwise(F.lit(-1)).alias("assigned")))
@@ -125,7 +127,8 @@ def _block_stats(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
 
 
 def cluster_distance_stats(queries: DataFrame, members: DataFrame, block_rows: int = 16384) -> DataFrame:
-    """Per (query, cluster): min and mean distance to the cluster's members. Blocks of queries meet blocks of
+    """Per (query, cluster): min and mean distance to the cluster's members, for more features than
+    ``tree_distance_stats`` takes. Blocks of queries meet blocks of
     members in cogrouped pandas calls that emit one partial row per (query, cluster); partials are then
     combined with min / sum (bounded by queries × clusters)."""
     nq = max(1, math.ceil(queries.count() / block_rows))
