@@ -4,9 +4,10 @@ Search: queries and training rows are cut into blocks of at most ``block_rows``
 values cannot pile up in one block). Each (query block, training block) pair meets in one cogrouped pandas call
 that computes the distance matrix in NumPy and emits only each query's ``k_max`` nearest candidates — never the
 pairs themselves. A second, bounded step keeps the global ``k_max`` per query (window with a group limit, so
-at most blocks × k_max rows per query are shuffled). Distances use the dot-product form to pick every candidate
-at or below the k-th distance plus the form's rounding error; these are re-ranked by the exact difference form,
-ties → lower key, so the answer does not depend on the order of the rows however many tie.
+at most blocks × k_max rows per query are shuffled). Distances use the dot-product form, in single precision, to pick
+every candidate at or below the k-th distance to some of the block's rows plus the form's rounding error; these are
+re-ranked by the exact difference form, ties → lower key, so the answer does not depend on the order of the rows
+however many tie.
 
 Cross-validation (k chosen from ``k_range``) runs every fold in one search: a candidate from the query's own
 fold is masked out. All k in the range are then voted from the same ranked lists in one projection
@@ -40,30 +41,40 @@ def _search_block(k_max: int, fold_mask: bool):
         qk, tk = q["key"].to_numpy(), t["t_key"].to_numpy()
         tl = t["t_label"].to_numpy(dtype=float)
         qf, tf = q["fold"].to_numpy(), t["t_fold"].to_numpy()
-        tn = (tx * tx).sum(axis=1)
+        tn, qn = (tx * tx).sum(axis=1), (qx * qx).sum(axis=1)
+        # single precision finds the candidates where no square can overflow it; they are ranked in double precision
+        kind = np.float32 if qn.max() + tn.max() < 1e30 else np.float64
+        slack = 4 * (qx.shape[1] + 16) * float(np.finfo(kind).eps) * (qn + tn.max())  # roundings of both forms
+        wide_t = np.hstack([tx, tn[:, None], np.ones((len(tx), 1))]).astype(kind)
+        wide_q = np.hstack([-2.0 * qx, np.ones((len(qx), 1)), qn[:, None]]).astype(kind)
         out_q, out_t, out_d, out_l = [], [], [], []
-        keep = min(k_max, len(tk))
-        for s in range(0, len(qk), 256):
-            qs = qx[s:s + 256]
-            qn = (qs * qs).sum(axis=1)
-            d2 = qn[:, None] + tn[None, :] - 2.0 * qs @ tx.T
-            if fold_mask:
-                d2[qf[s:s + 256][:, None] == tf[None, :]] = np.inf
-            kth = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
-            # the two forms differ by a few roundings of the norms
-            near = d2 <= (kth + 64 * np.finfo(float).eps * (qn + tn.max()) * (1 + qs.shape[1]))[:, None]
-            for r in range(len(qs)):
-                cand = np.flatnonzero(near[r] & np.isfinite(d2[r]))
-                if cand.size == 0:
-                    continue
-                diff = tx[cand] - qs[r]
-                exact = np.sqrt((diff * diff).sum(axis=1))
-                order = np.lexsort((tk[cand], exact))[:k_max]
-                sel = cand[order]
-                out_q.append(np.full(sel.size, qk[s + r]))
-                out_t.append(tk[sel])
-                out_d.append(exact[order])
-                out_l.append(tl[sel])
+        for fold in np.unique(qf) if fold_mask else [None]:
+            mine = np.arange(len(qk)) if fold is None else np.flatnonzero((qf == fold) | ((qf != qf) & (fold != fold)))
+            others = np.arange(len(tk)) if fold is None else np.flatnonzero(tf != fold)
+            if not len(others):
+                continue
+            side = np.ascontiguousarray(wide_t[others].T)
+            keep = min(k_max, len(others))
+            some = max(keep, min(len(others), 2048))
+            for s in range(0, len(mine), 256):
+                rows = mine[s:s + 256]
+                d2 = wide_q[rows] @ side
+                # the k-th distance to some of the rows is no less than that to all
+                kth = np.partition(d2[:, :some], keep - 1, axis=1)[:, keep - 1]
+                near = d2 <= (kth + slack[rows])[:, None]
+                for r, i in enumerate(rows):
+                    cand = np.flatnonzero(near[r])
+                    cand = others[cand[np.isfinite(d2[r, cand])]]
+                    if cand.size == 0:
+                        continue
+                    diff = tx[cand] - qx[i]
+                    exact = np.sqrt((diff * diff).sum(axis=1))
+                    order = np.lexsort((tk[cand], exact))[:k_max]
+                    sel = cand[order]
+                    out_q.append(np.full(sel.size, qk[i]))
+                    out_t.append(tk[sel])
+                    out_d.append(exact[order])
+                    out_l.append(tl[sel])
         if not out_q:
             return pd.DataFrame({"q_key": [], "t_key": [], "distance": [], "t_label": []})
         return pd.DataFrame({"q_key": np.concatenate(out_q).astype("int64"),
