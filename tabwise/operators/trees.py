@@ -46,6 +46,8 @@ class GrownTree:
 
     def split(self, at: np.ndarray, f, cut, left, right, gain) -> np.ndarray:
         """Split nodes ``at``; returns the new nodes."""
+        if not len(at):
+            return np.array([], np.int64)
         first = len(self.feature) + 2 * np.arange(len(at))
         self.feature[at], self.cut[at], self.left[at], self.gain[at] = f, cut, first, gain
         m = 2 * len(at)
@@ -53,7 +55,7 @@ class GrownTree:
         self.cut, self.left = np.concatenate([self.cut, np.zeros(m, np.int16)]), np.concatenate([self.left, np.zeros(m, np.int64)])
         self.gain = np.concatenate([self.gain, np.zeros(m)])
         self.counts = np.concatenate([self.counts, np.stack([left, right], axis=1).reshape(m, -1)])
-        return np.arange(first[0], first[0] + m) if m else np.array([], np.int64)
+        return np.arange(first[0], first[0] + m)
 
     def merged(self) -> GrownTree:
         """Sibling leaves of one class become one leaf."""

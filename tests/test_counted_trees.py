@@ -63,3 +63,12 @@ def test_best_bin_leaves_no_side_empty():
     hist[0, 0, 3] = (5, 0)
     gain, j, b, left, whole = best_bins(hist)
     assert gain[0] > 0 and b[0] == 2 and left[0].tolist() == [3, 4] and whole[0].tolist() == [8, 4]
+
+
+def test_nodes_without_a_split_stay_leaves(spark):
+    """A tree that finds nothing to split while others do, and one class alone."""
+    df = spark.createDataFrame([(i, float(i % 2), 1.0, 1.0, 1.0, i % 2) for i in range(60)], "k long, a double, b double, c double, d double, y int")
+    m = forest(df, "k", "y", ["a", "b", "c", "d"], trees=12, depth=3, cv=True, folds=3, prep=False)
+    assert {t.feature[0] for t in m.trees} == {0, -1} and m.accuracy is not None and len(m.cv_scores) == 3
+    one = tree(df.withColumn("y", F.lit(4)), "k", "y", ["a", "b"], prep=False)
+    assert (one.depth, one.leaves, one.accuracy) == (0, 1, 1.0) and "Predict: 4" in one.rules
