@@ -22,6 +22,7 @@ from ..session import cut_lineage, spread
 from .prep import fit_prep
 from .profile import as_profile_input, is_numeric_type
 from .stats import value_counts
+from .text_scores import Index, score_rows, token_counts
 
 TECHNIQUES = ["classification", "regression", "decision_tree", "knn", "kmeans", "dbscan", "pca", "anomaly"]
 
@@ -146,12 +147,12 @@ def validate(df: DataFrame | None, statements: DataFrame, key: str = "id", text:
     return s.select(key, "technique", applicable.alias("applicable"), reason.alias("reason"), "target")
 
 
-def tfidf_weights(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
-                  broadcast_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
-    """Unit TF-IDF vectors of both sides as rows (l, t, w) and (r, t, wn); document frequencies are the right side's.
+BROADCAST_BYTES = 16 << 20
 
-    Both are written, as several joins read them. The right side is broadcast where its tokens and numbers take at most
-    ``broadcast_bytes``, else it is shuffled."""
+
+def right_weights(right: DataFrame, rkey: str, rtext: str) -> tuple[DataFrame, DataFrame, float]:
+    """Unit TF-IDF vectors of the right side (r, t, wn), its idf (t, idf), both written as several joins read them, and
+    the idf of tokens it never uses."""
     rt = cut_lineage(token_rows(right, rkey, rtext, "r", "t").groupBy("r", "t").agg(F.count(F.lit(1)).alias("tf")))
     n_right = right.select(rkey).distinct().count()
     idf = rt.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
@@ -159,23 +160,69 @@ def tfidf_weights(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey
     rw = rt.join(idf, "t").select("r", "t", (F.col("tf") * F.col("idf")).alias("w"))
     rnorm = rw.groupBy("r").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
     rw, idf = cut_lineage(rw.join(rnorm, "r").select("r", "t", (F.col("w") / F.col("rn")).alias("wn"))), cut_lineage(idf)
+    return rw, idf, float(math.log(1.0 + n_right) + 1.0)
+
+
+def fits_broadcast(rw: DataFrame, broadcast_bytes: int | None = None) -> bool:
     size = rw.agg(F.sum(F.octet_length("t") + F.octet_length(F.col("r").cast("string")) + 32)).first()[0] or 0
-    small = size <= broadcast_bytes
-    default_idf = float(math.log(1.0 + n_right) + 1.0)
-    lt = token_rows(spread(left), lkey, ltext, "l", "t").groupBy("l", "t").agg(F.count(F.lit(1)).alias("tf"))
+    return size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+
+
+def left_weights(left: DataFrame, lkey: str, ltext: str, idf: DataFrame, default_idf: float, small: bool) -> DataFrame:
+    """Unit TF-IDF vectors of the left side (l, t, w), of the tokens that the right side knows."""
+    lt = token_counts(spread(left), lkey, ltext, "l", "t").groupBy("l", "t").agg(F.sum("tf").alias("tf"))
     lw = cut_lineage(lt.join(F.broadcast(idf) if small else idf, "t", "left").select(
         "l", "t", (F.col("tf") * F.coalesce(F.col("idf"), F.lit(default_idf))).alias("w")))
     lnorm = lw.groupBy("l").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
     # only shared tokens matter once the norms are known
     known = F.broadcast(idf.select("t")) if small else idf.select("t")
-    lw = lw.join(known, "t", "left_semi").join(lnorm, "l").select("l", "t", (F.col("w") / F.col("ln")).alias("w"))
-    return lw, F.broadcast(rw) if small else rw
+    return lw.join(known, "t", "left_semi").join(lnorm, "l").select("l", "t", (F.col("w") / F.col("ln")).alias("w"))
+
+
+def tfidf_weights(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
+                  broadcast_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unit TF-IDF vectors of both sides as rows (l, t, w) and (r, t, wn); document frequencies are the right side's.
+
+    Both are written, as several joins read them. The right side is broadcast where its tokens and numbers take at most
+    ``broadcast_bytes``, else it is shuffled."""
+    rw, idf, default_idf = right_weights(right, rkey, rtext)
+    small = fits_broadcast(rw, broadcast_bytes)
+    return left_weights(left, lkey, ltext, idf, default_idf, small), F.broadcast(rw) if small else rw
+
+
+def by_repeats(left: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key comes once, and those whose key comes again (None without any). Null keys match nothing."""
+    rows = left.where(F.col(key).isNotNull())
+    again = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key))
+    size = again.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 32)).first()[0]
+    if size is None:
+        return rows, None
+    again = F.broadcast(again) if size <= BROADCAST_BYTES else again
+    return rows.join(again, key, "left_anti"), rows.join(again, key, "left_semi")
+
+
+def matched(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, n: int | None, joined) -> DataFrame:
+    """(l, r, cosine, rank or not) by the cheaper way: rows whose key comes once are scored where they are, against an index
+    of the right side that goes to all tasks; ``joined`` (of lw, rw) does the texts that are spread over rows, and all
+    texts where the right side is too large for that."""
+    rw, idf, default_idf = right_weights(right, rkey, rtext)
+    small = fits_broadcast(rw)
+    once, again = by_repeats(left, lkey) if small else (None, left)
+    found = None
+    if once is not None:
+        found = score_rows(spread(once.select(lkey, ltext)), lkey, ltext, Index(rw, idf, default_idf), n)
+    if again is None:
+        return found
+    more = joined(left_weights(again, lkey, ltext, idf, default_idf, small), F.broadcast(rw) if small else rw)
+    return more if found is None else found.select(*more.columns).unionByName(more)
 
 
 def tfidf_similarity(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str) -> DataFrame:
     """(l, r, cosine) for every left/right pair sharing at least one token (for a right side of a few phrases)."""
-    lw, rw = tfidf_weights(left, lkey, ltext, right, rkey, rtext)
-    return lw.join(rw, "t").groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("cosine"))
+    def joined(lw, rw):
+        return lw.join(rw, "t").groupBy("l", "r").agg(F.sum(F.col("w") * F.col("wn")).alias("cosine"))
+
+    return matched(left, lkey, ltext, right, rkey, rtext, None, joined).select("l", "r", "cosine")
 
 
 SLACK = 4e-9  # cosines that agree to 9 decimals are ties, so bounds closer than this decide nothing
@@ -213,14 +260,9 @@ def candidate_pairs(bounds: DataFrame, rw: DataFrame) -> DataFrame:
     return pairs.where(F.col("p") + F.col("rest") >= F.col("least") - SLACK).select("l", "r", "p")
 
 
-def top_matches(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
-                n: int = 3) -> DataFrame:
-    """The ``n`` most similar right texts per left text (ties → lower right key): (l, r, cosine, rank).
-    Ranked on the cosine rounded to 9 decimals so float noise cannot reorder equal scores.
-
-    Only pairs that can reach the n-th score are completed (``match_bounds``): essential tokens make the pairs, and the
-    other tokens are added for those alone. Left and right texts with no token in common are no match."""
-    lw, rw = tfidf_weights(left, lkey, ltext, right, rkey, rtext)
+def pruned_matches(lw: DataFrame, rw: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best by joins: only pairs that can reach the n-th score are completed (``match_bounds``): essential tokens
+    make the pairs, and the other tokens are added for those alone."""
     bounds = match_bounds(lw, rw, n)
     pairs = cut_lineage(candidate_pairs(bounds, rw))
     others = bounds.where("not essential").select("l", "t", "w")
@@ -230,6 +272,16 @@ def top_matches(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey:
     return sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def top_matches(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str,
+                n: int = 3) -> DataFrame:
+    """The ``n`` most similar right texts per left text (ties → lower right key): (l, r, cosine, rank).
+    Ranked on the cosine rounded to 9 decimals so float noise cannot reorder equal scores.
+
+    A right side that can be broadcast is an index in every task, which scores the rows it reads; else, and for texts spread
+    over rows of one key, joins do it (``pruned_matches``). Left and right texts with no token in common are no match."""
+    return matched(left, lkey, ltext, right, rkey, rtext, n, lambda lw, rw: pruned_matches(lw, rw, n))
+
+
 def technique_phrases(spark) -> DataFrame:
     return spark.createDataFrame(list(TECHNIQUE_PHRASES.items()), "technique string, phrase string")
 
