@@ -20,6 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 import zstandard
@@ -30,7 +31,7 @@ from ..session import checkpoint_dir, cut_lineage
 from .common import Generations, kept, slices
 
 MAGIC, VERSION, BLOCK = b"WMTOKENS", 1, 512
-FILE_TOKENS, SHARD_ROWS = 1 << 20, 4096
+FILE_TOKENS, SHARD_ROWS, PIECE = 1 << 20, 4096, 1 << 20
 
 
 class WaveletMatrix:
@@ -226,9 +227,15 @@ class WordEncoder:
         odd = set()
         for mark in self.marks:
             odd.update(k for k, t in enumerate(texts) if t and mark in t and any(a in t.lower() for a in self.added))
-        split = [t.encode().split() if t and k not in odd else [] for k, t in enumerate(texts)]
-        get = self.words.fill(set().union(*split), self._learn_words).__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        split = pc.ascii_split_whitespace(pa.array([t if t and k not in odd else "" for k, t in enumerate(texts)], pa.large_string()))
+        # Arrow finds the distinct words, only these become Python objects; ids are copied by number of the word
+        coded = split.values.dictionary_encode()
+        which, found = coded.indices.to_numpy(), self.words.values(_as_bytes(coded.dictionary), self._learn_words)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, ends = np.cumsum(size) - size, np.concatenate([[0], np.cumsum(size[which])])
+        flat = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], size[which])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         if odd and self.asis is None:
             from tokenizers import Tokenizer
             self.asis = Tokenizer.from_str(self.config)
@@ -237,6 +244,14 @@ class WordEncoder:
         return out
 
 
+def _as_bytes(strings: pa.LargeStringArray) -> list[bytes]:
+    """The bytes of each string (none null), cut from one buffer: several times as fast as ``to_pylist``."""
+    _, ends, data = strings.buffers()
+    ends = np.frombuffer(ends, np.int64)[strings.offset:strings.offset + len(strings) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _encoder(config: str) -> WordEncoder:
     return kept(("tokens", hash(config)), lambda: WordEncoder(config))
 
@@ -293,7 +308,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
             return row
 
         for batch in batches:
-            for piece in slices(batch, limit=1 << 20):
+            for piece in slices(batch, limit=PIECE):
                 part = piece.column("part")[0].as_py()
                 found = encoder.encode(piece.column("text").to_pylist())
                 for d, x in zip(piece.column("doc_id").to_pylist(), found):
