@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
 import struct
 import uuid
@@ -31,7 +32,13 @@ from ..session import checkpoint_dir, cut_lineage
 from .common import Generations, kept, slices
 
 MAGIC, VERSION, BLOCK = b"WMTOKENS", 1, 512
-FILE_TOKENS, SHARD_ROWS, PIECE = 1 << 20, 4096, 1 << 20
+FILE_TOKENS, SHARD_ROWS, PIECE = 1 << 20, 4096, 4 << 20
+
+# the pre-tokenizer and normaliser for which ``apart`` is known to leave all ids as they are
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SIGNS = bytes(33 <= c < 127 and not chr(c).isalnum() for c in range(256))
+LETTERS = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
 
 
 class WaveletMatrix:
@@ -48,7 +55,7 @@ class WaveletMatrix:
         for l in range(width):
             b = (now & now.dtype.type(1 << (width - 1 - l))) != 0
             planes.append(b)
-            now = np.concatenate([now[~b], now[b]])
+            now = np.concatenate([now.compress(~b), now.compress(b)])
         return cls(planes, len(symbols))
 
     def decode(self) -> np.ndarray:
@@ -58,8 +65,9 @@ class WaveletMatrix:
         for l in range(len(self.bits) - 1, -1, -1):
             b, z = self.bits[l], self.zeros[l]
             up = np.empty(self.n, kind)
-            up[~b] = out[:z]
-            up[b] = out[z:] | kind(1 << (len(self.bits) - 1 - l))
+            # places by number: a mask of bits without order costs more than twice as much
+            up[np.flatnonzero(~b)] = out[:z]
+            up[np.flatnonzero(b)] = out[z:] | kind(1 << (len(self.bits) - 1 - l))
             out = up
         return out
 
@@ -169,6 +177,8 @@ class WordEncoder:
     def __init__(self, config: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # Spark runs the tasks side by side: threads of the library's own take more CPU time for the same ids
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.config, self.asis = config, None
         self.whole = Tokenizer.from_str(config)
         self.whole.encode_special_tokens = True  # words never hold an added token
@@ -176,7 +186,7 @@ class WordEncoder:
         self.added = [t["content"].lower() for t in parts.get("added_tokens") or [] if t["content"]]
         # how they begin, up to the first letter: a quick look that hardly a text passes
         self.marks = {re.match(r"[\W_]*", a).group() for a in self.added}
-        self.plain = None
+        self.plain, self.loose = None, False
         suffix = parts["model"].get("end_of_word_suffix")
         split = next((p for p in (parts.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         if suffix and split and split["behavior"] == "Removed" and split["invert"]:
@@ -186,6 +196,7 @@ class WordEncoder:
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
                                                                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.cut = regex.compile(split["pattern"]["Regex"] + "|\n").findall
+            self.loose = split["pattern"]["Regex"] == CUTS and (parts.get("normalizer") or {}).get("normalizers") == FORM
             vocabulary = self.whole.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
@@ -208,14 +219,21 @@ class WordEncoder:
 
     def _learn_words(self, new: set) -> dict:
         """Words of characters below U+0250, whose lower case does not depend on neighbours, are cut all at once; the
-        end of a word is marked by four bytes that no two ids below 2^24 can hold together."""
+        end of a word is marked by four bytes that no two ids below 2^24 can hold together. Words of letters alone are
+        one piece and need no cut."""
         simple = [w for w in new if w.isascii() or max(w) < 0xC9] if self.plain is not None else []
         out = {}
+        if simple and self.loose:
+            lower = b"\n".join(simple).decode().lower().split("\n")
+            letters = {w: p for w, p in zip(simple, lower, strict=True) if p.isalpha()}
+            known = self._learn_pieces(set(letters.values()))
+            out = {w: known[p] for w, p in letters.items()}
+            simple = [w for w in simple if w not in out]
         if simple:
             pieces = self.cut(b"\n".join(simple).decode().lower())
             known = self.pieces.fill(set(pieces).difference("\n"), self._learn_pieces)
             known["\n"] = b"\xff\xff\xff\xff"
-            out = dict(zip(simple, b"".join(map(known.__getitem__, pieces)).split(b"\xff\xff\xff\xff"), strict=True))
+            out.update(zip(simple, b"".join(map(known.__getitem__, pieces)).split(b"\xff\xff\xff\xff"), strict=True))
         rest = list(new.difference(out))
         if rest:
             found = self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
@@ -227,7 +245,8 @@ class WordEncoder:
         odd = set()
         for mark in self.marks:
             odd.update(k for k, t in enumerate(texts) if t and mark in t and any(a in t.lower() for a in self.added))
-        split = pc.ascii_split_whitespace(pa.array([t if t and k not in odd else "" for k, t in enumerate(texts)], pa.large_string()))
+        whole = pa.array([t if t and k not in odd else "" for k, t in enumerate(texts)], pa.large_string())
+        split = pc.ascii_split_whitespace(apart(whole) if self.loose else whole)
         # Arrow finds the distinct words, only these become Python objects; ids are copied by number of the word
         coded = split.values.dictionary_encode()
         which, found = coded.indices.to_numpy(), self.words.values(_as_bytes(coded.dictionary), self._learn_words)
@@ -244,6 +263,26 @@ class WordEncoder:
         return out
 
 
+def apart(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Texts (none null, not a slice) with A-Z in lower case and a space between a letter (a-z, U+00C0 to U+00FF) and an
+    ASCII sign after it, so that fewer distinct words are left. ``CUTS`` always ends a token there, and ``FORM`` puts
+    A-Z in lower case anyway. Texts are left as they are if any holds a character of U+0300 to U+037F: only with these
+    marks can a capital and its small letter be composed differently."""
+    _, ends, data = texts.buffers()
+    if data is None or b"\xcc" in (raw := data.to_pybytes()) or b"\xcd" in raw:
+        return texts
+    raw, ends = raw.lower(), np.frombuffer(ends, np.int64)[:len(texts) + 1]
+    old, sign = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(SIGNS), bool)
+    at = np.flatnonzero(sign[2:]) + 2
+    last, lead = old[at - 1], old[at - 2]
+    at = at[LETTERS[last] | ((lead == 0xC3) & (last != 0x97) & (last != 0xB7))]  # but for the signs of times and division
+    new = np.full(len(old) + len(at), ord(" "), np.uint8)
+    stay = np.ones(len(new), bool)
+    stay[at + np.arange(len(at))] = False
+    new[stay] = old
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends + np.searchsorted(at, ends)), pa.py_buffer(new))
+
+
 def _as_bytes(strings: pa.LargeStringArray) -> list[bytes]:
     """The bytes of each string (none null), cut from one buffer: several times as fast as ``to_pylist``."""
     _, ends, data = strings.buffers()
