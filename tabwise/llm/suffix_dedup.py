@@ -12,15 +12,18 @@ their own:
    counted, and those of one document only leave (each task sends a seed once, however often it has met it).
 2. Neighbouring windows with one seed are a piece (50 to 76 bytes). Pieces with a shared seed are dealt by seed: all
    equal windows meet in one bin. The streams of a bin stay in the memory of its task; before that bins lie in Spark's
-   shuffle files, compressed, and are read in sequence.
+   shuffle files, compressed, and are read in sequence. Where nearly all text is shared, its pieces are several times
+   the text: the seeds are then parted into a few rounds, one after the other, each over all texts.
 3. A seed of very many documents (a passage in a third of them) would be one large bin. Its pieces are merged where
    equal and cut into single windows, which are grouped as they are; what is found goes back to the places of the
    pieces by a join, the frequent ones salted.
 4. Each document unites its spans.
 
 The seeds that survive step 1 are held as a Bloom bitmap of fixed size in the second pass over the texts while they fit
-it (false hits only add work); beyond ``bitmap_rows`` seeds they meet the documents in a shuffle join. The seeds of
-step 3 are at most 2^20, as more documents are allowed for one bin where there are more seeds.
+it (false hits only add work). Beyond ``bitmap_rows`` seeds, or where the text is so long that they must be more, nothing
+is broadcast: step 1 sends with each seed its place in the task's run of documents, the places of shared seeds come
+back, and become a bit for each seed of a document, which is joined to its text. The seeds of step 3 are at most 2^20,
+as more documents are allowed for one bin where there are more seeds. The shuffle files of a step go when it is written.
 
 Null and empty texts have no bytes; rows with a null doc_id keep all bytes and hold no earlier string; rows of one
 doc_id (repeated or not) do not remove from each other; an empty table gives no rows; other columns are ignored.
@@ -30,6 +33,8 @@ from __future__ import annotations
 
 import hashlib
 from contextlib import contextmanager
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,9 @@ WINDOW, SEED, MOST_WINDOWS = 50, 24, 27
 BITMAP_BITS, BITMAP_ROWS = 27, 1 << 23
 HOT_DOCS, HOT_SEEDS, BIN_BYTES, TASK_BYTES, SALTS = 1 << 14, 1 << 20, 1 << 19, 10 << 20, 64
 HELD_SEEDS, HELD_BYTES = 1 << 19, 6 << 20
+#: Bytes of text for which one shared seed is expected at least; bytes of pieces for each byte of text up to which one
+#: round takes them all (more rounds take as many bytes as the text has).
+SEED_BYTES, ROUND_BYTES = 128, 1.5
 
 
 def seeded_windows(data: np.ndarray, ends: np.ndarray):
@@ -97,22 +105,29 @@ def _laid_out(part):
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
 
-def _seeds(batches, buckets: int):
-    """Distinct seeds of a task, six bytes each, dealt to buckets by their high bits: those of one document, and those of
-    several with the number of documents."""
+def _turned(seeds: np.ndarray) -> np.ndarray:
+    """48-bit seeds with their halves exchanged (twice is the seed again): a least hash has small high bits, so that buckets
+    by high bits would be very uneven; its low bits are not."""
+    half = seeds.dtype.type(24)
+    return (seeds & seeds.dtype.type((1 << 24) - 1)) << half | seeds >> half
+
+
+def _seeds(batches, buckets: np.ndarray):
+    """Distinct seeds of a task, turned, six bytes each, dealt to buckets by their high bits: those of one document, and
+    those of several with the number of documents."""
     held, count = [], 0
 
     def flush():
-        seeds = np.sort(np.concatenate(held))
+        seeds = np.sort(_turned(np.concatenate(held)))
         first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]]))
         times = np.diff(first, append=len(seeds))
         seeds = seeds[first]
-        bucket = (seeds >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))
+        bucket = (seeds >> np.uint64(16)) * np.uint64(len(buckets)) >> np.uint64(32)
+        edge = np.searchsorted(bucket, np.arange(len(buckets) + 1))
         rows = {"bucket": [], "once": [], "often": []}
         for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
             part, n = seeds[edge[b]:edge[b + 1]], times[edge[b]:edge[b + 1]]
-            rows["bucket"].append(b)
+            rows["bucket"].append(buckets[b])
             rows["once"].append(part[n == 1].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             rows["often"].append(np.stack([part[n > 1].astype(np.int64), n[n > 1]]).tobytes())
         held.clear()
@@ -149,15 +164,139 @@ def _shared(batches):
         first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]])) if len(seeds) else np.empty(0, np.int64)
         docs = np.add.reduceat(times[order], first) if len(seeds) else times
         several = docs > 1
-        yield pa.RecordBatch.from_pydict({"seed": seeds[first][several], "docs": docs[several]})
+        yield pa.RecordBatch.from_pydict({"seed": _turned(seeds[first][several]), "docs": docs[several]})
+
+
+_ASKED = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("n", pa.int32()), ("seeds", pa.binary()), ("places", pa.binary()), ("often", pa.binary())])
+
+
+def _asked(batches, buckets: np.ndarray):
+    """The seeds of runs of documents, turned, dealt to buckets by their high bits: those of one document of the run (six bytes)
+    with their places among the run's distinct seeds of each document, and those of several with the number of documents.
+    A row with ``n`` >= 0 has the run's documents instead: keys, numbers of seeds, places of the seeds of several."""
+    from pyspark import TaskContext
+
+    task, held, keys, count = TaskContext.get().partitionId(), [], [], 0
+
+    def flush():
+        seeds = _turned(np.concatenate(held))
+        order = np.argsort(seeds, kind="stable")
+        ordered = seeds[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        times = np.diff(np.flatnonzero(new), append=len(ordered))
+        several = np.repeat(times > 1, times)
+        once, places = ordered[~several], order[~several].astype(np.uint32)
+        often = np.stack([ordered[new][times > 1].astype(np.int64), times[times > 1]], axis=1)
+        documents = np.concatenate(keys, axis=1)
+        edges = []
+        for v in (once, often[:, 0].astype(np.uint64)):
+            bucket = (v >> np.uint64(16)) * np.uint64(len(buckets)) >> np.uint64(32)
+            edges.append(np.searchsorted(bucket, np.arange(len(buckets) + 1)))
+        one, two = edges
+        some = np.flatnonzero((one[1:] > one[:-1]) | (two[1:] > two[:-1])).tolist()
+        local = order[several].astype(np.uint32).tobytes()
+        packed = np.array([len(some), documents.shape[1]]).tobytes() + documents.tobytes() + local
+        # the same documents in another order are another run: what was asked and what is answered cannot be mixed up
+        run = int.from_bytes(hashlib.blake2b(packed, digest_size=8, salt=task.to_bytes(8, "little"), person=len(runs).to_bytes(8, "little")).digest(), "little", signed=True)
+        runs.append(run)
+        rows = {"bucket": buckets[[*some, run % len(buckets)]], "run": [run] * (len(some) + 1), "n": [-1] * len(some) + [len(seeds)], "seeds": [], "places": [], "often": []}
+        for b in some:
+            rows["seeds"].append(once[one[b]:one[b + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            rows["places"].append(places[one[b]:one[b + 1]].tobytes())
+            rows["often"].append(often[two[b]:two[b + 1]].tobytes())
+        for c, v in (("seeds", b""), ("places", packed), ("often", b"")):
+            rows[c].append(v)
+        held.clear()
+        keys.clear()
+        return pa.RecordBatch.from_pydict(rows, schema=_ASKED)
+
+    runs = []
+    for part in _parts(batches):
+        _, _, seed, doc = seeded_windows(*_laid_out(part))
+        if len(seed):
+            order = np.lexsort((seed, doc))
+            seed, doc = seed[order], doc[order]
+            new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])])
+            held.append(seed[new])
+            rows, times = np.unique(doc[new], return_counts=True)
+            keys.append(np.stack([*(part.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("doc_id", "same")), times]))
+            count += len(held[-1])
+        if count > HELD_SEEDS:
+            yield flush()
+            count = 0
+    if held:
+        yield flush()
+
+
+def _answered(batches, hot_docs: int):
+    """For whole buckets: per run the places of the seeds that other runs hold too, each run's documents as they are, and
+    one row (``n`` = -2) with the number of documents of shared seeds and the seeds of over ``hot_docs`` documents."""
+    schema = pa.schema([("run", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())])
+    runs, seeds, places, often = [], [], [], []
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("run", "n", "seeds", "places", "often"))
+        for run, n, six, place, several in zip(*columns):
+            if n >= 0:
+                yield pa.RecordBatch.from_pydict({"run": [run], "n": [n], "packed": [place]}, schema=schema)
+                continue
+            one = np.zeros((len(six) // 6, 8), np.uint8)
+            one[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+            runs.append(run)
+            seeds.append(one.view(np.int64).ravel())
+            places.append(np.frombuffer(place, np.uint32))
+            often.append(np.frombuffer(several, np.int64).reshape(-1, 2))
+    if not runs:
+        return
+    sizes = np.array([len(s) for s in seeds])
+    seeds, places, often = np.concatenate(seeds), np.concatenate(places), np.concatenate(often)
+    both = np.concatenate([seeds, often[:, 0]])
+    order = np.argsort(both)
+    new = np.concatenate([[True], both[order[1:]] != both[order[:-1]]]) if len(both) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    times = np.concatenate([np.ones(len(seeds), np.int64), often[:, 1]])[order]
+    docs = np.add.reduceat(times, first) if len(first) else times
+    shared = np.empty(len(both), bool)
+    shared[order] = np.repeat(docs > 1, np.diff(first, append=len(both)))
+    hot = docs > max(hot_docs, 1)
+    packed = np.stack([_turned(both[order][first][hot]), docs[hot]], axis=1)
+    yield pa.RecordBatch.from_pydict({"run": [docs[docs > 1].sum()], "n": [-2], "packed": [packed.tobytes()]}, schema=schema)
+    edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    for k in range(0, len(runs), 1000):
+        answers = [places[a:b][shared[a:b]].tobytes() for a, b in zip(edges[k:k + 1000], edges[k + 1:k + 1001])]
+        yield pa.RecordBatch.from_pydict({"run": runs[k:k + 1000], "n": [-1] * len(answers), "packed": answers}, schema=schema)
+
+
+def _kept(batches):
+    """A bit for every distinct seed of every document, by seed: whether other documents hold it; documents without are left out."""
+    known, answers = {}, {}
+    for batch in batches:
+        for run, n, packed in zip(*(batch.column(c).to_pylist() for c in ("run", "n", "packed"))):
+            if n >= 0:
+                known[run] = n, packed
+            else:
+                answers.setdefault(run, []).append(packed)
+    for run, (n, packed) in known.items():
+        asked, documents = np.frombuffer(packed, np.int64, 2).tolist()
+        places = answers.pop(run, [])
+        if len(places) != asked:
+            raise RuntimeError("documents came in another order when a lost task was repeated")
+        doc_id, same, sizes = np.frombuffer(packed, np.int64, 3 * documents, 16).reshape(3, -1)
+        bits = np.zeros(n, bool)
+        bits[np.frombuffer(b"".join([packed[16 + 24 * documents:], *places]), np.uint32)] = True
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(np.add.reduceat(bits, ends - sizes, dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"doc_id": doc_id[some], "same": same[some], "kept": pa.array(
+            [np.packbits(bits[a:b]).tobytes() for a, b in zip((ends - sizes)[some].tolist(), ends[some].tolist())], pa.binary())})
+    if answers:
+        raise RuntimeError("documents came in another order when a lost task was repeated")
 
 
 class Wanted:
-    """Which stretches of a slice are pieces to compare: their seeds are in the bitmap, or a join has put their numbers
-    into the column ``kept``; ``hot`` says whether to take the hot seeds or the others."""
+    """Which stretches of a slice are pieces to compare: their seeds are in the bitmap, or a join has put a bit for every
+    seed of a text into the column ``kept``; ``hot`` says whether to take the hot seeds or those of a round."""
 
-    def __init__(self, bitmap: bytes | None, hot: np.ndarray):
-        self.bitmap, self.hot = bitmap, hot
+    def __init__(self, bitmap: bytes | None, hot: np.ndarray, rounds: int = 1, number: int = 0):
+        self.bitmap, self.hot, self.rounds, self.number = bitmap, hot, rounds, number
 
     def of(self, part, seed, doc, hot: bool) -> np.ndarray:
         if self.bitmap is not None:
@@ -165,31 +304,38 @@ class Wanted:
             for at in (seed >> np.uint64(48 - BITMAP_BITS), seed & np.uint64((1 << BITMAP_BITS) - 1)):
                 good &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         else:
-            kept = part.column("kept")
-            number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            rows = np.repeat(np.arange(part.num_rows), [len(k.values) if k.is_valid else 0 for k in kept])
-            good = np.isin(doc << 40 | number, rows << 40 | kept.flatten().to_numpy(zero_copy_only=False))
+            kept = part.column("kept").to_pylist()
+            order = np.lexsort((seed, doc))
+            s, d = seed[order], doc[order]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+            at = np.cumsum(new) - 1
+            at += (8 * np.cumsum([0, *map(len, kept)]))[d] - at[np.searchsorted(d, d)]
+            good = np.empty(len(seed), bool)
+            good[order] = np.unpackbits(np.frombuffer(b"".join(kept), np.uint8))[at]
+        if not hot and self.rounds > 1:
+            good &= (seed >> np.uint64(24)) % np.uint64(self.rounds) == self.number
         if len(self.hot):
             is_hot = self.hot[np.minimum(np.searchsorted(self.hot, seed), len(self.hot) - 1)] == seed
             return np.flatnonzero(good & is_hot) if hot else np.flatnonzero(good & ~is_hot)
         return np.flatnonzero(good & (not hot))
 
 
-def _dealt_pieces(batches, wanted, tasks: int):
+def _dealt_pieces(batches, wanted, tasks: np.ndarray):
     """Pieces without hot seeds, dealt by seed: packed arrays of sizes, ids, hashes, starts and the bytes."""
     held, size = [], 0
 
     def flush():
         seed, lengths, doc_id, same, start = (np.concatenate(c) for c in list(zip(*held))[:-1])
         raw = [p for h in held for p in h[-1]]
-        to = (seed % np.uint64(tasks)).astype(np.int64)
+        to = (seed % np.uint64(len(tasks))).astype(np.int64)
         order = np.lexsort((seed, to))
-        edge = np.searchsorted(to[order], np.arange(tasks + 1))
+        edge = np.searchsorted(to[order], np.arange(len(tasks) + 1))
         rows = {"task": [], "n": [], "packed": []}
         packer = zstandard.ZstdCompressor(level=1)
         for t in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
             o = order[edge[t]:edge[t + 1]]
-            rows["task"].append(t)
+            rows["task"].append(tasks[t])
             rows["n"].append(len(o))
             rows["packed"].append(packer.compress(b"".join([seed[o].tobytes(), doc_id[o].tobytes(), same[o].tobytes(), start[o].astype(np.int64).tobytes(),
                                                             lengths[o].astype(np.uint8).tobytes(), *[raw[k] for k in o.tolist()]])))
@@ -225,15 +371,6 @@ def _hot_pieces(batches, wanted):
                                           "piece": pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.binary())})
 
 
-def _stretches(batches):
-    """Number and seed of every stretch of every document (for the join that replaces the bitmap)."""
-    for part in _parts(batches):
-        _, _, seed, doc = seeded_windows(*_laid_out(part))
-        rows = pa.array(doc)
-        yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").take(rows),
-                                          "same": part.column("same").take(rows), "number": np.arange(len(doc)) - np.searchsorted(doc, doc)})
-
-
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Minimum of values[low..high] (ends included) for arrays of ends, from minima of 1, 2, 4, ... values."""
     out = values[high].copy()
@@ -331,7 +468,9 @@ def least_owners(texts: list[bytes], owners: np.ndarray):
     return which[order], window[order], least[g[order]]
 
 
-_SPANS_SQL = "doc_id long, same long, s long, e long"
+#: A span is one number: its start, shifted by SPAN_BITS, and its length.
+SPAN_BITS = 31
+_SPANS_SQL = "doc_id long, same long, span long"
 
 
 def _bins(batches):
@@ -385,15 +524,15 @@ def _bins(batches):
             good = least[stretch] < doc_id[place]
             place, stretch = place[good], stretch[good]
             s = start[place] + window[stretch]
-            found.append((doc_id[place], same[place], s, s + windows[stretch] + WINDOW - 1))
-    doc_id, same, s, e = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((e, s, same, doc_id))
-    doc_id, same, s, e = doc_id[order], same[order], s[order], e[order]
-    differs = np.ones(len(s), bool)  # repeated rows find the same spans
-    differs[1:] = (doc_id[1:] != doc_id[:-1]) | (same[1:] != same[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1])
-    columns = [v[differs] for v in (doc_id, same, s, e)]
+            found.append((doc_id[place], same[place], s << SPAN_BITS | windows[stretch] + WINDOW - 1))
+    doc_id, same, span = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((span, same, doc_id))
+    doc_id, same, span = doc_id[order], same[order], span[order]
+    differs = np.ones(len(span), bool)  # repeated rows find the same spans
+    differs[1:] = (doc_id[1:] != doc_id[:-1]) | (same[1:] != same[:-1]) | (span[1:] != span[:-1])
+    columns = [v[differs] for v in (doc_id, same, span)]
     for k in range(0, len(columns[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(v[k:k + 50_000]) for v in columns], names=["doc_id", "same", "s", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array(v[k:k + 50_000]) for v in columns], names=["doc_id", "same", "span"])
 
 
 def _removed(batches):
@@ -402,14 +541,16 @@ def _removed(batches):
         out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
         for text, spans in zip(batch.column("text"), batch.column("spans")):
             text, kept, at, removed, count = text.as_py() or b"", [], 0, 0, 0
-            end = -1
-            for s, e in sorted((v["s"], v["e"]) for v in spans.as_py() or []):
-                if s > end:
+            if spans.is_valid:
+                spans = np.sort(spans.values.to_numpy())
+                starts = spans >> SPAN_BITS
+                ends = np.maximum.accumulate(starts + (spans & (1 << SPAN_BITS) - 1))
+                new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+                count = len(new)
+                for s, e in zip(starts[new].tolist(), ends[np.append(new[1:], len(ends)) - 1].tolist()):
                     kept.append(text[at:s])
-                    count += 1
-                if e > end:
-                    removed += e - max(s, end)
-                    end = at = e
+                    removed += e - s
+                    at = e
             kept.append(text[at:])
             kept = b"".join(kept)
             for name, value in (("n_bytes", len(text)), ("n_removed", removed), ("n_spans", count), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
@@ -430,6 +571,33 @@ def short_batches(spark, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+@contextmanager
+def freed(spark):
+    """Tables written inside by ``cut_lineage`` give back the disk of their shuffles at once, not when the driver happens to
+    collect its garbage, and are packed more densely; the settings are put back."""
+    names = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _one_for_each(spark, tasks: int) -> np.ndarray:
+    """An integer for each of so many partitions that Spark's hash deals to it; numbers from 0 would leave a third of the
+    partitions empty and give others several shares."""
+    many = 16 * tasks
+    while True:
+        to = spark.range(many).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(tasks)).alias("task")).agg(F.min("key").alias("key"))
+        keys = {r.task: r.key for r in to.collect()}
+        if len(keys) == tasks:
+            return np.array([keys[t] for t in range(tasks)], np.int32)
+        many *= 2
+
+
 def _bitmap(seeds: DataFrame) -> bytes:
     """Two bits of every seed (its high and its low BITMAP_BITS), as bytes; 2 ** BITMAP_BITS bits whatever their number."""
     high, low = F.shiftrightunsigned("seed", 48 - BITMAP_BITS) + 1, F.col("seed").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
@@ -443,7 +611,7 @@ def _bitmap(seeds: DataFrame) -> bytes:
 
 def _hot_spans(pieces: DataFrame, size: int) -> DataFrame:
     """Spans of pieces with hot seeds: windows of merged pieces grouped as they are, joined back to the places."""
-    pieces = pieces.distinct().withColumn("content", F.xxhash64("piece"))
+    pieces = cut_lineage(pieces.distinct().withColumn("content", F.xxhash64("piece")))
     merged = cut_lineage(pieces.groupBy("content", "piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("places")))
     windows = F.expr(f"transform(sequence(0, length(piece) - {WINDOW}), i -> substring(piece, i + 1, {WINDOW}))")
     single = merged.select("content", "least", "most", F.posexplode(windows).alias("offset", "window"))
@@ -456,38 +624,53 @@ def _hot_spans(pieces: DataFrame, size: int) -> DataFrame:
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
     places = pieces.select("content", "doc_id", "same", "start").join(often, "content", "left").withColumn("salt", salt).drop("often")
     s = F.col("start") + F.col("offset").cast("long")
-    return places.join(found, ["content", "salt"]).where("first < doc_id").select("doc_id", "same", s.alias("s"), (s + WINDOW).alias("e"))
+    return places.join(found, ["content", "salt"]).where("first < doc_id").select("doc_id", "same", (F.shiftleft(s, SPAN_BITS) + WINDOW).alias("span"))
 
 
 def repeated_spans(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """Spans (doc_id, same, spans: array of s, e) to remove; ``docs`` has doc_id, text (binary), same (its hash)."""
+    """Spans (doc_id, same, spans: an array of them as numbers) to remove; ``docs`` has doc_id, text (binary), same (its hash)."""
+    with short_batches(docs.sparkSession), freed(docs.sparkSession):
+        return _spans(docs, bitmap_rows, hot_docs)
+
+
+def _spans(docs: DataFrame, bitmap_rows: int, hot_docs: int) -> DataFrame:
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    dealt = known.select("text").mapInArrow(lambda batches: _seeds(batches, tasks), "bucket int, once binary, often binary")
-    with short_batches(spark):
+    to, bitmap = _one_for_each(spark, tasks), None
+    if size <= SEED_BYTES * bitmap_rows:
+        dealt = known.select("text").mapInArrow(lambda batches: _seeds(batches, to), "bucket int, once binary, often binary")
         seeds = cut_lineage(dealt.repartition(tasks, "bucket").mapInArrow(_shared, "seed long, docs long"))
-    total = seeds.agg(F.count(F.lit(1)).alias("seeds"), F.sum("docs").alias("docs")).first()
-    hot_docs = max(hot_docs, (total.docs or 0) // HOT_SEEDS)
-    hot = np.sort(np.array([r.seed for r in seeds.where(F.col("docs") > hot_docs).select("seed").collect()], np.uint64))
-    if total.seeds <= bitmap_rows:
-        bitmap = _bitmap(seeds.select("seed"))
+        total, places = seeds.agg(F.count(F.lit(1)).alias("seeds"), F.sum("docs").alias("docs")).first()
+        if total <= bitmap_rows:
+            bitmap = _bitmap(seeds.select("seed"))
+    if bitmap is not None:
+        hot_docs = max(hot_docs, (places or 0) // HOT_SEEDS)
+        hot = [r.seed for r in seeds.where(F.col("docs") > hot_docs).select("seed").collect()]
     else:
-        stretches = known.mapInArrow(_stretches, "seed long, doc_id long, same long, number long")
-        kept = stretches.join(seeds, "seed", "left_semi").groupBy("doc_id", "same").agg(F.collect_set("number").alias("kept"))
-        known, bitmap = known.join(kept, ["doc_id", "same"]), None
+        dealt = known.mapInArrow(lambda batches: _asked(batches, to), "bucket int, run long, n int, seeds binary, places binary, often binary")
+        answers = cut_lineage(dealt.repartition(tasks, "bucket").mapInArrow(lambda batches: _answered(batches, hot_docs), "run long, n int, packed binary"))
+        counts = answers.where("n = -2").select("run", "packed").collect()
+        places = sum(r.run for r in counts)
+        seeds, docs_of = np.frombuffer(b"".join(r.packed for r in counts), np.int64).reshape(-1, 2).T
+        hot = seeds[docs_of > max(hot_docs, places // HOT_SEEDS)]
+        kept = answers.where("n > -2").repartition(tasks, "run").mapInArrow(_kept, "doc_id long, same long, kept binary")
+        known = cut_lineage(known.join(kept.groupBy("doc_id", "same").agg(F.max("kept").alias("kept")), ["doc_id", "same"]))
+    hot = np.sort(np.array(hot, np.uint64))
     wanted = spark.sparkContext.broadcast((bitmap, hot))
-    cold = known.mapInArrow(lambda batches: _dealt_pieces(batches, Wanted(*wanted.value), tasks), "task int, n int, packed binary") \
-        .repartition(tasks, "task").mapInArrow(_bins, _SPANS_SQL)
-    with short_batches(spark):
-        if not len(hot):
-            spans = cold
-        else:
-            pieces = known.mapInArrow(lambda batches: _hot_pieces(batches, Wanted(*wanted.value)), "doc_id long, same long, start long, piece binary")
-            spans = cold.unionByName(_hot_spans(pieces, size))
-        spans = cut_lineage(spans)
-    return spans.groupBy("doc_id", "same").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # a piece has 14 windows in the mean
+    much = (places or 0) * (WINDOW + 13) / max(size, 1)
+    rounds = 1 if much <= ROUND_BYTES else ceil(much)
+    spans = []
+    for k in range(rounds):
+        dealt = known.mapInArrow(lambda batches, k=k: _dealt_pieces(batches, Wanted(*wanted.value, rounds, k), to), "task int, n int, packed binary")
+        spans.append(cut_lineage(dealt.repartition(tasks, "task").mapInArrow(_bins, _SPANS_SQL)))
+    if len(hot):
+        pieces = known.mapInArrow(lambda batches: _hot_pieces(batches, Wanted(*wanted.value)), "doc_id long, same long, start long, piece binary")
+        spans.append(cut_lineage(_hot_spans(pieces, size)))
+    spans = reduce(DataFrame.unionByName, spans)
+    return spans.groupBy("doc_id", "same").agg(F.collect_list("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, bitmap_rows: int = BITMAP_ROWS, hot_docs: int = HOT_DOCS) -> DataFrame:
